@@ -22,14 +22,3 @@ PRICE_NUMBERS = PRICE_COLUMNS[3:]
 PRICE_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in PRICE_COLUMNS])
 
 QUOTE_TEXT_FIELDS = ["timestamp", "product", "symbol", "side", "price", "quantity", "order_id", "type"]
-
-PARAMETERS = T.StructType(
-    [
-        T.StructField("product", T.StringType()),
-        T.StructField("momentum_weight", T.DoubleType()),
-        T.StructField("min_position", T.IntegerType()),
-        T.StructField("volatility_threshold", T.DoubleType()),
-        T.StructField("zscore_threshold", T.DoubleType()),
-        T.StructField("position_limit", T.IntegerType()),
-    ]
-)

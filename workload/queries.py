@@ -289,7 +289,7 @@ def drop_header_rows(spark: SparkSession, folder: str) -> DataFrame:
 
     prices = V.prices17(spark, folder).select(F.col("day").cast("string").alias("day"), "product", "mid_price")
     headers = V.prices17(spark, folder).select(F.lit("day").alias("day"), "product", "mid_price")
-    return drop(prices.unionByName(headers)).select(F.col("day").cast("long").alias("day"), "product", "mid_price")
+    return drop(prices.unionByName(headers)).select(F.col("day").try_cast("long").alias("day"), "product", "mid_price")
 
 
 @query("by_product")
@@ -504,7 +504,7 @@ def rsi(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("cci")
 def cci(spark: SparkSession, folder: str) -> DataFrame:
-    return _price_features(spark, folder, [features.cci()], *rounded(4, "sma", "mad", "cci"))
+    return _price_features(spark, folder, [features.cci()], *rounded(6, "sma", "mad"), *rounded(4, "cci"))
 
 
 @query("rolling_volatility")
@@ -739,7 +739,7 @@ def observation(spark: SparkSession, folder: str) -> DataFrame:
                       F.round(F.col("o")[0].cast("double"), 2).alias("price"),
                       F.round(F.col("o")[1].cast("double"), 2).alias("size"),
                       F.round(F.col("o")[2].cast("double"), 2).alias("share"),
-                      F.round(F.col("o")[3].cast("double"), 0).alias("pnl"))
+                      F.round(F.col("o")[3].cast("double"), 2).alias("pnl"))
 
 
 @query("direction_reward")
@@ -757,13 +757,13 @@ def position_changes(spark: SparkSession, folder: str) -> DataFrame:
 @query("backtest_summary")
 def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
     out = positions.backtest_summary(env_steps(spark, folder), V.TICK_SERIES, measure=V.ticks(spark, folder))
-    return out.select("product", "max_position", "n_changes", "n_steps", *rounded(4, "total_reward"), *rounded(6, "sharpe_ratio"))
+    return out.select("product", "max_position", "n_changes", "n_steps", *rounded(6, "total_reward", "sharpe_ratio"))
 
 
 @query("total_pnl")
 def total_pnl(spark: SparkSession, folder: str) -> DataFrame:
     return env_steps(spark, folder).groupBy("product").agg(
-        F.round(F.sum("reward"), 4).alias("total_pnl"), F.count_if(F.col("change") != 0).alias("n_trades")
+        F.round(F.sum("reward"), 6).alias("total_pnl"), F.count_if(F.col("change") != 0).alias("n_trades")
     )
 
 

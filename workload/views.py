@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import book
 from tickloom.plans import Series
-from tickloom.schema import LEVELS, PARAMETERS, PRICE_COLUMNS
+from tickloom.schema import LEVELS, PRICE_COLUMNS
 
 FEATURES = ["price", "size"]
 QUOTE_TIES = ["quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -91,12 +91,15 @@ def orders_sim(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def params(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("P0", 0.4, 15, 1.2, 0.5, 50),
-        ("P1", 0.8, 20, 0.8, 0.4, 50),
-        ("P2", 0.6, 18, 1.5, 0.7, 50),
-    ]
-    return spark.createDataFrame(rows, PARAMETERS)
+    return spark.sql(
+        """
+        SELECT * FROM VALUES
+          ('P0', 0.4D, 15, 1.2D, 0.5D, 50),
+          ('P1', 0.8D, 20, 0.8D, 0.4D, 50),
+          ('P2', 0.6D, 18, 1.5D, 0.7D, 50)
+        AS p(product, momentum_weight, min_position, volatility_threshold, zscore_threshold, position_limit)
+        """
+    )
 
 
 ACTION_WEIGHTS = [[((a * 7 + i * 3) % 11 - 5) / 10.0 for i in range(64)] for a in range(5)]
