@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.stats import sharpe
-from tickloom.plans import Series, arrange, attach, running
+from tickloom.plans import Layout, Series, arrange, attach, run_over
+from tickloom.plans.settings import settle_table
 
 # Position change per action, in lots of an agent and in halves of a limit.
 AGENT_LOTS = (-10, -5, 0, 5, 10)
@@ -39,31 +40,29 @@ def action_limit_steps(action: Column, limit: Column) -> Column:
 
 
 def clamped_position(
-    df: DataFrame,
-    series: Series,
-    delta: Column,
-    limit: Column,
-    start: DataFrame | None = None,
-    measure: DataFrame | None = None,
+    df: DataFrame, series: Series, delta: Column, limit: Column, start: DataFrame | None = None
 ) -> DataFrame:
     """Add ``position_before``, ``position`` and ``change`` of a position kept within ±limit.
 
     ``start`` may hold a position per key (columns: key, ``position``) to go on from.
     """
-    key = list(series.key)
-    prepared = df.withColumns({"_delta": delta.cast("long"), "_limit": limit.cast("long")})
-    layout = arrange(prepared, series, measure=measure)
-    rows = layout.df
-    order = series.order_names
+    return hold(arrange(df, series), delta, limit, start).rows()
+
+
+def hold(layout: Layout, delta: Column, limit: Column, start: DataFrame | None = None) -> Layout:
+    """``clamped_position`` over a layout, which later steps can go on using."""
+    layout = layout.owned()
+    columns = layout.df.columns
+    rows = layout.df.withColumns({"_delta": delta.cast("long"), "_limit": limit.cast("long")})
+    key, parts, order = list(layout.series.key), layout.parts, layout.series.order_names
     if layout.split:
-        rows = rows.drop(*[h for h in layout.helpers if h not in layout.parts])
-        folded = rows.select(*layout.parts, *[c for c in order if c not in layout.parts], "_delta", "_limit")
-        steps = folded.groupBy(*layout.parts).applyInArrow(
-            _fold_block(layout.parts, order),
-            T.StructType(
-                [folded.schema[p] for p in layout.parts]
-                + [T.StructField(n, T.LongType()) for n in ("_shift", "_low", "_high")]
-            ),
+        # Read twice below: once narrow to fold the blocks, once whole to replay them.
+        rows = settle_table(rows, "steps")
+        folded = rows.select(*parts, *[c for c in order if c not in parts], "_delta", "_limit")
+        part_fields = [folded.schema[p] for p in parts]
+        steps = folded.groupBy(*parts).applyInArrow(
+            _fold_block(parts, order),
+            T.StructType(part_fields + [T.StructField(n, T.LongType()) for n in ("_shift", "_low", "_high")]),
         )
         if start is not None:
             steps = attach(steps, start.withColumnRenamed("position", "_from"), key, null_safe=True)
@@ -71,17 +70,17 @@ def clamped_position(
             steps = steps.withColumn("_from", F.lit(0).cast("long"))
         # One row per block: far fewer than the rows of the longest series.
         starts = steps.groupBy(*key).applyInArrow(
-            _chain_blocks(layout.parts),
-            T.StructType([folded.schema[p] for p in layout.parts] + [T.StructField("_start", T.LongType())]),
+            _chain_blocks(parts), T.StructType([*part_fields, T.StructField("_start", T.LongType())])
         )
-        rows = attach(rows, starts, layout.parts, null_safe=True)
+        rows = attach(rows, starts, parts, null_safe=True)
     elif start is not None:
         rows = attach(rows, start.withColumnRenamed("position", "_start"), key, null_safe=True)
     else:
         rows = rows.withColumn("_start", F.lit(0).cast("long"))
     outputs = [T.StructField(n, T.LongType()) for n in ("position_before", "position", "change")]
-    schema = T.StructType([*df.schema, *outputs])
-    return rows.groupBy(*layout.parts).applyInArrow(_replay_block(df.columns, order), schema)
+    schema = T.StructType([*layout.df.schema, *outputs])
+    replayed = rows.groupBy(*parts).applyInArrow(_replay_block(columns, order), schema)
+    return layout.with_df(replayed).settled("positions")
 
 
 def _sorted(table: pa.Table, order: Sequence[str]) -> pa.Table:
@@ -179,48 +178,63 @@ def pair_profit(side: str, price: str, quantity: str, prev: str) -> Column:
     )
 
 
-def realized_pnl(trades: DataFrame, series: Series, measure: DataFrame | None = None) -> DataFrame:
-    """Total profit over consecutive opposite trades, per key."""
-    layout = arrange(trades, series, back=1, measure=measure)
-    struct = F.struct(
-        F.col("trade_side").alias("side"), F.col("trade_price").alias("price"), F.col("trade_quantity").alias("quantity")
-    )
-    paired = layout.finish(layout.df.withColumn("_prev", F.lag(struct).over(layout.window)))
-    profit = pair_profit("trade_side", "trade_price", "trade_quantity", "_prev")
-    return paired.groupBy(*series.key).agg(
-        F.sum(profit).alias("realized_pnl"), F.count(F.lit(1)).alias("n_trades")
-    )
-
-
-def mark_to_market(
-    positions: DataFrame, series: Series, price: str = "price", measure: DataFrame | None = None
-) -> DataFrame:
-    """Add realized, open and total profit after each row of ``clamped_position``."""
-    moved = F.col("change") != 0
-    trade = F.when(
-        moved,
+def _trade_so_far(price: str) -> Column:
+    """The row's trade as a struct; NULL where the position did not move."""
+    return F.when(
+        F.col("change") != 0,
         F.struct(
             trade_side(F.col("change")).alias("side"),
-            F.col(price).alias("price"),
+            F.col(price).cast("double").alias("price"),
             F.abs("change").alias("quantity"),
         ),
     )
-    latest = running(positions, series, lasts={"_last": trade}, measure=measure)
-    layout = arrange(latest, series, back=1, measure=measure)
-    # The trade before this row's: the last trade as of the row before.
-    with_prev = layout.finish(layout.df.withColumn("_prev", F.lag("_last").over(layout.window)))
-    with_prev = with_prev.withColumns({"_side": trade_side(F.col("change")), "_size": F.abs("change")})
-    profit = F.when(moved, pair_profit("_side", price, "_size", "_prev")).otherwise(F.lit(0.0))
-    summed = running(with_prev, series, sums={"realized_pnl": profit}, measure=measure)
-    held, last = F.col("position"), F.col("_last")
+
+
+def _with_gain(held: Layout, price: str, opening: DataFrame | None = None) -> Layout:
+    """Add the last trade so far, the one before this row's, and this row's realized gain.
+
+    ``opening`` holds a last trade (``last_trade``) and profit (``realized``) per
+    key from an earlier part of the series.
+    """
+    trade = _trade_so_far(price)
+    seen = run_over(held, lasts={"_last": trade}, before={"_prev": trade})
+    df = seen.df
+    if opening is not None:
+        df = attach(df, opening, held.series.key, null_safe=True)
+        df = df.withColumns(
+            {"_last": F.coalesce("_last", "last_trade"), "_prev": F.coalesce("_prev", "last_trade")}
+        )
+    df = df.withColumns({"_side": trade_side(F.col("change")), "_size": F.abs("change")})
+    gain = F.when(F.col("change") != 0, pair_profit("_side", price, "_size", "_prev")).otherwise(F.lit(0.0))
+    return seen.with_df(df.withColumn("_gain", gain).drop("_prev", "_side", "_size"))
+
+
+def realized_pnl(held: Layout, price: str = "price") -> DataFrame:
+    """Profit over consecutive opposite trades and the number of trades, per key."""
+    gains = _with_gain(held, price).df
+    return gains.groupBy(*held.series.key).agg(
+        F.sum("_gain").alias("realized_pnl"), F.count_if(F.col("change") != 0).alias("n_trades")
+    )
+
+
+def mark_to_market(held: Layout, price: str = "price", opening: DataFrame | None = None) -> Layout:
+    """Add realized, open and total profit and the last trade after each row of ``hold``."""
+    gains = _with_gain(held, price, opening)
+    summed = run_over(gains, sums={"realized_pnl": F.col("_gain")})
+    df = summed.df
+    realized = F.col("realized_pnl")
+    if opening is not None:
+        realized = realized + F.coalesce("realized", F.lit(0.0))
+    position, last = F.col("position"), F.col("_last")
     gain = (
-        F.when((held == 0) | last.isNull(), F.lit(0.0))
-        .when(last["side"] == "BUY", (F.col(price) - last["price"]) * held)
-        .otherwise((last["price"] - F.col(price)) * F.abs(held))
+        F.when((position == 0) | last.isNull(), F.lit(0.0))
+        .when(last["side"] == "BUY", (F.col(price) - last["price"]) * position)
+        .otherwise((last["price"] - F.col(price)) * F.abs(position))
+    )
+    df = df.withColumn("realized_pnl", realized).withColumns(
+        {"unrealized_pnl": gain, "pnl": F.col("realized_pnl") + gain, "last_trade": last}
     )
-    return summed.withColumns(
-        {"unrealized_pnl": gain, "pnl": F.col("realized_pnl") + gain}
-    ).drop("_last", "_prev", "_side", "_size")
+    return summed.with_df(df.drop("_last", "_gain", "realized"))
 
 
 def step_rewards(
@@ -231,70 +245,69 @@ def step_rewards(
     limit: int = 100,
     cost: float = 0.001,
     history_window: int = 10,
-) -> DataFrame:
+) -> Layout:
     """One row per step: position, reward, and the next row's time and price.
 
     The first ``history_window`` rows and the last row of a series have no step.
     """
     layout = arrange(df, series, back=history_window, ahead=1)
-    looked = layout.df.withColumns(
-        {
-            "_seen": F.count(F.lit(1)).over(layout.last(history_window + 1)),
-            "next_price": F.lead(price).over(layout.window),
-            **{f"next_{c}": F.lead(c).over(layout.window) for c in series.order_names[:1]},
-            "_has_next": F.lead(F.lit(True)).over(layout.window),
-        }
-    )
-    steps = layout.finish(looked).filter(
-        (F.col("_seen") > history_window) & F.col("_has_next")
-    ).drop("_seen", "_has_next")
+    time = series.order_names[0]
+    looked = layout.with_df(
+        layout.df.withColumns(
+            {
+                "_seen": F.count(F.lit(1)).over(layout.last(history_window + 1)),
+                "next_price": F.lead(price).over(layout.window),
+                f"next_{time}": F.lead(time).over(layout.window),
+                "_has_next": F.lead(F.lit(True)).over(layout.window),
+            }
+        )
+    ).owned()
+    steps = looked.df.filter((F.col("_seen") > history_window) & F.col("_has_next"))
     bound = F.lit(limit).cast("long")
-    held = clamped_position(
-        steps, series, action_limit_steps(F.col(action), bound), bound, measure=df
+    held = hold(
+        looked.with_df(steps.drop("_seen", "_has_next")), action_limit_steps(F.col(action), bound), bound
     )
     reward = F.col("position") * (F.col("next_price") - F.col(price)) - F.abs("change") * F.col(price) * cost
-    return held.withColumn("reward", reward)
+    return held.with_df(held.df.withColumn("reward", reward))
 
 
-def cumulative_pnl(
-    df: DataFrame, series: Series, reward: str = "reward", name: str = "pnl", measure: DataFrame | None = None
-) -> DataFrame:
-    return running(df, series, sums={name: F.col(reward)}, measure=measure)
+def cumulative_pnl(stepped: Layout, reward: str = "reward", name: str = "pnl") -> Layout:
+    return run_over(stepped, sums={name: F.col(reward)})
 
 
-def trade_log(stepped: DataFrame, time: str) -> DataFrame:
+def trade_log(stepped: Layout) -> DataFrame:
     """Steps that moved the position, with the time and price of the row after."""
-    moved = stepped.filter(F.col("change") != 0)
+    time = stepped.series.order_names[0]
+    moved = stepped.rows().filter(F.col("change") != 0)
     return moved.withColumns({"trade_time": F.col(f"next_{time}"), "trade_price": F.col("next_price")})
 
 
-def position_changes(positions: DataFrame, series: Series, position: str = "position", measure: DataFrame | None = None) -> DataFrame:
-    """Rows whose position differs from the row before, counted per key."""
-    layout = arrange(positions, series, back=1, measure=measure)
-    before = F.lag(position).over(layout.window)
-    flagged = layout.finish(layout.df.withColumn("_moved", F.col(position) != before))
-    return flagged.groupBy(*series.key).agg(
-        F.sum(F.when(F.col("_moved"), 1).otherwise(0)).alias("n_changes")
-    )
+def _n_changes(series: Series) -> Column:
+    """Rows whose position differs from the row before; the first row has none before it."""
+    first_moved = F.min_by(F.col("change") != 0, F.struct(*series.order_names)).cast("long")
+    return F.count_if(F.col("change") != 0) - first_moved
+
+
+def position_changes(stepped: Layout) -> DataFrame:
+    """Position changes per key, by partial aggregation."""
+    rows = stepped.rows()
+    return rows.groupBy(*stepped.series.key).agg(_n_changes(stepped.series).alias("n_changes"))
 
 
-def backtest_summary(stepped: DataFrame, series: Series, measure: DataFrame | None = None) -> DataFrame:
+def backtest_summary(stepped: Layout) -> DataFrame:
     """Total reward, yearly Sharpe ratio, largest position and position changes per key."""
-    layout = arrange(stepped, series, back=1, measure=measure)
-    before = F.lag("position").over(layout.window)
-    flagged = layout.finish(layout.df.withColumn("_moved", F.col("position") != before))
-    return flagged.groupBy(*series.key).agg(
+    rows = stepped.rows()
+    return rows.groupBy(*stepped.series.key).agg(
         F.sum("reward").alias("total_reward"),
         sharpe(F.col("reward")).alias("sharpe_ratio"),
         F.max(F.abs("position")).alias("max_position"),
-        F.sum(F.when(F.col("_moved"), 1).otherwise(0)).alias("n_changes"),
+        _n_changes(stepped.series).alias("n_changes"),
         F.count(F.lit(1)).alias("n_steps"),
     )
 
 
-def signals_per_product(positions: DataFrame, series: Series) -> DataFrame:
-    """Non-hold signals in order: (side, quantity) rows, numbered per key."""
-    trades = executed_trades(positions)
-    layout = arrange(trades, series)
-    numbered = layout.df.withColumn("signal_number", layout.index)
-    return layout.finish(numbered)
+def signals_per_product(held: Layout, price: str = "price") -> DataFrame:
+    """Non-hold signals (side, quantity) in order, numbered from 0 per key."""
+    moved = F.when(F.col("change") != 0, 1).otherwise(0).cast("long")
+    numbered = run_over(held, sums={"signal_number": moved}).rows()
+    return executed_trades(numbered, price).withColumn("signal_number", F.col("signal_number") - 1)

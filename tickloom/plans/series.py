@@ -16,7 +16,7 @@ instead, which splits at any row.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -83,12 +83,29 @@ class Layout:
         """The current row and the n - 1 rows after it."""
         return self.window.rowsBetween(0, n - 1)
 
-    def finish(self, df: DataFrame, keep_parts: bool = False) -> DataFrame:
-        """Drop context copies and helper columns."""
-        if not self.split:
-            return df
-        drop = [h for h in self.helpers if not (keep_parts and h in self.parts)]
-        return df.filter("_own").drop(*drop)
+    def with_df(self, df: DataFrame) -> Layout:
+        """The same layout over a frame with more columns or fewer rows."""
+        return replace(self, df=df)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Drop context copies and helper columns of ``df``, made from this layout's frame."""
+        if "_own" in self.helpers:
+            df = df.filter("_own")
+        return df.drop(*self.helpers)
+
+    def rows(self) -> DataFrame:
+        return self.finish(self.df)
+
+    def owned(self) -> Layout:
+        """Without context copies: every row once, still cut into blocks."""
+        if "_own" not in self.helpers:
+            return self
+        df = self.df.filter("_own").drop(*[h for h in self.helpers if h != "_block"])
+        return Layout(df, self.series, self.parts, True, ["_block"])
+
+    def settled(self, name: str) -> Layout:
+        """Written out when split, so that the steps after it do not repeat the ones before."""
+        return self.with_df(settle_table(self.df, name)) if self.split else self
 
 
 def arrange(

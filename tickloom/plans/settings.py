@@ -12,11 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Most rows of one key that a single window task should sort.
-ROWS_PER_BLOCK = ("tickloom.rowsPerBlock", 2_000_000)
+ROWS_PER_BLOCK = ("spark.tickloom.rowsPerBlock", 2_000_000)
 # Most rows of a side table that may be broadcast.
-BROADCAST_ROWS = ("tickloom.broadcastRows", 100_000)
+BROADCAST_ROWS = ("spark.tickloom.broadcastRows", 100_000)
 # Most rows of one join key that a single join task should hold.
-ROWS_PER_JOIN_KEY = ("tickloom.rowsPerJoinKey", 2_000_000)
+ROWS_PER_JOIN_KEY = ("spark.tickloom.rowsPerJoinKey", 2_000_000)
 
 
 def size_setting(spark: SparkSession, setting: tuple[str, int]) -> int:

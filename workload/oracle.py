@@ -470,3 +470,8 @@ SQL["feature_vector"] = f"""WITH {AGENT}, g AS (SELECT product, avg(price) AS pr
   max(abs(price)) AS price_max, avg(size) AS size_mean, stddev_pop(size) AS size_std, max(abs(size)) AS size_max
   FROM ticks GROUP BY product)
 SELECT event_id, CAST(13 AS BIGINT) AS n, {_vector()} FROM held JOIN g USING (product)"""
+
+# ---------------------------------------------------------------- streams: the same results as their batch form
+
+SQL["stream_signals"] = SQL["quote_orders"]
+SQL["stream_positions"] = SQL["mark_to_market"]

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import columns as C
 from tickloom.operators import book, features, fills, policy, positions, sequences, signals, stats, synth
-from tickloom.plans import Series, row_index, running
+from tickloom.plans import Layout, Series, arrange, row_index, running
+from tickloom.plans.settings import scratch_path
 from tickloom.schema import PRICE_COLUMNS
+from tickloom.streaming import batches
 from workload import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,7 +224,7 @@ def action_delta(spark: SparkSession, folder: str) -> DataFrame:
 @query("feature_vector")
 def feature_vector(spark: SparkSession, folder: str) -> DataFrame:
     """Feature, indicator and position vector of every tick."""
-    held = agent_positions(spark, folder)
+    held = agent_positions(spark, folder).rows()
     out = policy.agent_features(held, V.TICK_SERIES, V.FEATURES, F.col("position"), F.lit(50))
     vector = F.col("feature_vector")
     return out.select(
@@ -655,73 +657,69 @@ def row_numbers(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- positions
 
 
-def agent_positions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.ticks(spark, folder)
-    return positions.clamped_position(rows, V.TICK_SERIES, positions.action_lots(F.col("action")), F.lit(50))
+def agent_positions(spark: SparkSession, folder: str) -> Layout:
+    laid = arrange(V.ticks(spark, folder), V.TICK_SERIES)
+    return positions.hold(laid, positions.action_lots(F.col("action")), F.lit(50))
 
 
-def env_steps(spark: SparkSession, folder: str) -> DataFrame:
+def env_steps(spark: SparkSession, folder: str) -> Layout:
     return positions.step_rewards(V.ticks(spark, folder), V.TICK_SERIES, limit=50)
 
 
 @query("clamped_position")
 def clamped_position(spark: SparkSession, folder: str) -> DataFrame:
-    return agent_positions(spark, folder).select("event_id", "position_before", "position", "change")
+    return agent_positions(spark, folder).rows().select("event_id", "position_before", "position", "change")
 
 
 @query("action_side")
 def action_side(spark: SparkSession, folder: str) -> DataFrame:
-    out = agent_positions(spark, folder).withColumn("trade_side", positions.trade_side(F.col("change")))
+    out = agent_positions(spark, folder).rows().withColumn("trade_side", positions.trade_side(F.col("change")))
     return out.select("event_id", "action", "trade_side", F.abs("change").alias("quantity"))
 
 
 @query("position_features")
 def position_features(spark: SparkSession, folder: str) -> DataFrame:
-    out = agent_positions(spark, folder).withColumns(positions.position_features(F.col("position"), F.lit(50)))
+    out = agent_positions(spark, folder).rows().withColumns(positions.position_features(F.col("position"), F.lit(50)))
     return out.select("event_id", *rounded(6, "position_share"), "is_long", "is_short")
 
 
 @query("executed_trades")
 def executed_trades(spark: SparkSession, folder: str) -> DataFrame:
-    out = positions.executed_trades(agent_positions(spark, folder))
+    out = positions.executed_trades(agent_positions(spark, folder).rows())
     return out.select("event_id", "product", "trade_side", "trade_quantity", "trade_price")
 
 
 @query("signals_per_product")
 def signals_per_product(spark: SparkSession, folder: str) -> DataFrame:
-    out = positions.signals_per_product(agent_positions(spark, folder), V.TICK_SERIES)
+    out = positions.signals_per_product(agent_positions(spark, folder))
     return out.select("event_id", "product", "signal_number", "trade_side", "trade_quantity")
 
 
 @query("realized_pnl")
 def realized_pnl(spark: SparkSession, folder: str) -> DataFrame:
-    trades = positions.executed_trades(agent_positions(spark, folder))
-    out = positions.realized_pnl(trades, V.TICK_SERIES, measure=V.ticks(spark, folder))
+    out = positions.realized_pnl(agent_positions(spark, folder))
     return out.select("product", "n_trades", *rounded(4, "realized_pnl"))
 
 
 @query("mark_to_market")
 def mark_to_market(spark: SparkSession, folder: str) -> DataFrame:
-    out = positions.mark_to_market(agent_positions(spark, folder), V.TICK_SERIES, measure=V.ticks(spark, folder))
+    out = positions.mark_to_market(agent_positions(spark, folder)).rows()
     return out.select("event_id", "position", *rounded(4, "realized_pnl", "unrealized_pnl", "pnl"))
 
 
 @query("step_reward")
 def step_reward(spark: SparkSession, folder: str) -> DataFrame:
-    return env_steps(spark, folder).select("event_id", "position", "change", *rounded(6, "reward"))
+    return env_steps(spark, folder).rows().select("event_id", "position", "change", *rounded(6, "reward"))
 
 
 @query("cumulative_pnl")
 def cumulative_pnl(spark: SparkSession, folder: str) -> DataFrame:
-    out = positions.cumulative_pnl(env_steps(spark, folder), V.TICK_SERIES, measure=V.ticks(spark, folder))
-    return out.select("event_id", *rounded(6, "pnl"))
+    return positions.cumulative_pnl(env_steps(spark, folder)).rows().select("event_id", *rounded(6, "pnl"))
 
 
 @query("trade_log")
 def trade_log(spark: SparkSession, folder: str) -> DataFrame:
-    ticks = V.ticks(spark, folder)
-    stepped = positions.cumulative_pnl(env_steps(spark, folder), V.TICK_SERIES, measure=ticks)
-    out = positions.trade_log(stepped, "time")
+    out = positions.trade_log(positions.cumulative_pnl(env_steps(spark, folder)))
     return out.select(
         "event_id", "action", "change", F.date_format("trade_time", "yyyy-MM-dd HH:mm:ss").alias("trade_time"),
         "trade_price", *rounded(6, "pnl"),
@@ -731,15 +729,13 @@ def trade_log(spark: SparkSession, folder: str) -> DataFrame:
 @query("observation")
 def observation(spark: SparkSession, folder: str) -> DataFrame:
     """Feature row, share of the limit held and profit so far, before each step."""
-    ticks = V.ticks(spark, folder)
-    out = positions.cumulative_pnl(env_steps(spark, folder), V.TICK_SERIES, measure=ticks)
+    out = positions.cumulative_pnl(env_steps(spark, folder)).rows()
     seen = policy.observation(["price", "size"], F.col("position_before"), F.lit(50), F.col("pnl") - F.col("reward"))
     out = out.withColumn("o", seen)
-    return out.select("event_id", F.size("o").cast("long").alias("n"),
-                      F.round(F.col("o")[0].cast("double"), 2).alias("price"),
-                      F.round(F.col("o")[1].cast("double"), 2).alias("size"),
-                      F.round(F.col("o")[2].cast("double"), 2).alias("share"),
-                      F.round(F.col("o")[3].cast("double"), 2).alias("pnl"))
+    return out.select(
+        "event_id", F.size("o").cast("long").alias("n"),
+        *[F.round(F.col("o")[i].cast("double"), 2).alias(n) for i, n in enumerate(["price", "size", "share", "pnl"])],
+    )
 
 
 @query("direction_reward")
@@ -751,18 +747,18 @@ def direction_reward(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("position_changes")
 def position_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return positions.position_changes(env_steps(spark, folder), V.TICK_SERIES, measure=V.ticks(spark, folder))
+    return positions.position_changes(env_steps(spark, folder))
 
 
 @query("backtest_summary")
 def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
-    out = positions.backtest_summary(env_steps(spark, folder), V.TICK_SERIES, measure=V.ticks(spark, folder))
+    out = positions.backtest_summary(env_steps(spark, folder))
     return out.select("product", "max_position", "n_changes", "n_steps", *rounded(6, "total_reward", "sharpe_ratio"))
 
 
 @query("total_pnl")
 def total_pnl(spark: SparkSession, folder: str) -> DataFrame:
-    return env_steps(spark, folder).groupBy("product").agg(
+    return env_steps(spark, folder).rows().groupBy("product").agg(
         F.round(F.sum("reward"), 6).alias("total_pnl"), F.count_if(F.col("change") != 0).alias("n_trades")
     )
 
@@ -770,7 +766,7 @@ def total_pnl(spark: SparkSession, folder: str) -> DataFrame:
 @query("backtest")
 def backtest(spark: SparkSession, folder: str) -> DataFrame:
     """Position, reward and running profit of every step, in one job."""
-    out = positions.cumulative_pnl(env_steps(spark, folder), V.TICK_SERIES, measure=V.ticks(spark, folder))
+    out = positions.cumulative_pnl(env_steps(spark, folder)).rows()
     return out.select("event_id", "product", "action", "position", "change", *rounded(6, "reward", "pnl"))
 
 
@@ -838,3 +834,49 @@ def synth_validate(spark: SparkSession, folder: str) -> DataFrame:
 def running_totals(spark: SparkSession, folder: str) -> DataFrame:
     out = running(V.ticks(spark, folder), V.TICK_SERIES, sums={"size_so_far": F.col("size")})
     return out.select("event_id", "size_so_far")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _replay(df: DataFrame, axis: Column, start: Callable[[DataFrame], object], parts: int = 3) -> None:
+    """Feed a table to a streaming query in time order, stopping and resuming it between parts."""
+    spark = df.sparkSession
+    inbox = scratch_path(spark, "inbox")
+    cuts = df.agg(F.percentile_approx(axis, [i / parts for i in range(1, parts)])).first()[0]
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = df
+        if low is not None:
+            part = part.filter(axis > F.lit(low))
+        if high is not None:
+            part = part.filter(axis <= F.lit(high))
+        part.write.mode("append").parquet(inbox)
+        start(spark.readStream.schema(df.schema).parquet(inbox)).awaitTermination()
+
+
+@query("stream_signals")
+def stream_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders from books that arrive in three batches."""
+    path = scratch_path(spark, "signals")
+    params = V.params(spark)
+    _replay(
+        V.book_wide(spark, folder), F.col("t"),
+        lambda books: batches.stream_signals(books, V.BOOK_SERIES, path, params),
+    )
+    out = spark.read.parquet(f"{path}/orders")
+    return out.select("product", "t", "order_side", "order_price", "quantity")
+
+
+@query("stream_positions")
+def stream_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions and profit of ticks that arrive in three batches."""
+    path = scratch_path(spark, "positions")
+    _replay(
+        V.ticks(spark, folder), F.col("event_id"),
+        lambda ticks: batches.stream_positions(
+            ticks, V.TICK_SERIES, path, positions.action_lots(F.col("action")), F.lit(50)
+        ),
+    )
+    out = spark.read.parquet(f"{path}/positions")
+    return out.select("event_id", "position", *rounded(4, "realized_pnl", "unrealized_pnl", "pnl"))
