@@ -37,9 +37,10 @@ def top_levels(
     """The best ``levels`` quotes of each side, with their level number.
 
     The rank filter sits on the window, so each task keeps only its best rows
-    before the shuffle and a crowded instant stays small.
+    before the shuffle and a crowded instant stays small. Time leads the key: it
+    has the most values, which lets the sort compare by prefix.
     """
-    best = Window.partitionBy("product", time, *extra_key, "side").orderBy(_rank_price().asc_nulls_last(), *ties)
+    best = Window.partitionBy(time, "product", *extra_key, "side").orderBy(_rank_price().asc_nulls_last(), *ties)
     return quotes.withColumn("level", F.row_number().over(best)).filter(F.col("level") <= levels)
 
 
@@ -72,7 +73,7 @@ def l2_pivot(
             here = (F.col("side") == side.upper()) & (F.col("level") == i)
             cells.append(F.max(F.when(here, F.col("price"))).alias(f"{side}_price_{i}"))
             cells.append(F.max(F.when(here, F.col("quantity"))).alias(f"{side}_{size_name}_{i}"))
-    return ranked.groupBy("product", time, *extra_key).agg(*cells)
+    return ranked.groupBy(time, "product", *extra_key).agg(*cells)
 
 
 def book_mid() -> Column:

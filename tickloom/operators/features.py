@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import log_ratio, ratio
+from tickloom.functions.columns import fold_prefix, log_ratio, ratio
 from tickloom.operators import book
 from tickloom.plans import Layout, Series, arrange
 
@@ -174,7 +174,10 @@ def volume_trend(total: Column, window: int = 10) -> Feature:
     )
 
 
-def add_features(df: DataFrame, series: Series, features: Sequence[Feature], measure: DataFrame | None = None) -> DataFrame:
+def add_features(
+    df: DataFrame, series: Series, features: Sequence[Feature], measure: DataFrame | None = None
+) -> DataFrame:
+    """All columns of the features asked for; ``measure`` is as in ``arrange``."""
     layout = arrange(df, series, back=max(f.back for f in features), measure=measure)
     out = layout.df
     for stage in (
@@ -197,14 +200,13 @@ def price_file_features(
     ties: Sequence[str] = (),
     fold_prefixes: Sequence[str] = (),
     window: int = 10,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """The whole feature table of 17-column price rows, 31 columns added.
 
     Pass ``key="base_product"`` to run the windows over folded products; name
-    ``ties`` that order its rows.
+    ``ties`` that order its rows. ``measure`` is as in ``arrange``.
     """
-    from tickloom.functions.columns import fold_prefix
-
     filled = book.cast_fill(prices).withColumns(
         {
             "round_timestamp": book.round_timestamp(),
@@ -227,11 +229,16 @@ def price_file_features(
             cci(),
             rolling_volatility(window=window),
         ],
+        measure,
     )
 
 
 def quote_book_features(
-    books: DataFrame, key: str | Sequence[str] = "product", time: str = "timestamp", window: int = 10
+    books: DataFrame,
+    key: str | Sequence[str] = "product",
+    time: str = "timestamp",
+    window: int = 10,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """The smaller feature set of pivoted quotes: full windows only, missing values as 0."""
     sizes = ("bid_size_1", "ask_size_1")
@@ -248,5 +255,6 @@ def quote_book_features(
         base,
         Series.of(key, time),
         [price_change(), volatility_full(window=window), momentum(window=window), volume_trend(total, window)],
+        measure,
     )
     return out.fillna(0.0)

@@ -40,8 +40,10 @@ def history_columns(at: Layout, price: str = "mid_price") -> dict[str, Column]:
     }
 
 
-def price_history(df: DataFrame, series: Series, price: str = "mid_price") -> DataFrame:
-    layout = arrange(df, series, back=HISTORY - 1)
+def price_history(
+    df: DataFrame, series: Series, price: str = "mid_price", measure: DataFrame | None = None
+) -> DataFrame:
+    layout = arrange(df, series, back=HISTORY - 1, measure=measure)
     return layout.finish(layout.df.withColumns(history_columns(layout, price)))
 
 
@@ -89,12 +91,14 @@ def target_size() -> Column:
     return F.when(F.col("history_rows") < SHORT, F.col("min_position")).otherwise(sized).cast("long")
 
 
-def fair_prices(books: DataFrame, series: Series, params: DataFrame | None = None) -> DataFrame:
+def fair_prices(
+    books: DataFrame, series: Series, params: DataFrame | None = None, measure: DataFrame | None = None
+) -> DataFrame:
     """Signals and target sizes for every two-sided book; one-sided books are no part of the history."""
     rows = books.filter(two_sided()).withColumn(
         "mid_price", (F.col("bid_price_1") + F.col("ask_price_1")) / 2
     )
-    priced = price_history(rows, series)
+    priced = price_history(rows, series, measure=measure)
     if params is None:
         priced = priced.withColumns({n: F.lit(v) for n, v in DEFAULTS.items()})
     else:

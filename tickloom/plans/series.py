@@ -113,14 +113,17 @@ def arrange(
 ) -> Layout:
     """Lay ``df`` out so that frames of ``back`` rows before and ``ahead`` after are whole.
 
-    ``measure`` may name a cheaper frame with the same key and at least as many
-    rows per key (say, the input of a costly step): if its longest series fits,
-    so does that of ``df``.
+    ``measure`` names the input of a costly step (say, the quotes of a book):
+    a frame with the same key and at least as many rows per key. If its longest
+    series fits, so does that of ``df``; if not, ``df`` is written out once
+    before it is counted and cut.
     """
     spark = df.sparkSession
     limit = size_setting(spark, ROWS_PER_BLOCK)
-    if measure is not None and not _has_long(measure, series, limit):
-        return _whole(df, series)
+    if measure is not None:
+        if not _has_long(measure, series, limit):
+            return _whole(df, series)
+        df = settle_table(df, "series")
     axis = _axis(df, series)
     sizes = df.groupBy(*series.key).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -42,7 +42,7 @@ def book_features(spark: SparkSession, folder: str) -> DataFrame:
     filled = filled.withColumns(
         {"bid_ask_spread": book.spread(), "order_book_imbalance": book.imbalance()}
     )
-    out = features.add_features(filled, V.BOOK_SERIES, [features.log_return(), features.rolling_zscore()])
+    out = features.add_features(filled, V.BOOK_SERIES, [features.log_return(), features.rolling_zscore()], V.quote_products(spark, folder))
     return out.select(
         "product", "t", "mid_price", "bid_ask_spread",
         *rounded(6, "order_book_imbalance", "log_return", "rolling_mean", "rolling_zscore"),
@@ -466,7 +466,7 @@ def _price_features(spark: SparkSession, folder: str, wanted: Sequence[features.
     prices = book.cast_fill(V.prices17(spark, folder)).withColumns(
         {"round_timestamp": book.round_timestamp(), **book.volume_columns()}
     )
-    out = features.add_features(prices, Series.of("product", "round_timestamp"), wanted)
+    out = features.add_features(prices, Series.of("product", "round_timestamp"), wanted, V.quote_products(spark, folder))
     return out.select("product", "round_timestamp", *columns)
 
 
@@ -517,7 +517,7 @@ def rolling_volatility(spark: SparkSession, folder: str) -> DataFrame:
 @query("feature_table")
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     """All features of a price file in one plan."""
-    out = features.price_file_features(V.prices17(spark, folder))
+    out = features.price_file_features(V.prices17(spark, folder), measure=V.quote_products(spark, folder))
     return out.select(
         "product", "round_timestamp", "base_product", "trade_volume_best", "trade_volume_total", "bid_ask_spread",
         *rounded(6, "order_book_imbalance", "log_return", "rolling_zscore", "volume_weighted_return", "depth_volatility",
@@ -527,7 +527,7 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _quote_features(spark: SparkSession, folder: str, *columns: Column | str) -> DataFrame:
-    out = features.quote_book_features(V.book_sizes(spark, folder), "product", "t")
+    out = features.quote_book_features(V.book_sizes(spark, folder), "product", "t", measure=V.quote_products(spark, folder))
     return out.select("product", "t", *columns)
 
 
@@ -585,7 +585,7 @@ def direction_label(spark: SparkSession, folder: str) -> DataFrame:
 def _history(spark: SparkSession, folder: str) -> DataFrame:
     rows = V.book_wide(spark, folder).filter(book.two_sided())
     rows = rows.withColumn("mid_price", (F.col("bid_price_1") + F.col("ask_price_1")) / 2)
-    return signals.price_history(rows, V.BOOK_SERIES)
+    return signals.price_history(rows, V.BOOK_SERIES, measure=V.quote_products(spark, folder))
 
 
 @query("history_stats")
@@ -619,7 +619,9 @@ def trend_strength(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fair(spark: SparkSession, folder: str) -> DataFrame:
-    return signals.fair_prices(V.book_wide(spark, folder), V.BOOK_SERIES, V.params(spark))
+    return signals.fair_prices(
+        V.book_wide(spark, folder), V.BOOK_SERIES, V.params(spark), measure=V.quote_products(spark, folder)
+    )
 
 
 @query("fair_price")

@@ -38,6 +38,11 @@ def quotes_long(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quote_products(spark: SparkSession, folder: str) -> DataFrame:
+    """One product name per quote: bounds the rows of each product's book series."""
+    return quotes_long(spark, folder).select("product")
+
+
 def book_wide(spark: SparkSession, folder: str) -> DataFrame:
     pivoted = book.l2_pivot(quotes_long(spark, folder), 3, time="t", ties=QUOTE_TIES)
     return pivoted.withColumn("mid_price", book.book_mid())
