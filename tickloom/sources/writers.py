@@ -6,31 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.plans.settings import ROWS_PER_BLOCK, settle, size_setting
-from tickloom.plans.joins import match
-
 
 def write_split(
     df: DataFrame, path: str, by: str = "product", format: str = "csv", one_file: bool = False
 ) -> None:
     """One folder per product in one job.
 
-    Products are gathered before the write so each gives few files. One with
-    many rows is spread over several tasks (and files); ``one_file`` forbids that.
+    Rows are rebalanced by product before the write, so a small product gives
+    one file and a large one is spread over several tasks by its size.
+    ``one_file`` forbids that and gathers each product in one task.
     """
-    if one_file:
-        laid = df.repartition(by)
-    else:
-        bound = size_setting(df.sparkSession, ROWS_PER_BLOCK)
-        counts = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / bound).cast("int").alias("_files"))
-        large = settle(counts.filter(F.col("_files") > 1))
-        if large.isEmpty():
-            laid = df.repartition(by)
-        else:
-            spread = match(df, large, [by], "left", True).withColumn(
-                "_file", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1)))
-            )
-            laid = spread.repartition(by, "_file").drop("_files", "_file")
+    laid = df.repartition(by) if one_file else df.hint("rebalance", by)
     writer = laid.write.mode("overwrite").partitionBy(by)
     if format == "csv":
         writer = writer.option("header", True)
