@@ -20,7 +20,7 @@ def spark():
 @pytest.fixture
 def small_blocks(spark):
     """Force the split form of every plan on small data."""
-    names = {"rowsPerBlock": "40", "broadcastRows": "100000", "rowsPerJoinKey": "50"}
+    names = {"rowsPerBlock": "40", "broadcastRows": "100000", "broadcastSlices": "100000", "rowsPerJoinKey": "50"}
 
     def use(**changes):
         for name, value in {**names, **{k: str(v) for k, v in changes.items()}}.items():

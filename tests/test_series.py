@@ -80,10 +80,19 @@ def test_row_index_and_running(spark, small_blocks, shape):
 def test_side_tables_too_large_to_broadcast(spark, small_blocks):
     df = _frame(spark, "even")
     expected = _collect(row_index(df, SERIES))
-    small_blocks(broadcastRows=1)
+    small_blocks(broadcastSlices=1)
     assert _collect(row_index(df, SERIES)) == expected
 
 
+@pytest.mark.parametrize("slices", [8, 40, 100])
+def test_blocks_grow_when_there_are_too_many(spark, small_blocks, slices):
+    df = _frame(spark, "skewed")
+    spark.conf.set("spark.tickloom.rowsPerBlock", "1000000")
+    expected = _collect(_windows(arrange(df, SERIES, back=8, ahead=4)))
+    small_blocks(rowsPerBlock=9, broadcastSlices=slices)
+    assert _collect(_windows(arrange(df, SERIES, back=8, ahead=4))) == expected
+
+
 def test_missing_times_and_descending_order(spark, small_blocks):
     rows = [("a", None if i % 10 == 0 else i, i, 0.0) for i in range(300)]
     df = spark.createDataFrame(rows, "product string, t long, id long, v double")

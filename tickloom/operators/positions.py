@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tickloom.operators.stats import sharpe
 from tickloom.plans import Layout, Series, arrange, attach, run_over
-from tickloom.plans.settings import settle_table
+from tickloom.plans.settings import BROADCAST_SLICES, settle_table
 
 # Position change per action, in lots of an agent and in halves of a limit.
 AGENT_LOTS = (-10, -5, 0, 5, 10)
@@ -72,7 +72,9 @@ def hold(layout: Layout, delta: Column, limit: Column, start: DataFrame | None =
         starts = steps.groupBy(*key).applyInArrow(
             _chain_blocks(parts), T.StructType([*part_fields, T.StructField("_start", T.LongType())])
         )
-        rows = attach(rows, starts, parts, null_safe=True)
+        # A block without a row here starts at 0.
+        moved = starts.filter(F.col("_start") != 0)
+        rows = attach(rows, moved, parts, null_safe=True, bound=BROADCAST_SLICES)
     elif start is not None:
         rows = attach(rows, start.withColumnRenamed("position", "_start"), key, null_safe=True)
     else:

@@ -23,7 +23,12 @@ def match(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_s
 
 
 def attach(
-    rows: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left", null_safe: bool = False
+    rows: DataFrame,
+    side: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    null_safe: bool = False,
+    bound: tuple[str, int] = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the columns of an aggregate or parameter table (one row per key) to every row.
 
@@ -32,7 +37,7 @@ def attach(
     """
     spark = rows.sparkSession
     side = settle(side)
-    if side.count() <= size_setting(spark, BROADCAST_ROWS):
+    if side.count() <= size_setting(spark, bound):
         return match(rows, F.broadcast(side), on, how, null_safe)
     return join_on(rows, side, on, how, null_safe)
 

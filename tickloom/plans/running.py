@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.joins import match
 from tickloom.plans.series import Layout, Series, arrange
-from tickloom.plans.settings import BROADCAST_ROWS, settle, size_setting
+from tickloom.plans.settings import BROADCAST_SLICES, settle, size_setting
 
 
 def running(
@@ -60,7 +60,7 @@ def run_over(
         *[F.last(f"_p_{n}", ignorenulls=True).over(earlier).alias(f"_p_{n}") for n in carried],
     ).filter(F.col("_block") > 0)
     totals = settle(totals)
-    if totals.count() <= size_setting(layout.df.sparkSession, BROADCAST_ROWS):
+    if totals.count() <= size_setting(layout.df.sparkSession, BROADCAST_SLICES):
         totals = F.broadcast(totals)
     rows = match(layout.df.withColumns(local), totals, layout.parts, "left", True)
     whole = {n: F.coalesce(F.col(n) + F.col(f"_p_{n}"), F.col(n), F.col(f"_p_{n}")) for n in sums}

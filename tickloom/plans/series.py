@@ -24,15 +24,16 @@ from pyspark.sql import types as T
 
 from tickloom.plans.joins import match
 from tickloom.plans.settings import (
-    BROADCAST_ROWS,
+    BROADCAST_SLICES,
     ROWS_PER_BLOCK,
     settle,
     settle_table,
     size_setting,
 )
 
-# Slices per block when a long series is cut: more slices, less overlap.
-SLICES_PER_BLOCK = 16
+# Slices per block when a long series is cut: more slices, less overlap. With very
+# many blocks there are fewer slices in each, so that all slices can be broadcast.
+MOST_SLICES, FEWEST_SLICES = 16, 4
 
 
 @dataclass(frozen=True)
@@ -184,16 +185,18 @@ def _by_slices(
     back: int,
     ahead: int,
 ) -> Layout | None:
-    spark = df.sparkSession
     key = list(series.key)
-    small = size_setting(spark, BROADCAST_ROWS)
-    n_long = long_keys.count()
+    small = size_setting(df.sparkSession, BROADCAST_SLICES)
+    n_long, total = long_keys.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    # Past a quarter as many blocks as slices can be broadcast, blocks grow instead.
+    limit = max(limit, FEWEST_SLICES * total // max(small, 1) if small > FEWEST_SLICES else limit)
+    per_block = min(MOST_SLICES, max(FEWEST_SLICES, small * limit // total))
     steps = long_keys.select(
         *key,
         "_lo",
         F.when(
             F.col("_hi") > F.col("_lo"),
-            (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") * SLICES_PER_BLOCK / limit),
+            (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") * per_block / limit),
         )
         .otherwise(1.0)
         .alias("_step"),
@@ -223,12 +226,17 @@ def _by_slices(
         F.lit(0),
     )
     block = F.floor(F.col("_before") / limit)
-    first = F.floor(F.greatest(F.col("_before") - ahead - fullest, F.lit(0)) / limit) if ahead else block
+    first = block
+    if ahead:
+        # The block of the slice that holds the row ``ahead`` rows before this slice.
+        reach = Window.partitionBy(*key).orderBy("_before").rangeBetween(Window.unboundedPreceding, -ahead)
+        first = F.coalesce(F.max("_home").over(reach), F.lit(0).cast("long"))
     last = F.greatest(F.floor((F.col("_before") + F.col("_n") + back - 1) / limit), block) if back else block
     placed = (
         counts.withColumn("_before", before)
         .withColumn("_home", block)
-        .withColumn("_block", F.explode(F.sequence(first, last)))
+        .withColumns({"_first": first, "_last": last})
+        .withColumn("_block", F.explode(F.sequence("_first", "_last")))
         .withColumn("_base", F.min("_before").over(Window.partitionBy(*key, "_block")))
         .groupBy(*key, "_slice")
         .agg(
@@ -257,7 +265,6 @@ def _by_slices(
 
 
 def _by_range(df: DataFrame, series: Series, limit: int, back: int, ahead: int) -> Layout:
-    spark = df.sparkSession
     key = list(series.key)
     sort = [F.col(k).asc() for k in key] + series.sort
     n_parts = max(1, -(-df.count() // limit))
@@ -282,7 +289,7 @@ def _by_range(df: DataFrame, series: Series, limit: int, back: int, ahead: int)
             ).alias("_before"),
         )
     )
-    if spans.count() <= size_setting(spark, BROADCAST_ROWS):
+    if spans.count() <= size_setting(df.sparkSession, BROADCAST_SLICES):
         spans = F.broadcast(spans)
     rows = (
         match(laid, spans, [*key, "_part"], "inner", True)

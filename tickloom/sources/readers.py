@@ -118,10 +118,10 @@ def _first_line(path: str) -> str:
 
 
 def scan_features(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Feature files ``<product>_features.csv`` of a folder as one table with a product column."""
+    """Feature files (or folders of part files) ``<product>_features.csv`` as one table with a product column."""
     pattern = f"{folder}/*{FEATURE_SUFFIX}"
     reader = spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True)
     if not _has_files(spark, pattern):
         return spark.createDataFrame([], T.StructType([*schema, T.StructField("product", T.StringType())]))
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_features\.csv$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_features\.csv", 1)
     return reader.csv(pattern).withColumn("product", F.url_decode(name))

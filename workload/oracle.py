@@ -475,3 +475,12 @@ SELECT event_id, CAST(13 AS BIGINT) AS n, {_vector()} FROM held JOIN g USING (pr
 
 SQL["stream_signals"] = SQL["quote_orders"]
 SQL["stream_positions"] = SQL["mark_to_market"]
+
+# ---------------------------------------------------------------- files: what was written is read back
+
+SQL["scan_prices_csv"] = SQL["scan_folder"] = SQL["scan_prices_header"] = SQL["name_columns"]
+SQL["scan_quotes"] = SQL["split_raw"] = f"WITH {QUOTES} SELECT product, t, side, price, quantity FROM quotes"
+SQL["scan_features"] = f"WITH {TICKS} SELECT event_id, price, product FROM ticks"
+SQL["write_split"] = f"""WITH {PRICED}, {STAGE1} SELECT product AS base_product, round_timestamp, mid_price, bid_ask_spread,
+  {r(6, "log_return")} FROM s4"""
+SQL["write_tables"] = SQL["l2_pivot"]

@@ -6,12 +6,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions import columns as C
 from tickloom.operators import book, features, fills, policy, positions, sequences, signals, stats, synth
 from tickloom.plans import Layout, Series, arrange, row_index, running
 from tickloom.plans.settings import scratch_path
 from tickloom.schema import PRICE_COLUMNS
+from tickloom.sources import readers, writers
 from tickloom.streaming import batches
 from workload import views as V
 
@@ -53,6 +55,79 @@ def book_features(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- sources and unions
 
 
+def _price_files(spark: SparkSession, folder: str) -> str:
+    """The book as ``;`` files, each with a header line."""
+    path = scratch_path(spark, "prices")
+    V.prices17(spark, folder).write.option("sep", ";").option("header", True).csv(path)
+    return path
+
+
+def _typed_prices(text: DataFrame) -> DataFrame:
+    keys = {c: F.col(c).cast("long") for c in ("day", "timestamp")}
+    return book.to_numeric(text.withColumns(keys), PRICE_COLUMNS[3:])
+
+
+@query("scan_prices_csv")
+def scan_prices_csv(spark: SparkSession, folder: str) -> DataFrame:
+    return _typed_prices(readers.scan_prices(spark, _price_files(spark, folder)))
+
+
+@query("scan_folder")
+def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
+    return _typed_prices(readers.scan_price_folder(spark, _price_files(spark, folder)))
+
+
+@query("scan_prices_header")
+def scan_prices_header(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.scan_prices_header(spark, _price_files(spark, folder))
+
+
+@query("scan_quotes")
+def scan_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quote files, those of bids with ``symbol`` and those of asks with ``product``."""
+    path = scratch_path(spark, "quotes")
+    quotes = V.quotes_long(spark, folder).select(F.col("t").alias("timestamp"), "product", "side", "price", "quantity")
+    quotes.filter("side = 'ASK'").write.option("header", True).csv(path)
+    bids = quotes.filter("side = 'BID'").withColumnRenamed("product", "symbol")
+    bids.write.mode("append").option("header", True).csv(path)
+    read = readers.scan_quotes(spark, path)
+    return read.select("product", F.col("timestamp").cast("long").alias("t"), "side", "price", "quantity")
+
+
+@query("scan_features")
+def scan_features(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "features")
+    rows = V.ticks(spark, folder).select("event_id", "price", F.concat("product", F.lit(readers.FEATURE_SUFFIX)).alias("product"))
+    rows.write.partitionBy("product").option("header", True).csv(path)
+    return readers.scan_features(spark, path, T.StructType.fromDDL("event_id bigint, price double"))
+
+
+@query("write_split")
+def write_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Price features written by product in one job and read back."""
+    path = scratch_path(spark, "split")
+    out = features.price_file_features(V.prices17(spark, folder), measure=V.quote_products(spark, folder))
+    wanted = out.select("base_product", "round_timestamp", "mid_price", "bid_ask_spread", *rounded(6, "log_return"))
+    writers.write_split(wanted, path, by="base_product")
+    schema = "round_timestamp bigint, mid_price double, bid_ask_spread double, log_return double, base_product string"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@query("split_raw")
+def split_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotes written by product and read back."""
+    path = scratch_path(spark, "raw")
+    writers.write_split(V.quotes_long(spark, folder).select("product", "t", "side", "price", "quantity"), path)
+    return spark.read.schema("t bigint, side string, price double, quantity double, product string").option("header", True).csv(path)
+
+
+@query("write_tables")
+def write_tables(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "table")
+    writers.write_table(V.book_wide(spark, folder), path)
+    return spark.read.parquet(path)
+
+
 @query("default_timestamp")
 def default_timestamp(spark: SparkSession, folder: str) -> DataFrame:
     out = sequences.default_timestamp(V.ticks(spark, folder).drop("time"), Series.of("product", "event_id"))
@@ -87,12 +162,10 @@ def product_set(spark: SparkSession, folder: str) -> DataFrame:
 @query("state_json")
 def state_json(spark: SparkSession, folder: str) -> DataFrame:
     """Book state written as JSON and read back."""
-    from tickloom.sources.writers import state_from_json, state_to_json
-
     books = V.book_wide(spark, folder)
-    text = books.select("product", "t", state_to_json("product", "t", "bid_price_1", "ask_price_1").alias("state"))
+    text = books.select("product", "t", writers.state_to_json("product", "t", "bid_price_1", "ask_price_1").alias("state"))
     schema = "ask_price_1 double, bid_price_1 double, product string, t bigint"
-    back = text.withColumn("s", state_from_json(F.col("state"), schema))
+    back = text.withColumn("s", writers.state_from_json(F.col("state"), schema))
     return back.select(
         "product", "t", F.col("s.bid_price_1").alias("bid_price_1"), F.col("s.ask_price_1").alias("ask_price_1"),
         F.col("s.product").alias("state_product"), F.col("s.t").alias("state_t"),
@@ -186,8 +259,7 @@ def feature_columns(spark: SparkSession, folder: str) -> DataFrame:
 @query("alias_symbol")
 def alias_symbol(spark: SparkSession, folder: str) -> DataFrame:
     """One table names its instruments ``symbol``, the other ``product``."""
-    from tickloom.sources.readers import alias_symbol as alias
-
+    alias = readers.alias_symbol
     symbols = V.orders_sim(spark, folder).withColumnRenamed("product", "symbol").select("symbol", "t", "price")
     names = V.quotes_long(spark, folder).select("product", "t", "price")
     return alias(symbols).unionByName(alias(names))
@@ -287,11 +359,9 @@ def trade_string(spark: SparkSession, folder: str) -> DataFrame:
 @query("drop_header_rows")
 def drop_header_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Price rows with a header row per product among them."""
-    from tickloom.sources.readers import drop_header_rows as drop
-
     prices = V.prices17(spark, folder).select(F.col("day").cast("string").alias("day"), "product", "mid_price")
     headers = V.prices17(spark, folder).select(F.lit("day").alias("day"), "product", "mid_price")
-    return drop(prices.unionByName(headers)).select(F.col("day").try_cast("long").alias("day"), "product", "mid_price")
+    return readers.drop_header_rows(prices.unionByName(headers)).select(F.col("day").try_cast("long").alias("day"), "product", "mid_price")
 
 
 @query("by_product")
