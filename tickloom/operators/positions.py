@@ -9,7 +9,7 @@ each block's starting position, and the blocks are replayed in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from itertools import accumulate
 
 import pyarrow as pa
@@ -82,27 +82,23 @@ def hold(layout: Layout, delta: Column, limit: Column, start: DataFrame | None =
     outputs = [T.StructField(n, T.LongType()) for n in ("position_before", "position", "change")]
     schema = T.StructType([*layout.df.schema, *outputs])
     replayed = rows.groupBy(*parts).applyInArrow(_replay_block(columns, order), schema)
-    return layout.with_df(replayed).settled("positions")
+    return layout.with_df(replayed)
 
 
-def _sorted(table: pa.Table, order: Sequence[str]) -> pa.Table:
-    return table.sort_by([(c, "ascending") for c in order])
-
-
-def _numbers(table: pa.Table, name: str) -> list[int]:
-    return table.column(name).to_pylist()
+# The task functions below use nothing of this package, so executors need not have it installed.
 
 
 def _fold_block(parts: Sequence[str], order: Sequence[str]):
+    by = [(c, "ascending") for c in order]
+
     def fold(table: pa.Table) -> pa.Table:
-        table = _sorted(table, order)
-        shift, low, high = 0, None, None
-        for delta, limit in zip(_numbers(table, "_delta"), _numbers(table, "_limit")):
+        table = table.sort_by(by)
+        deltas, limits = (table.column(n).to_pylist() for n in ("_delta", "_limit"))
+        shift, low, high = 0, -limits[0], limits[0]
+        for i, (delta, limit) in enumerate(zip(deltas, limits)):
             delta = delta or 0
             shift += delta
-            if low is None:
-                low, high = -limit, limit
-            else:
+            if i > 0:
                 low = min(limit, max(-limit, low + delta))
                 high = min(limit, max(-limit, high + delta))
         return pa.table(
@@ -119,10 +115,11 @@ def _fold_block(parts: Sequence[str], order: Sequence[str]):
 
 def _chain_blocks(parts: Sequence[str]):
     def chain(table: pa.Table) -> pa.Table:
-        table = _sorted(table, ["_block"])
-        at = _numbers(table, "_from")[0] or 0
+        table = table.sort_by([("_block", "ascending")])
+        steps = [table.column(n).to_pylist() for n in ("_shift", "_low", "_high")]
+        at = table.column("_from")[0].as_py() or 0
         starts = []
-        for shift, low, high in zip(*(_numbers(table, n) for n in ("_shift", "_low", "_high"))):
+        for shift, low, high in zip(*steps):
             starts.append(at)
             at = min(high, max(low, at + shift))
         return pa.table({**{p: table.column(p) for p in parts}, "_start": pa.array(starts, pa.int64())})
@@ -131,15 +128,17 @@ def _chain_blocks(parts: Sequence[str]):
 
 
 def _replay_block(columns: Sequence[str], order: Sequence[str]):
+    by = [(c, "ascending") for c in order]
+
     def replay(table: pa.Table) -> pa.Table:
-        table = _sorted(table, order)
-        limit = _numbers(table, "_limit")[0]
-        steps: Iterable[int] = (d or 0 for d in _numbers(table, "_delta"))
-        start = _numbers(table, "_start")[0] or 0
+        table = table.sort_by(by)
+        limit = table.column("_limit")[0].as_py()
+        start = table.column("_start")[0].as_py() or 0
+        steps = (d or 0 for d in table.column("_delta").to_pylist())
         held = list(accumulate(steps, lambda at, d: min(limit, max(-limit, at + d)), initial=start))
-        before, after = pa.array(held[:-1], pa.int64()), pa.array(held[1:], pa.int64())
         out = table.select(list(columns))
-        out = out.append_column("position_before", before).append_column("position", after)
+        out = out.append_column("position_before", pa.array(held[:-1], pa.int64()))
+        out = out.append_column("position", pa.array(held[1:], pa.int64()))
         return out.append_column("change", pa.array([b - a for a, b in zip(held, held[1:])], pa.int64()))
 
     return replay
@@ -199,7 +198,8 @@ def _with_gain(held: Layout, price: str, opening: DataFrame | None = None) -> La
     key from an earlier part of the series.
     """
     trade = _trade_so_far(price)
-    seen = run_over(held, lasts={"_last": trade}, before={"_prev": trade})
+    # Read twice when split: for the totals of the blocks and for the rows.
+    seen = run_over(held.settled("positions"), lasts={"_last": trade}, before={"_prev": trade})
     df = seen.df
     if opening is not None:
         df = attach(df, opening, held.series.key, null_safe=True)
@@ -274,7 +274,7 @@ def step_rewards(
 
 
 def cumulative_pnl(stepped: Layout, reward: str = "reward", name: str = "pnl") -> Layout:
-    return run_over(stepped, sums={name: F.col(reward)})
+    return run_over(stepped.settled("rewards"), sums={name: F.col(reward)})
 
 
 def trade_log(stepped: Layout) -> DataFrame:
@@ -311,5 +311,5 @@ def backtest_summary(stepped: Layout) -> DataFrame:
 def signals_per_product(held: Layout, price: str = "price") -> DataFrame:
     """Non-hold signals (side, quantity) in order, numbered from 0 per key."""
     moved = F.when(F.col("change") != 0, 1).otherwise(0).cast("long")
-    numbered = run_over(held, sums={"signal_number": moved}).rows()
+    numbered = run_over(held.settled("positions"), sums={"signal_number": moved}).rows()
     return executed_trades(numbered, price).withColumn("signal_number", F.col("signal_number") - 1)

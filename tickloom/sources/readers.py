@@ -95,26 +95,30 @@ def _headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
     Tasks read the first line of each file only; the driver gets one line per file.
     """
     paths = spark.read.format("binaryFile").load(pattern).select("path")
-    first = paths.mapInPandas(_first_lines, "path string, header string")
+    first = paths.mapInPandas(_first_lines(), "path string, header string")
     headers: dict[str, list[str]] = {}
     for row in first.toLocalIterator():
         headers.setdefault(row.header, []).append(row.path)
     return headers
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(header=[_first_line(p) for p in batch["path"]])
+def _first_lines():
+    """A task function that uses nothing of this package."""
 
+    def first_line(path: str) -> str:
+        if path.startswith("file:"):
+            files, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        else:
+            files, inner = fs.FileSystem.from_uri(path)
+        with files.open_input_file(inner) as source:
+            text = source.read(64 * 1024).decode("utf-8", "replace")
+        return text.split("\n", 1)[0].strip()
 
-def _first_line(path: str) -> str:
-    if path.startswith("file:"):
-        files, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    else:
-        files, inner = fs.FileSystem.from_uri(path)
-    with files.open_input_file(inner) as source:
-        text = source.read(64 * 1024).decode("utf-8", "replace")
-    return text.split("\n", 1)[0].strip()
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(header=[first_line(p) for p in batch["path"]])
+
+    return lines
 
 
 def scan_features(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
