@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload.oracle import SQL
+from workload.queries import QUERIES
 
 FOLDER = os.environ.get("TICKLOOM_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -35,14 +37,14 @@ def _rows(records, names):
 
 
 def test_every_query_has_sql_or_is_sampled():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == SAMPLED
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(SQL) == SAMPLED
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
-    result = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    result = duck.execute(SQL[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(df.columns)
     assert _rows(df.collect(), df.columns) == _rows(result.fetchall(), names)
@@ -50,7 +52,7 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(SAMPLED))
 def test_sampled_queries_run(spark, name):
-    assert entry.queries()[name](spark, FOLDER).count() > 0
+    assert QUERIES[name](spark, FOLDER).count() > 0
 
 
 def test_entry(spark):
