@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
+from itertools import chain
 
 from tickloom.llm.common import worker_store
 
@@ -29,37 +29,48 @@ def _loaded(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        held[path] = (Tokenizer.from_file(path), {}, {})
+        held[path] = (Tokenizer.from_file(path), {})
     return held[path]
 
 
 def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _pieces(text: str) -> list[str]:
     if SPACE_BEFORE_SPACE.search(text):
         return [p for p in PIECE_START.split(text) if p]
     first, *rest = text.split(" ")
-    return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+    rest = [" " + p for p in rest]
+    return [first, *rest] if first else rest
+
+
+def _learn(tokenizer, known: dict[str, bytes], new: list[str]) -> None:
+    """Add pieces to the cache, made of finer ones where the text may be cut."""
+    parts = [FINER.split(p) for p in new]
+    unseen = list({q for p in parts for q in p if q not in known})
+    known.update(zip(unseen, _ids(tokenizer, unseen)))
+    known.update((p, b"".join([known[q] for q in part])) for p, part in zip(new, parts) if len(part) > 1)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    tokenizer, whole, fine = _loaded(path)
-    if len(whole) + len(fine) > CACHED_PIECES:
-        whole.clear()
-        fine.clear()
-    cut = [None if "<|" in t else _pieces(t) for t in texts]
-    new = set()
-    for pieces in cut:
-        if pieces:
-            new.update(pieces)
-    new = [p for p in new if p not in whole]
-    parts = [FINER.split(p) for p in new]
-    unseen = list({q for p in parts for q in p if q not in fine})
-    fine.update(zip(unseen, _ids(tokenizer, unseen)))
-    for piece, part in zip(new, parts):
-        whole[piece] = fine[part[0]] if len(part) == 1 else b"".join([fine[q] for q in part])
-    at = whole.__getitem__
-    return [_ids(tokenizer, [t])[0] if p is None else b"".join(map(at, p)) for t, p in zip(texts, cut)]
+    tokenizer, known = _loaded(path)
+    if len(known) > CACHED_PIECES:
+        known.clear()
+    cut = [_pieces(t) if "<|" not in t else [] for t in texts]
+    flat = list(chain.from_iterable(cut))
+    coded = list(map(known.get, flat))
+    if None in coded:
+        missing = [i for i, c in enumerate(coded) if c is None]
+        _learn(tokenizer, known, list({flat[i] for i in missing}))
+        for i in missing:
+            coded[i] = known[flat[i]]
+    out, at = [], 0
+    for text, pieces in zip(texts, cut):
+        if pieces or not text:
+            out.append(b"".join(coded[at : at + len(pieces)]))
+            at += len(pieces)
+        else:
+            out.append(_ids(tokenizer, [text])[0])
+    return out

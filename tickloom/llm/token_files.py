@@ -23,7 +23,7 @@ STRIPE_BYTES = 64 << 20
 ROWS_PER_INDEX_ENTRY = 1_000
 BLOOM_FALSE_POSITIVES = 0.01
 TEXT_BYTES_AT_ONCE = 4 << 20
-FILE_COLUMNS = "doc_id long, part int, before long, ids array<int>"
+FILE_COLUMNS = "doc_id long, part int, before long, n_ids int, ids array<int>"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int | None = None) -> None:
@@ -42,17 +42,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
         part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for table in batches_of(batches, "text", TEXT_BYTES_AT_ONCE):
             coded = [c + end for c in encode_texts(texts_of(table.column("text")), tokenizer)]
-            lengths = np.array([len(c) // 4 for c in coded])
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
+            lengths = np.array([len(c) // 4 for c in coded], np.int32)
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("doc_id").combine_chunks().cast(pa.int64()),
                     pa.array(np.full(len(coded), part, np.int32)),
                     pa.array(before + ends[:-1]),
+                    pa.array(lengths),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat),
                 ],
-                ["doc_id", "part", "before", "ids"],
+                ["doc_id", "part", "before", "n_ids", "ids"],
             )
             before += int(ends[-1])
 
@@ -80,7 +81,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     starts still count every document, from the narrow columns only.
     """
     rows = spark.read.schema(FILE_COLUMNS).orc(path)
-    ends = rows.groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("n"))
+    ends = rows.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
     # One row for each file: this window and the broadcast hold as many rows as there are files.
     base = ends.select(
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")
@@ -98,7 +99,7 @@ def digest_tokens(tokens: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+            flat = ids.values.to_numpy(zero_copy_only=False)
             ends = ids.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
