@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, token_files
+from tickloom.llm import mixing, packing, quality, token_files
 from tickloom.llm.common import stage_table
 from tickloom.plans.settings import scratch_path
 
@@ -28,6 +28,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_tokens(token_files.read_tokens(spark, path))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), ["doc_id"])
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packing with the settings of the corpus: its tokenizer, end id and window."""
     pieces = stage_table(packing.cut_pieces(docs, _tokenizer("word_bpe_49k.json"), end_id=1), "pieces")
@@ -40,6 +50,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_source_mix": op3_source_mix,
     "op9_packing": op9_packing,
 }
 
