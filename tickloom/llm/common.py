@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +109,72 @@ def lists_of_ints(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=ends[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(kind))
+
+
+def located(df: DataFrame) -> DataFrame:
+    """Add ``__file`` and ``__row``, which tell every row apart, equal ones too.
+
+    They are the file and the row number of a Parquet table; any other frame is written as one first. So a task that
+    runs again finds the same rows under the same names.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        return df.select("*", *place)
+    except AnalysisException:
+        return stage_table(df, "located").select("*", *place)
+
+
+def word_edges(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of many texts at once: the bytes, where words start and end in them, and the number of words a text."""
+    coded = [t.encode() for t in texts]
+    data = np.frombuffer(b" ".join(coded) + b" ", np.uint8)
+    breaks = np.zeros(256, bool)
+    breaks[[ord(c) for c in WORD_BREAKS]] = True
+    gap = breaks[data]
+    starts = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
+    if not gap[0]:
+        starts = np.concatenate([[0], starts])
+    ends = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+    first = np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])])
+    counts = np.diff(np.searchsorted(starts, first))
+    return data, starts, ends, counts
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finishing steps of a 64-bit hash (public constants of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of the bytes of each word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    within = np.arange(first[-1]) - np.repeat(first[:-1], lengths)
+    place = within + np.repeat(starts, lengths)
+    symbol = mixed(np.arange(1, 257, dtype=np.uint64))
+    power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    return mixed(np.add.reduceat(symbol[data[place]] * power[within], first[:-1]))
+
+
+def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Rabin-Karp: the polynomial hash modulo 2^64 of every ``width`` consecutive words."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(base) + words[k : k + n]
+    return total
+
+
+def whole_windows(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows over joined texts, those within one text; and how many each text has."""
+    own = np.maximum(counts - width + 1, 0)
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    ends = np.cumsum(own)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - own, own)
+    return within + np.repeat(first, own), own

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, stage_table
+from tickloom.llm.common import WORD, located, stage_table
 from tickloom.plans import attach
 
 # Fixed values of the mix: weights of the sources in order, and the most copies of a document.
@@ -153,14 +153,14 @@ def sample(rows: DataFrame, most: int = ROWS_PER_BLOCK) -> DataFrame:
 def mix(docs: DataFrame, keys: list[str]) -> DataFrame:
     """The columns ``keys`` with size, source_size, target and ``copies`` of each row.
 
-    ``docs`` is a table read from files: its rows are told apart by file and row number, so equal rows and equal
-    document ids are all decided one by one, and a rerun task gives the same rows. Null sources are one source,
+    Rows are told apart by file and row number, so equal rows and equal document ids are all decided one by one, and a
+    rerun task gives the same rows. Null sources are one source,
     the last. A source without words has target 0 and no copies. An empty table gives an empty table.
     """
     internal = [f"_k{i}" for i in range(len(keys))]
-    rows = docs.select(
+    rows = located(docs).select(
         *[F.col(k).alias(i) for k, i in zip(keys, internal)],
-        F.struct("_metadata.file_path", "_metadata.row_index").alias("key"),
+        F.struct("__file", "__row").alias("key"),
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("size"),
         F.xxhash64(F.lit(SEED), "doc_id", "source", "text").alias("order"),

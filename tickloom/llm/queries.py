@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, packing, quality, token_files
+from tickloom.llm import mixing, packing, quality, substrings, token_files
 from tickloom.llm.common import stage_table
 from tickloom.plans.settings import scratch_path
 
@@ -38,6 +38,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_kept(_table(spark, sf_dir, "documents"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packing with the settings of the corpus: its tokenizer, end id and window."""
     pieces = stage_table(packing.cut_pieces(docs, _tokenizer("word_bpe_49k.json"), end_id=1), "pieces")
@@ -52,7 +56,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mix": op3_source_mix,
+    "op5_repeated_passages": op5_repeated_passages,
     "op9_packing": op9_packing,
 }
 
-SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op5_repeated_passages": f"""
+        WITH split AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS words
+            FROM split, LATERAL (SELECT unnest(generate_series(1, len(ws) - 19)) AS i)
+        ),
+        later AS (
+            SELECT doc_id, i FROM windows
+            QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1
+        ),
+        removed AS (
+            SELECT doc_id, list(DISTINCT i + k) AS gone
+            FROM later, LATERAL (SELECT unnest(generate_series(0, 19)) AS k) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(
+                   list_filter(ws, lambda w, k: NOT coalesce(list_contains(gone, k), false)), ' ')) AS kept_sha256
+        FROM split LEFT JOIN removed USING (doc_id)
+    """,
+}
