@@ -23,7 +23,7 @@ from tickloom.plans import attach
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 # Most documents of a source that one task flies, some 60 bytes each.
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2_000
 SEED = 20261
 ALMOST = 1e-9
 
