@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, packing, quality, substrings, token_files
+from tickloom.llm import mixing, near_dups, packing, quality, substrings, token_files
 from tickloom.llm.common import stage_table
 from tickloom.plans.settings import scratch_path
 
@@ -42,6 +42,10 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_kept(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.mark_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packing with the settings of the corpus: its tokenizer, end id and window."""
     pieces = stage_table(packing.cut_pieces(docs, _tokenizer("word_bpe_49k.json"), end_id=1), "pieces")
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mix": op3_source_mix,
     "op5_repeated_passages": op5_repeated_passages,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_packing": op9_packing,
 }
 
