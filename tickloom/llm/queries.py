@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, near_dups, packing, quality, substrings, token_files
+from tickloom.llm import mixing, near_dups, packing, quality, search, substrings, token_files
 from tickloom.llm.common import stage_table
 from tickloom.plans.settings import scratch_path
 
@@ -56,6 +56,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return search.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeated_passages": op5_repeated_passages,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_packing": op9_packing,
+    "op10_ball_tree_search": op10_ball_tree_search,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -87,4 +93,19 @@ SQL: dict[str, str] = {
                    list_filter(ws, lambda w, k: NOT coalesce(list_contains(gone, k), false)), ' ')) AS kept_sha256
         FROM split LEFT JOIN removed USING (doc_id)
     """,
+    "op10_ball_tree_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
 }
