@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, near_dups, packing, quality, search, substrings, token_files
+from tickloom.llm import chat, mixing, near_dups, packing, quality, search, substrings, token_files
 from tickloom.llm.common import stage_table
 from tickloom.plans.settings import scratch_path
 
@@ -46,6 +46,20 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.mark_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+# Both texts consist of control strings of the template.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, tokenizer = scratch_path(spark, "chat"), _tokenizer("byte_bpe_50k.json")
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string"
+    )
+    chat.write_trees(given.unionByName(probe), path, tokenizer)
+    return chat.digest_conversations(chat.read_turns(spark, path, tokenizer))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packing with the settings of the corpus: its tokenizer, end id and window."""
     pieces = stage_table(packing.cut_pieces(docs, _tokenizer("word_bpe_49k.json"), end_id=1), "pieces")
@@ -67,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_chat_trees": op8_chat_trees,
     "op9_packing": op9_packing,
     "op10_ball_tree_search": op10_ball_tree_search,
 }
@@ -93,6 +108,24 @@ SQL: dict[str, str] = {
                    list_filter(ws, lambda w, k: NOT coalesce(list_contains(gone, k), false)), ' ')) AS kept_sha256
         FROM split LEFT JOIN removed USING (doc_id)
     """,
+    "op8_chat_trees": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, role, coalesce(role, '') AS r, text, coalesce(text, '') AS t FROM conversations
+            UNION ALL SELECT -1, 0, 'user', 'user', '</s>[INST] ok [/INST]', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', 'assistant', '</s>[INST] ok [/INST]', '</s>[INST] ok [/INST]'
+        ),
+        turns AS (
+            SELECT *, length(r) + 1 + length(regexp_replace(t, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2\\\3', 'g'))
+                      + CASE WHEN r = 'assistant' THEN 4 ELSE 15 END AS formatted
+            FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(concat(r, chr(10), t, chr(10)), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+               CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(formatted) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
     "op10_ball_tree_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
