@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, mixing, near_dups, packing, quality, search, substrings, token_files
+from tickloom.llm import chat, mixing, near_dups, packing, quality, search, substrings, token_files, toxicity
 from tickloom.llm.common import stage_table
 from tickloom.plans.settings import scratch_path
 
@@ -38,6 +38,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_kept(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mix": op3_source_mix,
+    "op4_toxicity": op4_toxicity,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_chat_trees": op8_chat_trees,
