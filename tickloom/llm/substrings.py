@@ -39,7 +39,7 @@ from tickloom.llm.common import (
 
 WINDOW = 20
 # Text that a task hashes at once; it sets the memory of a chunk, some 30 bytes a byte.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 # Buckets for each shuffle partition: some, so that their sizes even out.
 BUCKETS_PER_PARTITION = 2
 BASE, OTHER_BASE = 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93
@@ -188,7 +188,8 @@ def with_spans(docs: DataFrame, width: int = WINDOW, name: str = "spans") -> Dat
     """All rows of ``docs`` and their ``spans`` (null: nothing is repeated)."""
     docs = located(docs)
     spans = stage_table(repeated_spans(docs, width), "spans").withColumnRenamed("spans", name)
-    return docs.join(spans, ["__file", "__row"], "left").drop("__file", "__row")
+    # The spans grow with the corpus: one way of joining them at every size.
+    return docs.join(spans.hint("shuffle_merge"), ["__file", "__row"], "left").drop("__file", "__row")
 
 
 def digest_kept(docs: DataFrame, width: int = WINDOW) -> DataFrame:
