@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, source mix, packing.
 
-``STAGES`` are applied in order, each to what the one before it has kept.
+``STAGES`` are applied in order, each to all that the one before it has kept. Every stage but the last returns the
+columns of the documents it is given: two drop rows, one cuts texts, one repeats rows by their copies.
 """
 
 from __future__ import annotations
@@ -9,16 +10,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm import mixing, near_dups, quality, substrings
 from tickloom.llm.common import stage_table
 from tickloom.llm.queries import pack_documents
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return quality.judge(docs, docs.columns, only_kept=True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near-duplicates."""
+    return near_dups.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a smaller document, or an earlier place, has too."""
+    return substrings.remove_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.take(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences; one row for each piece."""
+    """Pack what is left into sequences; one row for each piece. Copies of a document are packed one by one."""
     return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
     ("packing", packing),
 ]
 

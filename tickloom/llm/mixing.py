@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, located, stage_table
+from tickloom.llm.common import WORD, fresh_name, located, stage_table
 from tickloom.plans import attach
 
 # Fixed values of the mix: weights of the sources in order, and the most copies of a document.
@@ -150,8 +150,8 @@ def sample(rows: DataFrame, most: int = ROWS_PER_BLOCK) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """The columns ``keys`` with size, source_size, target and ``copies`` of each row.
+def mix(docs: DataFrame, keys: list[str], copies: str = "copies") -> DataFrame:
+    """The columns ``keys`` and how often each row is taken; without the text among them also size, source_size and target.
 
     Rows are told apart by file and row number, so equal rows and equal document ids are all decided one by one, and a
     rerun task gives the same rows. Null sources are one source,
@@ -170,15 +170,18 @@ def mix(docs: DataFrame, keys: list[str]) -> DataFrame:
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     rated = attach(narrow, wanted, ["source"], null_safe=True).withColumn("_whole", F.floor(rate + ALMOST))
     extra = sample(rated.select("key", "source", "size", "order", F.greatest(rate - F.col("_whole"), F.lit(0.0)).alias("chance")))
-    # With texts among the keys they are read again from the documents, beside the narrow decisions.
-    carried = rated
-    if "text" in keys:
-        decided = rated.join(extra, "key").select("key", "source_size", "target", "_whole", "extra")
-        carried, extra = rows.select("key", "size", *internal), decided
-    return carried.join(extra, "key").select(
-        *[F.col(i).alias(k) for k, i in zip(keys, internal)],
-        "size",
-        "source_size",
-        "target",
-        (F.col("_whole") + F.col("extra")).cast("long").alias("copies"),
-    )
+    number = (F.col("_whole") + F.col("extra")).cast("long").alias(copies)
+    out = [F.col(i).alias(k) for k, i in zip(keys, internal)]
+    if "text" not in keys:
+        return rated.join(extra, "key").select(*out, "size", "source_size", "target", number)
+    # Texts are read again from the documents, beside the narrow decisions.
+    decided = rated.join(extra, "key").select("key", "_whole", "extra")
+    return rows.select("key", *internal).join(decided, "key").select(*out, number)
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs``, each row as often as the mix takes it."""
+    copies = fresh_name(docs, "copies")
+    mixed = mix(docs, docs.columns, copies).filter(F.col(copies) > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return mixed.select(*docs.columns, each.alias(copies)).drop(copies)

@@ -280,9 +280,11 @@ def _nearest(vectors: DataFrame, params: DataFrame, cut: float | None) -> DataFr
     return bins.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS])
 
 
-def judge(docs: DataFrame, keys: list[str]) -> DataFrame:
+def judge(docs: DataFrame, keys: list[str], only_kept: bool = False) -> DataFrame:
     """The columns ``keys``, the counts, ``base_failed``, ``distance`` and ``kept`` for each row.
 
+    With ``only_kept`` the columns ``keys`` of the rows that are kept.
+
     Null languages and sources are groups of their own. A null text is empty, so it fails the base rules. Documents that
     fail them take no part in the estimates and have a null distance. Equal rows are judged alike. An
     empty table gives an empty table.
@@ -305,6 +307,8 @@ def judge(docs: DataFrame, keys: list[str]) -> DataFrame:
         "distance", F.when(~F.col("base_failed"), F.sqrt(_distance()))
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") * F.col("distance") <= cut, F.lit(True))
+    if only_kept:
+        return judged.filter(kept).select(*[F.col(i).alias(k) for k, i in zip(keys, internal)])
     return judged.select(
         *[F.col(i).alias(k) for k, i in zip(keys, internal)], *COUNTS, "base_failed", "distance", kept.alias("kept")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, mixing, near_dups, packing, quality, search, substrings, token_files, toxicity
+from tickloom.llm import chat, mixing, near_dups, packing, quality, search, substrings, token_files, toxicity, warc
 from tickloom.llm.common import stage_table
 from tickloom.plans.settings import scratch_path
 
@@ -51,6 +51,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.mark_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+# The table has no fetch times.
+PAGES_FETCHED = "2024-01-01T00:00:00Z"
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(_table(spark, sf_dir, "pages"), PAGES_FETCHED), ["page_id"])
+    return records.drop("date")
+
+
 # Both texts consist of control strings of the template.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -87,11 +96,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_chat_trees": op8_chat_trees,
     "op9_packing": op9_packing,
     "op10_ball_tree_search": op10_ball_tree_search,
 }
 
+
+
+def _sql_text(html: str) -> str:
+    """The expressions of ``warc.plain_text`` in SQL."""
+    text = f"regexp_replace({html}, '{warc.HIDDEN}', ' ', 'g')"
+    text = f"regexp_replace({text}, '{warc.BREAKING}', chr(10), 'g')"
+    text = f"regexp_replace({text}, '{warc.TAG}', '', 'g')"
+    for name, character in warc.ENTITIES:
+        quoted = character.replace("'", "''")
+        text = f"replace({text}, '{name}', '{quoted}')"
+    text = f"regexp_replace({text}, '{warc.SPACES}', ' ', 'g')"
+    text = f"regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _sql_id(*parts: str) -> str:
+    joined = " || chr(10) || ".join(f"coalesce('=' || {p}, '-')" for p in parts)
+    m = f"md5({joined})"
+    cuts = " || '-' || ".join(f"substr({m}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"('<urn:uuid:' || {cuts} || '>')"
+
+
+SQL_LANGUAGE = warc.LANGUAGE.replace("'", "''")
+CRLF = "chr(13) || chr(10)"
+SQL_WARC = f"""
+    WITH pages_ AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+    facts AS (
+        SELECT page_id, url, {_sql_id("'response'", "page_id", "url")} AS source, 'sha256:' || sha256(html) AS source_digest,
+               {_sql_text("html")} AS text,
+               trim(regexp_replace(regexp_extract(html, '{warc.TITLE}', 1), '\\s+', ' ', 'g')) AS title,
+               regexp_extract(html, '{SQL_LANGUAGE}', 1) AS language,
+               len(regexp_extract_all(html, '{warc.LINK}')) AS links
+        FROM pages_
+    ),
+    blocks AS (
+        SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+               'source-content-type: text/html; charset=utf-8' || {CRLF} || 'source-payload-digest: ' || source_digest || {CRLF}
+               || CASE WHEN title <> '' THEN 'title: ' || title || {CRLF} ELSE '' END
+               || CASE WHEN language <> '' THEN 'language: ' || language || {CRLF} ELSE '' END
+               || 'links: ' || links || {CRLF} || 'text-digest: sha256:' || sha256(text) || {CRLF} AS block
+        FROM facts
+        UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM facts
+    ),
+    named AS (SELECT *, {_sql_id("record_type", "source")} AS record_id, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM blocks)
+    SELECT page_id, record_type, record_id, source AS refers_to, url AS target_uri, content_type,
+           'text/html; charset=utf-8' AS source_content_type, source_digest, block, block_digest, content_length,
+           'WARC/1.1' || {CRLF} || 'WARC-Type: ' || record_type || {CRLF} || 'WARC-Record-ID: ' || record_id || {CRLF}
+           || 'WARC-Refers-To: ' || source || {CRLF} || coalesce('WARC-Target-URI: ' || url || {CRLF}, '')
+           || 'WARC-Date: {PAGES_FETCHED}' || {CRLF} || 'WARC-Source-Payload-Digest: ' || source_digest || {CRLF}
+           || 'WARC-Block-Digest: ' || block_digest || {CRLF} || 'Content-Type: ' || content_type || {CRLF}
+           || 'Content-Length: ' || content_length || {CRLF} AS headers
+    FROM named
+"""
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL: dict[str, str] = {
@@ -114,6 +178,7 @@ SQL: dict[str, str] = {
                    list_filter(ws, lambda w, k: NOT coalesce(list_contains(gone, k), false)), ' ')) AS kept_sha256
         FROM split LEFT JOIN removed USING (doc_id)
     """,
+    "op7_warc_derivatives": SQL_WARC,
     "op8_chat_trees": r"""
         WITH rows AS (
             SELECT conv_id, turn, role, coalesce(role, '') AS r, text, coalesce(text, '') AS t FROM conversations
