@@ -67,12 +67,11 @@ def place(lengths: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
     opened = 0
     for i, size in enumerate(lengths):
         rest = window - size
-        # Index h: the cost of the levels 0 (a new window) to rest (one that becomes full).
-        cost = counts[size:] - counts[: rest + 1]
-        cost = np.where(counts[: rest + 1] > 0, cost + 1, np.iinfo(np.int64).max)
-        cost[0] = counts[size] + 0.5 if rest else 0
-        if rest and counts[rest]:
-            cost[rest] = -counts[rest]
+        # Index h: the change of the sum for the levels 0 (a new window) to rest (one that becomes full).
+        cost = 2 * (counts[size:] - counts[: rest + 1] + 1)
+        cost[rest] = 1 - 2 * counts[rest]
+        cost[counts[: rest + 1] == 0] = np.iinfo(np.int64).max
+        cost[0] = 2 * counts[size] + 1 if rest else 0
         level = rest - int(np.argmin(cost[::-1]))
         if level:
             counts[level] -= 1
