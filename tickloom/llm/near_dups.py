@@ -243,8 +243,8 @@ def _compare(exact: bool) -> Callable:
                 t.column("node").to_numpy(),
                 t.column("label").to_numpy(),
                 t.column("n_shingles").to_numpy(),
-                np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(n, -1),
-                np.frombuffer(b"".join(t.column("bands").to_pylist()), np.uint64).reshape(n, -1)[:, : band + 1].copy(),
+                np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(n, 2 * PERMUTATIONS),
+                np.frombuffer(b"".join(t.column("bands").to_pylist()), np.uint64).reshape(n, BANDS)[:, : band + 1].copy(),
             )
 
         node, label, size, low, keys = arrays(right)
