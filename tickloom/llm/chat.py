@@ -1,9 +1,11 @@
 """Conversations as prefix trees: shared first turns are emitted once, depth first.
 
-A node is a turn after given earlier turns. Its path is the string of the 8-byte hashes of its turns, so
-sorting nodes by path is the depth-first order, whatever the size of a tree; no task ever holds one. Tokens of
-all nodes make one stream; each node has its offset there, the position id of its first token (the tokens of its ancestors) and the
-intervals of the stream its tokens may attend to besides its own: its ancestors.
+A node is a turn after given earlier turns. Nodes that follow each other without a branch make a run. The path of a run is
+the string of 8-byte hashes of the runs that lead to it, so sorting nodes by path and place in the run is the depth-first
+order, whatever the size of a tree; no task ever holds one, and a long conversation costs no more than its turns. Tokens of
+all nodes make one stream. Each node has its offset there, the position id of its first token (the tokens of its ancestors)
+and the intervals of the stream that its tokens may attend to besides its own: one for each run above it and one for
+what comes before it in its run.
 
 Template: ``[INST] role, line feed, text, [/INST]``; an assistant's turn is ``role, line feed, text, </s>``. Control strings
 inside roles and texts get a backslash after their first character, one more if there are some, so they come back exactly.
@@ -53,22 +55,38 @@ def frame(role: str) -> tuple[str, str]:
     return f"{before}{escape_role(role)}\n", after
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each turn: its node's key, a hash of all turns up to it, and the key before."""
     for batch in batches:
         rows: list[tuple] = []
         for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist()):
-            path = b""
+            key = b""
             for i, turn in enumerate(turns):
                 role, text = turn["role"].encode(), turn["text"].encode()
-                path += hashlib.blake2b(len(role).to_bytes(8, "big") + role + text, digest_size=HASH_BYTES).digest()
-                rows.append((conv, path, turn["role"], turn["text"], i == len(turns) - 1))
-        kinds = (pa.int64(), pa.binary(), pa.string(), pa.string(), pa.bool_())
+                before, key = key, hashlib.blake2b(key + len(role).to_bytes(8, "big") + role + text, digest_size=16).digest()
+                rows.append((conv, i, before, key, turn["role"], turn["text"], i == len(turns) - 1))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.bool_())
+        names = ["conv_id", "at", "before", "key", "role", "text", "last"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The path of the run and the place in it for each node of a conversation."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for nodes in batch.column("nodes").to_pylist():
+            path, place = b"", 0
+            for node in nodes:
+                if node["opens"]:
+                    path, place = path + node["key"][:HASH_BYTES], 0
+                rows.append((node["key"], path, place))
+                place += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["conv_id", "path", "role", "text", "last"]
+            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.binary(), pa.binary(), pa.int32()))], ["key", "path", "place"]
         )
 
 
-NODE = "path binary, part int, before long, n_ids int, loss_start int, loss_end int, body_start int, body_end int, ids array<int>"
+NODE = "key binary, path binary, part int, before long, n_ids int, loss_start int, loss_end int, body_start int, body_end int, ids array<int>"
 
 
 def _encode(tokenizer: str):
@@ -92,8 +110,8 @@ def _encode(tokenizer: str):
                 before += n
             kinds = (pa.int32(), pa.int64(), *[pa.int32()] * 5)
             yield pa.RecordBatch.from_arrays(
-                [table.column("path").combine_chunks(), *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), lists_of_ints(ids, pa.int32())],
-                ["path", "part", "before", "n_ids", "loss_start", "loss_end", "body_start", "body_end", "ids"],
+                [*(table.column(c).combine_chunks() for c in ("key", "path")), *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), lists_of_ints(ids, pa.int32())],
+                ["key", "path", "part", "before", "n_ids", "loss_start", "loss_end", "body_start", "body_end", "ids"],
             )
 
     return run
@@ -102,8 +120,9 @@ def _encode(tokenizer: str):
 def write_trees(conversations: DataFrame, path: str, tokenizer: str) -> None:
     """Format all conversations as prefix trees: two Parquet tables below ``path``.
 
-    ``nodes``: offset, n_ids, ids, position_start, ancestors (array of start, end; from the root), body_start, body_end,
-    loss_start, loss_end (ranges of the node's own ids). ``members``: conv_id, n_turns and the offset of its last node.
+    ``nodes``: offset, run (the offset of its run), n_ids, ids, position_start, ancestors (array of start, end; from the
+    root), body_start, body_end, loss_start, loss_end (ranges of the node's own ids). ``members``: conv_id, n_turns and the
+    offset of its last node.
 
     ``conversations`` has conv_id, turn, role and text; other columns are not read. Rows are ordered by turn, then role
     and text, nulls first; null roles and texts are empty. Rows with a null conv_id are one conversation. Equal
@@ -120,29 +139,55 @@ def write_trees(conversations: DataFrame, path: str, tokenizer: str) -> None:
             F.transform("turns", lambda t: F.struct(F.coalesce(t.role, F.lit("")).alias("role"), F.coalesce(t.text, F.lit("")).alias("text"))),
         )
     )
-    placed = stage_table(turns.mapInArrow(_paths, "conv_id long, path binary, role string, text string, last boolean"), "turns")
-    different = placed.groupBy("path").agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    ordered = stage_table(different, "different").repartitionByRange(shuffle_width(conversations.sparkSession), "path").sortWithinPartitions("path")
+    placed = stage_table(
+        turns.mapInArrow(_chain, "conv_id long, at int, before binary, key binary, role string, text string, last boolean"), "turns"
+    )
+    children = placed.select("before", "key").distinct().groupBy("before").agg(F.count(F.lit(1)).alias("n"))
+    forks = children.filter("n > 1").select("before", F.lit(True).alias("fork"))
+    opens = (F.col("at") == 0) | F.coalesce("fork", F.lit(False))
+    node = F.struct("at", "key", opens.alias("opens"))
+    gathered = placed.select("conv_id", "at", "before", "key").join(forks, "before", "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    runs = gathered.mapInArrow(_runs, "key binary, path binary, place int").groupBy("key").agg(F.first("path").alias("path"), F.first("place").alias("place"))
+    texts = placed.groupBy("key").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    different = stage_table(texts.join(runs, "key"), "different")
+    ordered = different.repartitionByRange(shuffle_width(conversations.sparkSession), "path", "place").sortWithinPartitions("path", "place")
     coded = stage_table(ordered.mapInArrow(_encode(tokenizer), NODE), "coded")
     ends = coded.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
     # A row for each part.
     base = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     streamed = coded.join(F.broadcast(base), "part").withColumn("offset", F.col("base") + F.col("before"))
-    spots = stage_table(streamed.select("path", "offset", "n_ids"), "spots")
+    spans = stage_table(
+        streamed.groupBy("path").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("n_ids")).alias("end")), "runs"
+    )
     depth = (F.length("path") / HASH_BYTES).cast("int")
-    above = spots.filter(depth > 1).select(
-        F.col("offset").alias("node"), F.explode(F.sequence(F.lit(1), depth - 1)).alias("depth"), "path"
-    ).select("node", F.substring("path", F.lit(1), F.col("depth") * HASH_BYTES).alias("path"))
-    interval = F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("n_ids")).alias("end"))
-    ancestors = above.join(spots, "path").groupBy(F.col("node").alias("offset")).agg(
-        F.sort_array(F.collect_list(interval)).alias("ancestors"), F.sum("n_ids").alias("position_start")
+    above = spans.filter(depth > 1).select("path", F.explode(F.sequence(F.lit(1), depth - 1)).alias("depth")).select(
+        F.col("path").alias("below"), F.substring("path", F.lit(1), F.col("depth") * HASH_BYTES).alias("path")
+    )
+    ancestors = above.join(spans, "path").groupBy(F.col("below").alias("path")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("above"), F.sum(F.col("end") - F.col("start")).alias("tokens_above")
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    streamed.drop("path", "part", "before", "base").join(ancestors, "offset", "left").withColumns(
-        {"ancestors": F.coalesce("ancestors", none), "position_start": F.coalesce("position_start", F.lit(0))}
-    ).write.parquet(f"{path}/nodes")
-    last = placed.filter("last").select("conv_id", "path", depth.alias("n_turns"))
-    last.join(spots.select("path", "offset"), "path").drop("path").write.parquet(f"{path}/members")
+    facts = spans.join(ancestors, "path", "left").select(
+        "path", F.col("start").alias("run"), F.coalesce("above", none).alias("above"), F.coalesce("tokens_above", F.lit(0)).alias("tokens_above")
+    )
+    own = F.when(F.col("offset") > F.col("run"), F.array(F.struct(F.col("run").alias("start"), F.col("offset").alias("end")))).otherwise(none)
+    nodes = streamed.join(facts, "path").select(
+        "key",
+        "offset",
+        "run",
+        "n_ids",
+        "ids",
+        (F.col("tokens_above") + F.col("offset") - F.col("run")).alias("position_start"),
+        F.concat("above", own).alias("ancestors"),
+        "body_start",
+        "body_end",
+        "loss_start",
+        "loss_end",
+    )
+    nodes = stage_table(nodes, "nodes")
+    last = placed.filter("last").select("conv_id", "key", (F.col("at") + 1).alias("n_turns"))
+    last.join(nodes.select("key", "offset"), "key").drop("key").write.parquet(f"{path}/members")
+    nodes.drop("key").write.parquet(f"{path}/nodes")
 
 
 def read_turns(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
@@ -172,11 +217,12 @@ def read_turns(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     decoded = nodes.select("offset", "ids", "body_start", "body_end", "loss_start", "loss_end").mapInArrow(
         decode, "offset long, role string, text string, under_loss string, n_chars long"
     )
-    leaves = members.join(nodes.select("offset", "ancestors"), "offset")
-    steps = leaves.select(
-        "conv_id", F.posexplode(F.concat(F.transform("ancestors", lambda a: a.start), F.array("offset"))).alias("at", "offset")
-    )
-    return steps.join(decoded, "offset").drop("offset")
+    leaves = members.join(nodes.select("offset", "run", "ancestors"), "offset")
+    # The conversation's nodes lie in the runs that its last node may attend to, and in its own run up to it.
+    starts = F.array_union(F.transform("ancestors", lambda a: a.start), F.array("run"))
+    steps = leaves.select("conv_id", F.col("offset").alias("last"), F.explode(starts).alias("run"))
+    found = steps.join(nodes.select("run", "offset"), "run").filter("offset <= last").select("conv_id", "offset")
+    return found.join(decoded, "offset").withColumnRenamed("offset", "at")
 
 
 def digest_conversations(turns: DataFrame) -> DataFrame:
