@@ -29,7 +29,7 @@ ASSISTANT = "assistant"
 OPEN, CLOSE, END = "[INST] ", " [/INST]", "</s>"
 CONTROL = re.compile(r"([<\[])(\\*)(/?s>|/?INST\])")
 ESCAPED = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\])")
-TEXT_BYTES_AT_ONCE = 4 << 20
+TEXT_BYTES_AT_ONCE = 1 << 20
 HASH_BYTES = 8
 
 

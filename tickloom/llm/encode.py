@@ -17,7 +17,7 @@ from itertools import chain
 from tickloom.llm.common import worker_store
 
 # Most pieces that a worker remembers (some 200 bytes each); the cache starts anew beyond it.
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 600_000
 SPACE_BEFORE_SPACE = re.compile(r" (?=\s|\Z)")
 PIECE_START = re.compile(r"(?= \S)")
 FINER = re.compile(r"(?<=[A-Za-z])(?=[^A-Za-z'\x80-\U0010ffff])")

@@ -42,7 +42,7 @@ LEAST_SHARE = 0.62
 FIRST_PAIRS = 2
 # Members of a bucket that one task compares with each other.
 BLOCK = 512
-TEXT_BYTES_AT_ONCE = 2 << 20
+TEXT_BYTES_AT_ONCE = 1 << 20
 BASE = 0x5851F42D4C957F2D
 # A-Z to a-z on UTF-8 bytes; no byte of a longer character is below 128.
 LOWER = np.arange(256, dtype=np.uint8)

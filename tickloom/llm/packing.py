@@ -23,7 +23,7 @@ from tickloom.llm.encode import encode_texts
 WINDOW = 2048
 # Most rests that one packing task places, some 80 bytes each.
 PIECES_PER_BLOCK = 50_000
-TEXT_BYTES_AT_ONCE = 4 << 20
+TEXT_BYTES_AT_ONCE = 1 << 20
 # Sequence ids of whole windows start here, beyond those of any block.
 WHOLE_WINDOWS = 1 << 62
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -42,7 +42,7 @@ STATISTICS = ("q_length", "q_symbols", "q_lines", "q_repeats")
 P = len(STATISTICS)
 UNIT = 1024
 BINS_PER_OCTAVE = 8
-TEXT_BYTES_AT_ONCE = 8 << 20
+TEXT_BYTES_AT_ONCE = 1 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 

@@ -38,8 +38,8 @@ from tickloom.llm.common import (
 )
 
 WINDOW = 20
-# Text that a task hashes at once; it sets the memory of a chunk, some 30 bytes a byte.
-CHUNK_BYTES = 4 << 20
+# Text that a task hashes at once; it sets the memory of a chunk, some 20 bytes a byte.
+CHUNK_BYTES = 2 << 20
 # Buckets for each shuffle partition: some, so that their sizes even out.
 BUCKETS_PER_PARTITION = 2
 BASE, OTHER_BASE = 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93

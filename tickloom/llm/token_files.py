@@ -22,7 +22,7 @@ from tickloom.llm.encode import encode_texts
 STRIPE_BYTES = 64 << 20
 ROWS_PER_INDEX_ENTRY = 1_000
 BLOOM_FALSE_POSITIVES = 0.01
-TEXT_BYTES_AT_ONCE = 4 << 20
+TEXT_BYTES_AT_ONCE = 1 << 20
 FILE_COLUMNS = "doc_id long, part int, before long, n_ids int, ids array<int>"
 
 

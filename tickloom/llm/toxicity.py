@@ -32,7 +32,7 @@ PENALTY = 1e-4
 STEPS = 600
 PREDICT_FROM = 0.3
 BASE = 0x9E3779B97F4A7C15
-TEXT_BYTES_AT_ONCE = 2 << 20
+TEXT_BYTES_AT_ONCE = 1 << 19
 CHUNKS = 64
 
 
