@@ -13,7 +13,6 @@ from workload.queries import QUERIES
 FOLDER = os.environ.get("TICKLOOM_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 TABLES = ["part", "orders", "lineitem", "events", "embeddings"]
-SAMPLED = {"gaussian_synth", "gaussian_synth_all", "synth_validate"}
 
 
 @pytest.fixture(scope="module")
@@ -36,9 +35,9 @@ def _rows(records, names):
     return sorted((tuple(_plain(r[i]) for i in order) for r in records), key=repr)
 
 
-def test_every_query_has_sql_or_is_sampled():
-    assert set(QUERIES) - set(SQL) == SAMPLED
-    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -50,11 +49,6 @@ def test_matches_sql(spark, duck, name):
     assert _rows(df.collect(), df.columns) == _rows(result.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(SAMPLED))
-def test_sampled_queries_run(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0

@@ -26,8 +26,9 @@ def log_ratio(now: ColumnOrName, before: ColumnOrName) -> Column:
 
 
 def number(c: ColumnOrName) -> Column:
-    """Text to double; NULL when it is not a number."""
-    return col(c).try_cast("double")
+    """Text to double; NULL when it is not a number, ``NaN`` included."""
+    value = col(c).try_cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def clip(value: Column, low: Column | float, high: Column | float) -> Column:
@@ -36,6 +37,13 @@ def clip(value: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(value, low), high)
 
 
+def plus_minutes(time: Column, minutes: Column) -> Column:
+    """A time so many minutes later; the count may exceed 32 bits."""
+    day = 24 * 60
+    days = F.floor(minutes / day).cast("int")
+    return time + F.make_dt_interval(days=days, mins=(minutes - days.cast("long") * day).cast("int"))
+
+
 def truncate(value: Column) -> Column:
     """Drop the fraction, toward zero."""
     return value.cast("long")

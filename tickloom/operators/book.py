@@ -44,15 +44,15 @@ def top_levels(
     return quotes.withColumn("level", F.row_number().over(best)).filter(F.col("level") <= levels)
 
 
-def book_depth(quotes: DataFrame, time: str = "timestamp") -> int:
+def book_depth(quotes: DataFrame, time: str = "timestamp", extra_key: Sequence[str] = ()) -> int:
     """Quotes on the deepest side of any book."""
-    sides = quotes.groupBy("product", time, "side").agg(F.count(F.lit(1)).alias("n"))
+    sides = quotes.groupBy("product", time, *extra_key, "side").agg(F.count(F.lit(1)).alias("n"))
     return sides.agg(F.max("n")).first()[0] or 0
 
 
 def l2_pivot(
     quotes: DataFrame,
-    levels: int | None = 3,
+    levels: int | None = None,
     time: str = "timestamp",
     ties: Sequence[str] = (),
     size_name: str = "volume",
@@ -60,11 +60,11 @@ def l2_pivot(
 ) -> DataFrame:
     """Long quotes to one row per (product, time) with price and size columns per level.
 
-    ``levels=None`` makes as many levels as the deepest book has. ``extra_key``
-    (say a source file) keeps books of several files apart.
+    Every quote is a level: there are as many as the deepest book has, unless ``levels`` asks for the
+    best few only. ``extra_key`` (say a source file) keeps books of several files apart.
     """
     if levels is None:
-        levels = book_depth(quotes, time)
+        levels = book_depth(quotes, time, extra_key)
     ranked = top_levels(quotes, levels, time, ties, extra_key)
     # An instant with quotes of an unknown side only still gives a (bare) row.
     cells = []
@@ -76,6 +76,23 @@ def l2_pivot(
     return ranked.groupBy(time, "product", *extra_key).agg(*cells)
 
 
+def full_books(
+    quotes: DataFrame, time: str = "timestamp", ties: Sequence[str] = (), extra_key: Sequence[str] = ()
+) -> DataFrame:
+    """Long quotes to one row per (product, time) with every quote: arrays ``bids`` and ``asks``, best first.
+
+    Entries are (price, quantity). One exchange; a book as a row has to fit one task, see ``level_rank`` for the long form.
+    """
+    order = [F.coalesce(_rank_price(), F.lit(sys.float_info.max)).alias("_rank"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties)]]
+    entry = F.struct(*order, F.col("price"), F.col("quantity"))
+
+    def side(name: str) -> Column:
+        sorted_ = F.sort_array(F.collect_list(F.when(F.col("side") == name, entry)))
+        return F.transform(sorted_, lambda e: F.struct(e["price"].alias("price"), e["quantity"].alias("quantity")))
+
+    return quotes.groupBy(time, "product", *extra_key).agg(side("BID").alias("bids"), side("ASK").alias("asks"))
+
+
 def book_mid() -> Column:
     """Mean of the best prices, or the one that exists."""
     return F.coalesce(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import dot, feature_vector, log_ratio
+from tickloom.functions.columns import dot, feature_vector, log_ratio, ratio
 from tickloom.operators.stats import normalise
 from tickloom.plans import Series, arrange
 
@@ -66,7 +66,7 @@ def agent_features(
     rows = normalise(feature_momentum(df, series, features), series.key, features)
     indicators = [c for f in features for c in (f, f"{f}_zscore", f"{f}_norm", f"{f}_momentum")]
     held = F.array(
-        position / limit,
+        ratio(position, limit),
         F.when(position > 0, 1.0).otherwise(0.0),
         F.when(position < 0, 1.0).otherwise(0.0),
     )
@@ -78,5 +78,5 @@ def agent_features(
 def observation(features: Sequence[str], position: Column, limit: Column, pnl: Column) -> Column:
     """Feature row, position share and profit so far as a float vector."""
     return F.concat(
-        feature_vector(features), F.array((position / limit).cast("double"), pnl.cast("double"))
+        feature_vector(features), F.array(ratio(position, limit).cast("double"), pnl.cast("double"))
     ).cast("array<float>")

@@ -9,14 +9,18 @@ each block's starting position, and the blocks are replayed in parallel.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.columns import ratio
 from tickloom.operators.stats import sharpe
 from tickloom.plans import Layout, Series, arrange, attach, run_over
 from tickloom.plans.settings import BROADCAST_SLICES, settle_table
@@ -44,6 +48,7 @@ def clamped_position(
 ) -> DataFrame:
     """Add ``position_before``, ``position`` and ``change`` of a position kept within ±limit.
 
+    The limit may change from row to row; each row's own limit holds when it is applied.
     ``start`` may hold a position per key (columns: key, ``position``) to go on from.
     """
     return hold(arrange(df, series), delta, limit, start).rows()
@@ -85,30 +90,38 @@ def hold(layout: Layout, delta: Column, limit: Column, start: DataFrame | None =
     return layout.with_df(replayed)
 
 
-# The task functions below use nothing of this package, so executors need not have it installed.
+# Task functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _step_functions(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's step ``x -> min(high, max(low, x + shift))``; a missing change is 0, a missing limit none."""
+    limits = pc.fill_null(table.column("_limit"), 1 << 61).to_numpy()
+    return pc.fill_null(table.column("_delta"), 0).to_numpy().copy(), -limits, limits.copy()
+
+
+def _compose(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Make each step, in place, the function of all steps up to it: a prefix scan that doubles its reach."""
+    reach = 1
+    while reach < len(shift):
+        first, then = slice(None, -reach), slice(reach, None)
+        lows = np.clip(low[first] + shift[then], low[then], high[then])
+        highs = np.clip(high[first] + shift[then], low[then], high[then])
+        shifts = shift[first] + shift[then]
+        low[then], high[then], shift[then] = lows, highs, shifts
+        reach *= 2
 
 
 def _fold_block(parts: Sequence[str], order: Sequence[str]):
     by = [(c, "ascending") for c in order]
 
     def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by(by)
-        deltas, limits = (table.column(n).to_pylist() for n in ("_delta", "_limit"))
-        shift, low, high = 0, -limits[0], limits[0]
-        for i, (delta, limit) in enumerate(zip(deltas, limits)):
-            delta = delta or 0
-            shift += delta
-            if i > 0:
-                low = min(limit, max(-limit, low + delta))
-                high = min(limit, max(-limit, high + delta))
-        return pa.table(
-            {
-                **{p: table.column(p).slice(0, 1) for p in parts},
-                "_shift": pa.array([shift], pa.int64()),
-                "_low": pa.array([low], pa.int64()),
-                "_high": pa.array([high], pa.int64()),
-            }
-        )
+        steps = _step_functions(table.sort_by(by))
+        _compose(*steps)
+        last = {p: table.column(p).slice(0, 1) for p in parts}
+        for name, step in zip(("_shift", "_low", "_high"), steps):
+            last[name] = pa.array(step[-1:], pa.int64())
+        return pa.table(last)
 
     return fold
 
@@ -132,14 +145,15 @@ def _replay_block(columns: Sequence[str], order: Sequence[str]):
 
     def replay(table: pa.Table) -> pa.Table:
         table = table.sort_by(by)
-        limit = table.column("_limit")[0].as_py()
         start = table.column("_start")[0].as_py() or 0
-        steps = (d or 0 for d in table.column("_delta").to_pylist())
-        held = list(accumulate(steps, lambda at, d: min(limit, max(-limit, at + d)), initial=start))
+        shift, low, high = _step_functions(table)
+        _compose(shift, low, high)
+        after = np.clip(start + shift, low, high)
+        before = np.concatenate([[start], after[:-1]])
         out = table.select(list(columns))
-        out = out.append_column("position_before", pa.array(held[:-1], pa.int64()))
-        out = out.append_column("position", pa.array(held[1:], pa.int64()))
-        return out.append_column("change", pa.array([b - a for a, b in zip(held, held[1:])], pa.int64()))
+        for name, values in (("position_before", before), ("position", after), ("change", after - before)):
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out
 
     return replay
 
@@ -162,7 +176,7 @@ def executed_trades(positions: DataFrame, price: str = "price") -> DataFrame:
 
 def position_features(position: Column, limit: Column) -> dict[str, Column]:
     return {
-        "position_share": position / limit,
+        "position_share": ratio(position, limit),
         "is_long": F.when(position > 0, 1.0).otherwise(0.0),
         "is_short": F.when(position < 0, 1.0).otherwise(0.0),
     }

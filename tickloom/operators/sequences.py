@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.columns import feature_vector
+from tickloom.functions.columns import feature_vector, plus_minutes
 from tickloom.plans import Series, arrange, attach, row_index
 
 # The shortest series that gives sequences, and the shortest sequence.
@@ -89,5 +89,5 @@ def default_timestamp(
 ) -> DataFrame:
     """A minute per row from ``start``, for tables without a time column."""
     numbered = row_index(df, series, "_row")
-    minutes = F.make_interval(mins=F.col("_row").cast("int"))
-    return numbered.withColumn(name, F.lit(start).cast("timestamp_ntz") + minutes).drop("_row")
+    begin = F.lit(start).cast("timestamp_ntz")
+    return numbered.withColumn(name, plus_minutes(begin, F.col("_row"))).drop("_row")

@@ -79,7 +79,7 @@ def target_size() -> Column:
     """Order size from signal strength, trend and volatility, within the position limit."""
     trend = F.abs(trend_over_mean())
     volatility = F.when(
-        F.col("short_volatility") > 0, F.col("short_volatility") / F.col("volatility_threshold")
+        F.col("short_volatility") > 0, ratio(F.col("short_volatility"), F.col("volatility_threshold"))
     ).otherwise(F.lit(1.0))
     factor = (
         (1 + F.abs("signal") * MOMENTUM_SCALING)

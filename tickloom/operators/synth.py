@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import clip
+from tickloom.functions.columns import clip, plus_minutes
 from tickloom.operators.stats import distribution_compare, feature_stats, ks_2sample
+from tickloom.plans import attach
 
 # Ticks between synthetic rows, rows made by one task step.
 TICK = 100
@@ -17,11 +18,12 @@ ROWS_PER_CHUNK = 100_000
 
 def normal_draw(*parts: Column) -> Column:
     """A standard normal number fixed by its parts, so a rerun task draws the same."""
-    scale = float(2**53)
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
 
     def uniform(salt: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *parts), 11)
-        return (bits + 0.5) / scale
+        # 48 bits of a digest that every engine has.
+        bits = F.conv(F.substring(F.md5(F.concat(text, F.lit(f"|{salt}"))), 1, 12), 16, 10).cast("double")
+        return (bits + 0.5) / 2.0**48
 
     return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * F.pi() * uniform(2))
 
@@ -37,13 +39,15 @@ def gaussian_synth(
         *key, F.struct("mean", "std", "min", "max").alias(features[0])
     )
     # Rows grow out of the statistics in two steps, so a large set is made by many tasks.
+    if n_rows <= 0:
+        wide = wide.limit(0)
     chunks = wide.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.lit(max(0, (n_rows - 1) // ROWS_PER_CHUNK))))
     )
     if n_rows > ROWS_PER_CHUNK:
         chunks = chunks.repartition(*key, "_chunk")
     start = F.col("_chunk").cast("long") * ROWS_PER_CHUNK
-    stop = F.least(start + ROWS_PER_CHUNK, F.lit(n_rows).cast("long")) - 1
+    stop = F.least(start + ROWS_PER_CHUNK, F.lit(max(n_rows, 1)).cast("long")) - 1
     rows = chunks.withColumn("_i", F.explode(F.sequence(start, stop)))
 
     def value(f: str) -> Column:
@@ -67,23 +71,47 @@ def synth_validate(
 
 
 def synthetic_time(
-    synth: DataFrame, row_number: str, real: DataFrame, time: str, after_last: bool = False
+    synth: DataFrame,
+    row_number: str,
+    real: DataFrame,
+    time: str,
+    after_last: bool = False,
+    key: Sequence[str] = (),
 ) -> DataFrame:
-    """A minute per synthetic row from the last real time on (or one minute after it)."""
-    last = real.agg(F.max(time)).scalar()
+    """A minute per synthetic row from the last real time on (or one minute after it).
+
+    With ``key`` every product goes on from its own last time; one without real rows gets NULL.
+    """
     minutes = F.col(row_number) + (1 if after_last else 0)
-    return synth.withColumn(time, last + F.make_interval(mins=minutes.cast("int")))
+    last = F.max(time).alias("_last")
+    if key:
+        out = attach(synth, real.groupBy(*key).agg(last), key)
+    else:
+        out = synth.join(F.broadcast(real.agg(last)))  # one row beside all
+    return out.withColumn(time, plus_minutes(F.col("_last"), minutes)).drop("_last")
 
 
 def carry_constants(
-    synth: DataFrame, real: DataFrame, columns: Sequence[str], order: Sequence[str], day: str | None = None
+    synth: DataFrame,
+    real: DataFrame,
+    columns: Sequence[str],
+    order: Sequence[str],
+    day: str | None = None,
+    key: Sequence[str] = (),
 ) -> DataFrame:
-    """Give synthetic rows the first real value of each other column, and the day after the last."""
-    first = {c: real.agg(F.min_by(c, F.struct(*order))).scalar() for c in columns}
-    out = synth.withColumns(first) if first else synth
+    """Give synthetic rows the first real value of each other column, and the day after the last.
+
+    All come from one scan of ``real``. With ``key`` every product has its own; one without real rows gets NULL.
+    """
+    picks = [F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")] if columns else []
     if day is not None:
-        out = out.withColumn(day, real.agg(F.max(day) + 1).scalar())
-    return out
+        picks.append((F.max(day) + 1).alias("_day"))
+    if not picks:
+        return synth
+    out = attach(synth, real.groupBy(*key).agg(*picks), key) if key else synth.join(F.broadcast(real.agg(*picks)))
+    out = out.withColumns({c: F.col("_first")[c] for c in columns}) if columns else out
+    out = out.withColumn(day, F.col("_day")) if day is not None else out
+    return out.drop("_first", "_day")
 
 
 def training_table(real: DataFrame, synth: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -156,12 +156,19 @@ SQL["quote_feature_table"] = quote_sql(
 
 # ---------------------------------------------------------------- book projections
 
-SQL["l2_pivot"] = f"WITH {BOOKS} SELECT * FROM book"
+SQL["l2_top"] = f"WITH {BOOKS} SELECT * FROM book"
+_LISTED = ", ".join(
+    f"coalesce(string_agg(CAST(CAST({f} AS BIGINT) AS VARCHAR), ',' ORDER BY level) FILTER (WHERE side = '{s[:3].upper()}'), '') AS {s}_{f}"
+    for s in ("bids", "asks")
+    for f in ("price", "quantity")
+)
+SQL["l2_pivot"] = f"""WITH {QUOTES}, {RANKED} SELECT product, t, count(*) FILTER (WHERE side = 'BID') AS n_bids,
+  count(*) FILTER (WHERE side = 'ASK') AS n_asks, {_LISTED} FROM ranked GROUP BY product, t"""
 SQL["name_columns"] = f"WITH {PRICED} SELECT * FROM prices"
 SQL["cast_fill"] = f"WITH {PRICED} SELECT {', '.join(PRICE_COLUMNS)} FROM filled"
 SQL["round_timestamp"] = f"WITH {PRICED} SELECT product, day, timestamp, round_timestamp FROM filled"
 SQL["to_numeric"] = f"""WITH {QUOTES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, t,
-  CASE WHEN l_linenumber = 1 THEN NULL ELSE price END AS price FROM quotes"""
+  CASE WHEN l_linenumber IN (1, 2) THEN NULL ELSE price END AS price FROM quotes"""
 SQL["base_product"] = """SELECT p_partkey, p_brand, CASE WHEN starts_with(p_brand, 'Brand#2') THEN 'Brand#2'
   WHEN starts_with(p_brand, 'Brand#1') THEN 'Brand#1' ELSE p_brand END AS base_product FROM part"""
 SQL["trade_volume_best"] = f"WITH {BOOKS} SELECT product, t, least(bid_volume_1, ask_volume_1) AS trade_volume_best FROM book"
@@ -189,7 +196,7 @@ SELECT product, t, count(*) FILTER (WHERE side = 'BID') AS n_buy, count(*) FILTE
 SQL["best_level"] = f"""WITH {QUOTES} SELECT product, t, max(price) FILTER (WHERE side = 'BID') AS best_bid,
   min(price) FILTER (WHERE side = 'ASK') AS best_ask FROM quotes GROUP BY product, t"""
 SQL["level_rank"] = f"WITH {QUOTES}, {RANKED} SELECT product, t, side, price, quantity, level FROM ranked"
-SQL["sort_levels"] = f"WITH {QUOTES}, {RANKED} SELECT product, t, side, level, price FROM ranked WHERE level <= 3"
+SQL["sort_levels"] = f"WITH {QUOTES}, {RANKED} SELECT product, t, side, level, price FROM ranked"
 SQL["two_sided"] = f"""WITH {BOOKS} SELECT product, t, bid_price_1, ask_price_1 FROM book
 WHERE bid_price_1 IS NOT NULL AND ask_price_1 IS NOT NULL"""
 SQL["side_split"] = f"""WITH {QUOTES} SELECT product, t, count(*) FILTER (WHERE side = 'BID') AS n_bid,
@@ -216,14 +223,14 @@ UNION ALL SELECT product, t, price FROM quotes"""
 SQL["alias_symbol"] = SQL["union_all_positional"]
 SQL["product_set"] = f"""WITH {QUOTES}, {ORDERS}, {TICKS} SELECT product FROM quotes UNION SELECT product FROM orders_sim
 UNION SELECT product FROM ticks"""
-SQL["synthetic_time"] = f"""WITH {TICKS}, {SPLIT}, m AS (SELECT max(time) AS last FROM reals),
+SQL["synthetic_time"] = f"""WITH {TICKS}, {SPLIT}, m AS (SELECT product, max(time) AS last FROM reals GROUP BY product),
 n AS (SELECT event_id, product, row_number() OVER (PARTITION BY product ORDER BY event_id) - 1 AS i FROM synths)
 SELECT event_id, product, strftime(last + i * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS time,
-  strftime(last + (i + 1) * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS later FROM n, m"""
+  strftime(last + (i + 1) * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS later FROM n LEFT JOIN m USING (product)"""
 SQL["carry_constants"] = f"""WITH {PRICED}, {ORDERS},
-f AS (SELECT product, profit_and_loss FROM prices ORDER BY day, timestamp, product LIMIT 1)
-SELECT o_orderkey, price, (SELECT product FROM f) AS product, (SELECT profit_and_loss FROM f) AS profit_and_loss,
-  (SELECT max(day) + 1 FROM prices) AS day FROM orders_sim"""
+f AS (SELECT product, arg_min(mid_price, (day, timestamp)) AS mid_price, arg_min(profit_and_loss, (day, timestamp)) AS profit_and_loss,
+  max(day) + 1 AS day FROM prices GROUP BY product)
+SELECT o_orderkey, price, product, mid_price, profit_and_loss, day FROM orders_sim LEFT JOIN f USING (product)"""
 LOTS = "CASE action WHEN 0 THEN -10 WHEN 1 THEN -5 WHEN 3 THEN 5 WHEN 4 THEN 10 ELSE 0 END"
 SQL["action_delta"] = f"""WITH {TICKS} SELECT event_id, action, CAST({LOTS} AS BIGINT) AS agent_delta,
   (action - 2) * 25 AS env_delta FROM ticks"""
@@ -318,8 +325,7 @@ gb AS (SELECT product, feature, {_MOMENTS.format("synth")} FROM lb GROUP BY ALL)
 SQL["real_vs_synth"] = f"WITH {TICKS}, {SPLIT}, {COMPARED} SELECT product, feature, {r(6, 'real_mean', 'synth_mean')} FROM j"
 SQL["distribution_compare"] = f"""WITH {TICKS}, {SPLIT}, {COMPARED} SELECT product, feature,
   {r(6, *[f"{s}_{m}" for s in ("real", "synth") for m in ("mean", "std", "min", "max")])} FROM j"""
-SQL["ks_2sample"] = f"""WITH {TICKS}, {SPLIT}, {BOTH},
-pool AS (SELECT product, feature, v, 1 AS a, 0 AS b FROM la UNION ALL SELECT product, feature, v, 0, 1 FROM lb),
+KS = f"""pool AS (SELECT product, feature, v, 1 AS a, 0 AS b FROM la UNION ALL SELECT product, feature, v, 0, 1 FROM lb),
 m AS (SELECT product, feature, v, sum(a) AS a, sum(b) AS b FROM pool GROUP BY ALL),
 n AS (SELECT product, feature, sum(a) AS n_real, sum(b) AS n_synth FROM pool GROUP BY ALL),
 c AS (SELECT product, feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb FROM m WINDOW w AS (PARTITION BY product, feature ORDER BY v)),
@@ -327,8 +333,29 @@ d AS (SELECT product, feature, n_real, n_synth, max(abs(ca / n_real - cb / n_syn
   FROM c JOIN n USING (product, feature) GROUP BY ALL),
 x AS (SELECT *, sqrt(n_real * n_synth / (n_real + n_synth)) * ks_statistic AS l FROM d),
 p AS (SELECT *, CASE WHEN l < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
-  lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * l * l))))) END AS p_value FROM x)
+  lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * l * l))))) END AS p_value FROM x)"""
+SQL["ks_2sample"] = f"""WITH {TICKS}, {SPLIT}, {BOTH}, {KS}
 SELECT product, feature, CAST(n_real AS BIGINT) AS n_real, CAST(n_synth AS BIGINT) AS n_synth, {r(6, "ks_statistic", "p_value")} FROM p"""
+
+# The synthetic rows: the same digests, the same draws.
+def _uniform(salt: int) -> str:
+    return f"((CAST('0x' || substr(md5(concat_ws('|', '0', feature, product, i, '{salt}')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
+
+
+DRAWN = f"""made AS (SELECT product, feature, i, greatest(min, least(max, mean + coalesce(std, 0) *
+  sqrt(-2 * ln({_uniform(1)})) * cos(2 * pi() * {_uniform(2)}))) AS v
+  FROM (SELECT product, feature, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max FROM long GROUP BY ALL), range(1000) n(i))"""
+SQL["gaussian_synth_all"] = f"""WITH {TICKS}, {LONG}, {DRAWN} SELECT product, i * 100 AS timestamp,
+  round(max(v) FILTER (WHERE feature = 'price'), 6) + 0.0 AS price, round(max(v) FILTER (WHERE feature = 'size'), 6) + 0.0 AS size
+  FROM made GROUP BY product, i"""
+SQL["gaussian_synth"] = f"SELECT * FROM ({SQL['gaussian_synth_all']}) WHERE product = 'click'"
+SQL["synth_validate"] = f"""WITH {TICKS}, {LONG}, {DRAWN},
+la AS (SELECT product, feature, v FROM long), lb AS (SELECT product, feature, v FROM made), {KS},
+j AS (SELECT a.product, a.feature, avg(a.v) AS real_mean, stddev_pop(a.v) AS real_std, min(a.v) AS real_min, max(a.v) AS real_max FROM la a GROUP BY ALL),
+k AS (SELECT b.product, b.feature, avg(b.v) AS synth_mean, stddev_pop(b.v) AS synth_std, min(b.v) AS synth_min, max(b.v) AS synth_max FROM lb b GROUP BY ALL)
+SELECT product, feature, {r(5, *[f"{s}_{m}" for s in ("real", "synth") for m in ("mean", "std", "min", "max")])},
+  {r(5, "ks_statistic", "p_value")}, round(CAST(n_real AS DOUBLE), 5) AS n_real, round(CAST(n_synth AS DOUBLE), 5) AS n_synth
+FROM j JOIN k USING (product, feature) JOIN p USING (product, feature)"""
 _RANGES = "SELECT product, min(price) AS p0, max(price) AS p1, min(size) AS s0, max(size) AS s1 FROM ticks GROUP BY product"
 SQL["minmax_scale"] = f"""WITH {TICKS}, g AS ({_RANGES}), x AS (SELECT event_id,
   greatest(-1.0, least(1.0, 2 * (price - p0) / (p1 - p0 + 1e-8) - 1)) AS price,
@@ -382,11 +409,11 @@ FROM fair WHERE least(pl, target_size) > 0 AND trunc(bid_price_1) > acceptable_p
 # ---------------------------------------------------------------- positions
 
 
-def clamped(rows: str, delta: str, limit: int) -> str:
+def clamped(rows: str, delta: str, limit: int | str) -> str:
     """Fold the steps of each product in order and unfold the positions again."""
     return f"""folded AS (SELECT product, list(event_id ORDER BY {TICK_ORDER}) AS ids,
-  list_reduce(list_prepend([0::BIGINT], list([CAST({delta} AS BIGINT)] ORDER BY {TICK_ORDER})),
-    lambda acc, x: list_append(acc, greatest(-{limit}, least({limit}, acc[-1] + x[1])))) AS pos FROM {rows} GROUP BY product),
+  list_reduce(list_prepend([0::BIGINT], list([CAST({delta} AS BIGINT), CAST({limit} AS BIGINT)] ORDER BY {TICK_ORDER})),
+    lambda acc, x: list_append(acc, greatest(-x[2], least(x[2], acc[-1] + x[1])))) AS pos FROM {rows} GROUP BY product),
 opened AS (SELECT unnest(ids) AS event_id, unnest(pos[2:]) AS position, unnest(pos[:-2]) AS position_before FROM folded),
 held AS (SELECT s.*, position_before, position, position - position_before AS change FROM {rows} s JOIN opened USING (event_id))"""
 
@@ -394,6 +421,8 @@ held AS (SELECT s.*, position_before, position, position - position_before AS ch
 AGENT = f"{TICKS}, {clamped('ticks', LOTS, 50)}"
 SIDE = "CASE WHEN change > 0 THEN 'BUY' WHEN change < 0 THEN 'SELL' ELSE 'HOLD' END"
 SQL["clamped_position"] = f"WITH {AGENT} SELECT event_id, position_before, position, change FROM held"
+SQL["varying_limit_position"] = f"""WITH {TICKS}, {clamped('ticks', LOTS, '20 + 10 * ((event_id // 100) % 3)')}
+SELECT event_id, position_before, position, change FROM held"""
 SQL["action_side"] = f"WITH {AGENT} SELECT event_id, action, {SIDE} AS trade_side, abs(change) AS quantity FROM held"
 SQL["position_features"] = f"""WITH {AGENT} SELECT event_id, round(position / 50.0, 6) + 0.0 AS position_share,
   CAST(position > 0 AS DOUBLE) AS is_long, CAST(position < 0 AS DOUBLE) AS is_short FROM held"""
@@ -483,4 +512,4 @@ SQL["scan_quotes"] = SQL["split_raw"] = f"WITH {QUOTES} SELECT product, t, side,
 SQL["scan_features"] = f"WITH {TICKS} SELECT event_id, price, product FROM ticks"
 SQL["write_split"] = f"""WITH {PRICED}, {STAGE1} SELECT product AS base_product, round_timestamp, mid_price, bid_ask_spread,
   {r(6, "log_return")} FROM s4"""
-SQL["write_tables"] = SQL["l2_pivot"]
+SQL["write_tables"] = SQL["l2_top"]

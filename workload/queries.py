@@ -185,7 +185,12 @@ def name_columns(spark: SparkSession, folder: str) -> DataFrame:
 @query("cast_fill")
 def cast_fill(spark: SparkSession, folder: str) -> DataFrame:
     prices = V.prices17(spark, folder)
-    text = prices.select(*[F.col(c).cast("string").alias(c) for c in prices.columns])
+    # Missing numbers are written in several ways.
+    missing = F.when(F.col("day") % 3 == 0, "NaN").when(F.col("day") % 3 == 1, "")
+    text = prices.select(*[
+        (F.coalesce(F.col(c).cast("string"), missing) if c in PRICE_COLUMNS[3:] else F.col(c).cast("string")).alias(c)
+        for c in prices.columns
+    ])
     return book.cast_fill(text).select("product", F.col("day").cast("long").alias("day"),
                                        F.col("timestamp").cast("long").alias("timestamp"), *PRICE_COLUMNS[3:])
 
@@ -195,7 +200,7 @@ def to_numeric(spark: SparkSession, folder: str) -> DataFrame:
     """Text with bad numbers: those become NULL."""
     text = V.quotes_long(spark, folder).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t",
-        F.when(F.col("l_linenumber") == 1, "n/a").otherwise(F.col("price").cast("string")).alias("price"),
+        F.when(F.col("l_linenumber") == 1, "n/a").when(F.col("l_linenumber") == 2, "NaN").otherwise(F.col("price").cast("string")).alias("price"),
     )
     return book.to_numeric(text, ["price"])
 
@@ -269,8 +274,8 @@ def alias_symbol(spark: SparkSession, folder: str) -> DataFrame:
 def synthetic_time(spark: SparkSession, folder: str) -> DataFrame:
     real, made = V.real_ticks(spark, folder), V.synth_ticks(spark, folder).drop("time")
     numbered = row_index(made, Series.of("product", "event_id"), "n")
-    out = synth.synthetic_time(numbered, "n", real, "time")
-    after = synth.synthetic_time(numbered, "n", real, "time", after_last=True).select("event_id", F.col("time").alias("later"))
+    out = synth.synthetic_time(numbered, "n", real, "time", key=["product"])
+    after = synth.synthetic_time(numbered, "n", real, "time", after_last=True, key=["product"]).select("event_id", F.col("time").alias("later"))
     text = "yyyy-MM-dd HH:mm:ss"
     return out.join(after, "event_id").select(
         "event_id", "product", F.date_format("time", text).alias("time"), F.date_format("later", text).alias("later")
@@ -280,9 +285,9 @@ def synthetic_time(spark: SparkSession, folder: str) -> DataFrame:
 @query("carry_constants")
 def carry_constants(spark: SparkSession, folder: str) -> DataFrame:
     real = V.prices17(spark, folder)
-    made = V.orders_sim(spark, folder).select("o_orderkey", "price")
-    out = synth.carry_constants(made, real, ["product", "profit_and_loss"], ["day", "timestamp", "product"], day="day")
-    return out.select("o_orderkey", "price", "product", "profit_and_loss", "day")
+    made = V.orders_sim(spark, folder).select("o_orderkey", "price", "product")
+    out = synth.carry_constants(made, real, ["mid_price", "profit_and_loss"], ["day", "timestamp"], day="day", key=["product"])
+    return out.select("o_orderkey", "price", "product", "mid_price", "profit_and_loss", "day")
 
 
 @query("action_delta")
@@ -468,6 +473,21 @@ def real_vs_synth(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("l2_pivot")
 def l2_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole books, every quote of both sides, best first, as text."""
+    books = book.full_books(V.quotes_long(spark, folder), "t", V.QUOTE_TIES)
+
+    def listed(side: str, field: str):
+        return F.array_join(F.transform(side, lambda e: e[field].cast("long").cast("string")), ",")
+
+    return books.select(
+        "product", "t", F.size("bids").cast("long").alias("n_bids"), F.size("asks").cast("long").alias("n_asks"),
+        *[listed(s, f).alias(f"{s}_{f}") for s in ("bids", "asks") for f in ("price", "quantity")],
+    )
+
+
+@query("l2_top")
+def l2_top(spark: SparkSession, folder: str) -> DataFrame:
+    """The best three levels of each side as columns."""
     return V.book_wide(spark, folder)
 
 
@@ -743,6 +763,14 @@ def clamped_position(spark: SparkSession, folder: str) -> DataFrame:
     return agent_positions(spark, folder).rows().select("event_id", "position_before", "position", "change")
 
 
+@query("varying_limit_position")
+def varying_limit_position(spark: SparkSession, folder: str) -> DataFrame:
+    """Agent positions under a limit that changes over time."""
+    limit = F.lit(20) + 10 * (F.floor(F.col("event_id") / 100) % 3)
+    out = positions.clamped_position(V.ticks(spark, folder), V.TICK_SERIES, positions.action_lots(F.col("action")), limit)
+    return out.select("event_id", "position_before", "position", "change")
+
+
 @query("action_side")
 def action_side(spark: SparkSession, folder: str) -> DataFrame:
     out = agent_positions(spark, folder).rows().withColumn("trade_side", positions.trade_side(F.col("change")))
@@ -852,8 +880,8 @@ def sort_time(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sort_levels")
 def sort_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """The best three quotes a side, in level order."""
-    out = book.top_levels(V.quotes_long(spark, folder), 3, "t", V.QUOTE_TIES)
+    """All quotes of a side in level order."""
+    out = book.level_rank(V.quotes_long(spark, folder), "t", V.QUOTE_TIES)
     return out.orderBy("product", "t", "side", "level").select("product", "t", "side", F.col("level").cast("long").alias("level"), "price")
 
 
@@ -888,18 +916,23 @@ def minmax_inverse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("gaussian_synth")
 def gaussian_synth(spark: SparkSession, folder: str) -> DataFrame:
-    return synth.gaussian_synth(V.ticks(spark, folder).filter(F.col("product") == "click"), ["product"], V.FEATURES, 1000)
+    return synth.gaussian_synth(V.ticks(spark, folder).filter(F.col("product") == "click"), ["product"], V.FEATURES, 1000).select("product", "timestamp", *rounded(6, *V.FEATURES))
+
+
+def _synth_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return synth.gaussian_synth(V.ticks(spark, folder), ["product"], V.FEATURES, 1000)
 
 
 @query("gaussian_synth_all")
 def gaussian_synth_all(spark: SparkSession, folder: str) -> DataFrame:
-    return synth.gaussian_synth(V.ticks(spark, folder), ["product"], V.FEATURES, 1000)
+    return _synth_rows(spark, folder).select("product", "timestamp", *rounded(6, *V.FEATURES))
 
 
 @query("synth_validate")
 def synth_validate(spark: SparkSession, folder: str) -> DataFrame:
-    made = gaussian_synth_all(spark, folder)
-    return synth.synth_validate(V.ticks(spark, folder), made, ["product"], V.FEATURES)
+    made = _synth_rows(spark, folder)
+    out = synth.synth_validate(V.ticks(spark, folder), made, ["product"], V.FEATURES)
+    return out.select("product", "feature", *rounded(5, *[c for c in out.columns if c not in ("product", "feature")]))
 
 
 @query("running_totals")
