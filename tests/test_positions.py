@@ -125,3 +125,22 @@ def test_action_maps(spark):
         positions.action_lots(F.col("id")).alias("lots"), positions.action_limit_steps(F.col("id"), F.lit(15)).alias("steps")
     )
     assert [tuple(r) for r in df.collect()] == [(-10, -14), (-5, -7), (0, 0), (5, 7), (10, 14)]
+
+
+def test_limits_that_change_do_not_depend_on_blocks(spark, small_blocks):
+    steps = [(i * 7 % 11) - 5 for i in range(300)]
+    limits = [5 if i < 50 else 20 if i % 90 < 60 else 3 for i in range(300)]
+    at, want = 0, []
+    for step, limit in zip(steps, limits):
+        at = min(limit, max(-limit, at + step))
+        want.append(at)
+    df = spark.createDataFrame([("a", i, s, n) for i, (s, n) in enumerate(zip(steps, limits))], "product string, t long, step long, most long")
+    for rows in (7, 40, 10_000):
+        small_blocks(rowsPerBlock=rows)
+        out = positions.clamped_position(df, Series.of("product", "t"), F.col("step"), F.col("most"))
+        assert [r.position for r in out.orderBy("t").collect()] == want
+
+
+def test_limit_of_zero_has_no_share(spark):
+    shown = spark.range(1).select(*[c.alias(n) for n, c in positions.position_features(F.lit(0), F.lit(0)).items()])
+    assert shown.first().position_share is None

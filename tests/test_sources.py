@@ -106,3 +106,27 @@ def test_tables_and_state(spark, tmp_path):
 def test_names(spark):
     both = spark.createDataFrame([("p", "s"), (None, "s")], "product string, symbol string")
     assert [r["product"] for r in readers.alias_symbol(both).collect()] == ["p", "s"]
+
+
+def test_quote_headers_by_csv_rules(spark, tmp_path):
+    long = ",".join(f"extra{i}" + "x" * 300 for i in range(250))
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbf" + b"timestamp,symbol,side,price,quantity\n1,X,BID,10,2\n")
+    _write(tmp_path / "quoted.csv", '"side","product","timestamp","price","quantity","a, b"', 'ASK,"Y, Z",2,11,3,4')
+    _write(tmp_path / "long.csv", f"{long},product,side,price,quantity,timestamp", "," * 250 + "W,BID,12,NaN,3")
+    _write(tmp_path / "none.csv", "side,price", "BID,1")
+    (tmp_path / "empty.csv").write_text("")
+    rows = {(r.timestamp, r["product"], r.side, r.price, r.quantity) for r in readers.scan_quotes(spark, str(tmp_path)).collect()}
+    assert rows == {("1", "X", "BID", 10.0, 2.0), ("2", "Y, Z", "ASK", 11.0, 3.0), ("3", "W", "BID", 12.0, None)}
+    unused = {(os.path.basename(r.source_file), r.reason) for r in readers.unused_quote_files(spark, str(tmp_path)).collect()}
+    assert unused == {("none.csv", "no name column")}
+
+
+def test_feature_files_by_name(spark, tmp_path):
+    schema = T.StructType.fromDDL("timestamp bigint, rsi double, x double")
+    _write(tmp_path / "A_features.csv", "timestamp,rsi", "1,50.5")
+    _write(tmp_path / "B_features.csv", "x,rsi,timestamp", "0.5,60.5,2")
+    _write(tmp_path / "C_features.csv", "other", "1")
+    rows = {tuple(r) for r in readers.scan_features(spark, str(tmp_path), schema).filter("product <> 'C'").collect()}
+    assert rows == {(1, 50.5, None, "A"), (2, 60.5, 0.5, "B")}
+    unused = readers.unused_feature_files(spark, str(tmp_path), schema).collect()
+    assert [(os.path.basename(r.source_file), r.reason) for r in unused] == [("C_features.csv", "no known column")]

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.columns import number
+from tickloom.plans import attach
+from tickloom.plans.settings import settle
 from tickloom.schema import PRICE_NUMBERS, PRICE_TEXT, QUOTE_TEXT_FIELDS
 
 FEATURE_SUFFIX = "_features.csv"
@@ -60,72 +60,93 @@ def alias_symbol(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("symbol", "product") if "symbol" in df.columns else df
 
 
+def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """(source_file, names): the column names of each CSV file by its first line, quotes and byte order mark removed.
+
+    Spark's own reader finds the lines, of any length and on any file system; nothing is listed on the driver.
+    """
+    lines = spark.read.text(pattern).select(
+        "value",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    first = lines.filter("_start = 0").groupBy("source_file").agg(F.min_by("value", "_line").alias("header"))
+    header = F.regexp_replace(F.rtrim(F.col("header")), "^\uFEFF", "")
+    first = settle(first.select("source_file", header.alias("header")))
+    width = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    parsed = first.withColumn("_h", F.from_csv("header", fields))
+    names = F.transform(F.array(*[F.col("_h")[f"c{i}"] for i in range(width)]), F.trim)
+    return parsed.select("source_file", F.filter(names, lambda n: n.isNotNull()).alias("names"))
+
+
+def _by_name(spark: SparkSession, pattern: str, wanted: Sequence[str]) -> DataFrame:
+    """One scan of CSV files with different headers: the wanted columns as text by name (absent ones NULL), source_file, names."""
+    headers = settle(file_headers(spark, pattern))
+    width = headers.agg(F.max(F.size("names"))).first()[0] or 1
+    layout = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.schema(layout).option("header", True).option("ignoreCorruptFiles", True).csv(pattern)
+    cells = F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("_cells")
+    rows = raw.select(cells, F.col("_metadata.file_path").alias("source_file"))
+
+    def field(name: str) -> Column:
+        at = F.array_position("names", F.lit(name))
+        return F.when(at > 0, F.get("_cells", (at - 1).cast("int"))).alias(name)
+
+    return attach(rows, headers, ["source_file"], how="inner").select(*[field(c) for c in wanted], "source_file", "names")
+
+
 def scan_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Raw quote CSVs whose columns differ from file to file.
 
-    Lines are read as text and fields are found by each file's own header, so
-    files with ``symbol`` and with ``product`` mix. Files with neither give no rows.
+    Fields are found by each file's own header, so files with ``symbol`` and with ``product`` mix. Files with neither
+    give no rows; ``unused_quote_files`` lists them.
     """
     pattern = f"{folder}/*.csv"
-    names = T.StructType([T.StructField(c, T.StringType()) for c in QUOTE_TEXT_FIELDS])
+    names = [c for c in QUOTE_TEXT_FIELDS]
     if not _has_files(spark, pattern):
-        return spark.createDataFrame([], T.StructType([*names, T.StructField("source_file", T.StringType())]))
-    headers = _headers(spark, pattern)
-    frames = []
-    for header, files in sorted(headers.items()):
-        columns = header.split(",")
-        if "product" not in columns and "symbol" not in columns:
-            continue
-        layout = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        part = spark.read.schema(layout).option("header", True).csv(files)
-        part = part.withColumn("source_file", F.col("_metadata.file_path"))
-        frames.append(part.select(*[c for c in (*QUOTE_TEXT_FIELDS, "source_file") if c in part.columns]))
-    if not frames:
-        return spark.createDataFrame([], T.StructType([*names, T.StructField("source_file", T.StringType())]))
-    quotes = frames[0]
-    for part in frames[1:]:
-        quotes = quotes.unionByName(part, allowMissingColumns=True)
-    quotes = alias_symbol(quotes)
-    return quotes.withColumns({c: number(c) for c in ("price", "quantity")})
-
-
-def _headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
-    """Header line to the files that start with it.
-
-    Tasks read the first line of each file only; the driver gets one line per file.
-    """
-    paths = spark.read.format("binaryFile").load(pattern).select("path")
-    first = paths.mapInPandas(_first_lines(), "path string, header string")
-    headers: dict[str, list[str]] = {}
-    for row in first.toLocalIterator():
-        headers.setdefault(row.header, []).append(row.path)
-    return headers
-
+        text = T.StructType([T.StructField(c, T.StringType()) for c in (*names, "source_file")])
+        return spark.createDataFrame([], text)
+    quotes = _by_name(spark, pattern, names)
+    quotes = quotes.filter(F.array_contains("names", "product") | F.array_contains("names", "symbol")).drop("names")
+    return alias_symbol(quotes).withColumns({c: number(c) for c in ("price", "quantity")})
 
-def _first_lines():
-    """A task function that uses nothing of this package."""
 
-    def first_line(path: str) -> str:
-        if path.startswith("file:"):
-            files, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-        else:
-            files, inner = fs.FileSystem.from_uri(path)
-        with files.open_input_file(inner) as source:
-            text = source.read(64 * 1024).decode("utf-8", "replace")
-        return text.split("\n", 1)[0].strip()
+def unused_quote_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_file, reason) of the quote files that give no rows."""
+    headers = file_headers(spark, f"{folder}/*.csv")
+    neither = ~F.array_contains("names", "product") & ~F.array_contains("names", "symbol")
+    bad = headers.filter(neither).select("source_file", F.lit("no name column").alias("reason"))
+    return bad.unionByName(_without_rows(spark, f"{folder}/*.csv", headers))
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(header=[first_line(p) for p in batch["path"]])
 
-    return lines
+def _without_rows(spark: SparkSession, pattern: str, seen: DataFrame) -> DataFrame:
+    """Files of a pattern that are not among ``seen``: no reader finds a line in them (files of no bytes at all are not listed)."""
+    files = spark.read.format("binaryFile").load(pattern)
+    every = files.select(F.col("_metadata.file_path").alias("source_file"))
+    return every.join(seen, "source_file", "left_anti").select("source_file", F.lit("no lines").alias("reason"))
 
 
 def scan_features(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Feature files (or folders of part files) ``<product>_features.csv`` as one table with a product column."""
+    """Feature files (or folders of part files) ``<product>_features.csv`` as one table with a product column.
+
+    Columns are found by name in each file, so their order may differ; those a file lacks are NULL, and so is what cannot
+    be read as the column's type. ``unused_feature_files`` lists files that give no rows.
+    """
     pattern = f"{folder}/*{FEATURE_SUFFIX}"
-    reader = spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True)
     if not _has_files(spark, pattern):
         return spark.createDataFrame([], T.StructType([*schema, T.StructField("product", T.StringType())]))
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_features\.csv", 1)
-    return reader.csv(pattern).withColumn("product", F.url_decode(name))
+    name = F.regexp_extract("source_file", r"([^/=]+)_features\.csv", 1)
+    rows = _by_name(spark, pattern, schema.names)
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    return rows.select(*typed, F.url_decode(name).alias("product"))
+
+
+def unused_feature_files(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """(source_file, reason) of the feature files that give no rows or none of the columns."""
+    pattern = f"{folder}/*{FEATURE_SUFFIX}"
+    headers = file_headers(spark, pattern)
+    known = F.array(*[F.lit(c) for c in schema.names])
+    none = headers.filter(~F.arrays_overlap("names", known)).select("source_file", F.lit("no known column").alias("reason"))
+    return none.unionByName(_without_rows(spark, pattern, headers))
