@@ -35,3 +35,15 @@ def test_null_keys_match_when_asked(spark):
     side = spark.createDataFrame([(None, 10), ("a", 20)], "k string, v int")
     assert {(r.id, r.v) for r in attach(rows, side, ["k"], null_safe=True).collect()} == {(1, 10), (2, 20)}
     assert {(r.id, r.v) for r in attach(rows, side, ["k"]).collect()} == {(1, None), (2, 20)}
+
+
+def test_wide_sides_and_map_columns(spark, small_blocks):
+    rows, side = _tables(spark)
+    rows = rows.withColumn("m", F.create_map(F.lit("x"), F.col("id")))
+    side = side.withColumn("long", F.repeat(F.lit("y"), 1000))
+    want = sorted((r.id, r.v) for r in rows.join(side, "k").collect())
+    for most in (100, 64_000_000):
+        spark.conf.set("spark.tickloom.broadcastBytes", most)
+        out = attach(rows, side, ["k"], how="inner")
+        assert sorted((r.id, r.v) for r in out.collect()) == want
+    spark.conf.unset("spark.tickloom.broadcastBytes")

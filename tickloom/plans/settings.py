@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_BLOCK = ("spark.tickloom.rowsPerBlock", 2_000_000)
 # Most rows of a side table that may be broadcast.
 BROADCAST_ROWS = ("spark.tickloom.broadcastRows", 100_000)
+# Most bytes of a side table, as JSON text, that may be broadcast.
+BROADCAST_BYTES = ("spark.tickloom.broadcastBytes", 64_000_000)
 # Most rows of a narrow block or slice table that may be broadcast (some 150 bytes each).
 BROADCAST_SLICES = ("spark.tickloom.broadcastSlices", 1_000_000)
 # Most rows of one join key that a single join task should hold.

@@ -406,6 +406,14 @@ UNION ALL
 SELECT product, t, 'SELL', bid_price_1, CAST(-least(bid_volume_1, least(pl, target_size)) AS BIGINT)
 FROM fair WHERE least(pl, target_size) > 0 AND trunc(bid_price_1) > acceptable_price"""
 
+_HELD = "(((t % 7) + 7) % 7 * 10 - 30)"
+SQL["quote_orders_held"] = f"""WITH {BOOKS}, {FAIR}, room AS (SELECT *, least(pl - {_HELD}, target_size) AS to_buy, least(pl + {_HELD}, target_size) AS to_sell FROM fair)
+SELECT product, t, 'BUY' AS order_side, ask_price_1 AS order_price, CAST(least(ask_volume_1, to_buy) AS BIGINT) AS quantity
+FROM room WHERE to_buy > 0 AND trunc(ask_price_1) < acceptable_price
+UNION ALL
+SELECT product, t, 'SELL', bid_price_1, CAST(-least(bid_volume_1, to_sell) AS BIGINT)
+FROM room WHERE to_sell > 0 AND trunc(bid_price_1) > acceptable_price"""
+
 # ---------------------------------------------------------------- positions
 
 

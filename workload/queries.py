@@ -731,6 +731,13 @@ def quote_orders(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("product", "t", "order_side", "order_price", "quantity")
 
 
+@query("quote_orders_held")
+def quote_orders_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders that know the position held: it narrows the room on its side."""
+    held = F.pmod(F.col("t"), F.lit(7)) * 10 - 30
+    return signals.quote_orders(_fair(spark, folder), held).select("product", "t", "order_side", "order_price", "quantity")
+
+
 @query("train_test_split")
 def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.split_rows(V.ticks(spark, folder), V.TICK_SERIES).select("event_id", "row_index", "is_train")
