@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries run inside go when each query has ended."""
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
@@ -41,7 +41,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

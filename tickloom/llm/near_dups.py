@@ -289,8 +289,8 @@ def _compare(exact: bool) -> Callable:
 def _between(bands: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different components that share a bucket."""
     rows = stage_table(_label(bands.select("bucket", "band", "node"), labels), "labelled")
-    mixed_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    members = stage_table(rows.join(mixed_, "bucket"), "members")
+    crowded = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    members = stage_table(rows.join(crowded, "bucket"), "members")
     counts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     # The largest component of a bucket is only ever compared with the other members.
     sizes = stage_table(

@@ -236,9 +236,10 @@ def _starts(vectors: DataFrame) -> DataFrame:
 
     own = quartiles(counts, GROUP).withColumn("start", F.lit(0))
     pooled = counts.groupBy("dim", "bin").agg(F.sum("n").alias("n"))
-    whole = quartiles(pooled.withColumn("_all", F.lit(1)), ["_all"]).drop("_all", "n")
+    whole = quartiles(pooled.withColumn("_all", F.lit(1)), ["_all"]).drop("n")
     groups = counts.filter("dim = 0").groupBy(*GROUP).agg(F.sum("n").alias("n"))
-    shared = groups.join(F.broadcast(whole))  # one row beside each group
+    # One row for all groups, joined by a constant.
+    shared = groups.withColumn("_all", F.lit(1)).join(F.broadcast(whole), "_all")
     return own.unionByName(shared.withColumn("start", F.lit(1)).select(own.columns))
 
 

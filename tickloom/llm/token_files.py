@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import _shuffles_removed, as_text, batches_of, shuffle_width, texts_of
+from tickloom.llm.common import shuffles_removed, as_text, batches_of, shuffle_width, texts_of
 from tickloom.llm.encode import encode_texts
 
 STRIPE_BYTES = 64 << 20
@@ -62,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
         .repartitionByRange(parts, "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         (
             ordered.mapInArrow(encode, FILE_COLUMNS)
             .write.option("orc.stripe.size", STRIPE_BYTES)
