@@ -1,11 +1,14 @@
 import math
+import os
 import random
 import statistics as st
 
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import plus_minutes
 from tickloom.operators import stats, synth
+from tickloom.plans import settings
 
 KEY, FEATURES = ["product"], ["x", "y"]
 
@@ -111,3 +114,26 @@ def test_large_synthetic_sets_are_made_in_chunks(spark):
     out = synth.gaussian_synth(df, KEY, ["x"], synth.ROWS_PER_CHUNK + 5)
     row = out.agg(F.count("x").alias("n"), F.max("timestamp").alias("last"), F.countDistinct("timestamp").alias("d")).first()
     assert (row.n, row.d, row.last) == (synth.ROWS_PER_CHUNK + 5, synth.ROWS_PER_CHUNK + 5, 100 * (synth.ROWS_PER_CHUNK + 4))
+
+
+def test_no_synthetic_rows_and_times_per_product(spark):
+    real = spark.createDataFrame([("a", 1.0, 10), ("a", 3.0, 30), ("b", 5.0, 7)], "product string, price double, day int")
+    assert synth.gaussian_synth(real, ["product"], ["price"], 0).count() == 0
+    assert synth.gaussian_synth(real, ["product"], ["price"], 1).count() == 2
+    made = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "product string, n int")
+    out = synth.carry_constants(made, real, ["price"], ["day"], day="day", key=["product"])
+    assert {(r["product"], r.price, r.day) for r in out.collect()} == {("a", 1.0, 31), ("b", 5.0, 8), ("c", None, None)}
+    whole = synth.carry_constants(made, real, ["price"], ["day"], day="day")
+    assert {(r.price, r.day) for r in whole.collect()} == {(5.0, 31)}
+    times = real.selectExpr("product", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, day) AS time")
+    later = synth.synthetic_time(made, "n", times, "time", key=["product"])
+    assert {(r["product"], str(r.time)) for r in later.collect()} == {("a", "2024-01-31 00:00:00"), ("b", "2024-01-08 00:01:00"), ("c", "None")}
+    far = spark.range(1).select(plus_minutes(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(3_000_000_000)).alias("t")).first().t
+    assert far.year == 7727
+
+
+def test_remove_scratch(spark, tmp_path):
+    path = settings.scratch_path(spark, "x")
+    spark.range(1).write.parquet(path)
+    settings.remove_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file:"))

@@ -87,7 +87,7 @@ def synthetic_time(
     if key:
         out = attach(synth, real.groupBy(*key).agg(last), key)
     else:
-        out = synth.join(F.broadcast(real.agg(last)))  # one row beside all
+        out = synth.withColumn("_last", real.agg(last).scalar())
     return out.withColumn(time, plus_minutes(F.col("_last"), minutes)).drop("_last")
 
 
@@ -108,7 +108,11 @@ def carry_constants(
         picks.append((F.max(day) + 1).alias("_day"))
     if not picks:
         return synth
-    out = attach(synth, real.groupBy(*key).agg(*picks), key) if key else synth.join(F.broadcast(real.agg(*picks)))
+    if key:
+        out = attach(synth, real.groupBy(*key).agg(*picks), key)
+    else:
+        # One scalar of one struct, so one scan.
+        out = synth.withColumn("_real", real.agg(*picks).select(F.struct("*")).scalar()).select("*", "_real.*").drop("_real")
     out = out.withColumns({c: F.col("_first")[c] for c in columns}) if columns else out
     out = out.withColumn(day, F.col("_day")) if day is not None else out
     return out.drop("_first", "_day")

@@ -64,3 +64,9 @@ def settle_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written for its own use; call it when no result is read any more."""
+    app = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tickloom/{spark.sparkContext.applicationId}")
+    app.getFileSystem(spark._jsc.hadoopConfiguration()).delete(app, True)
