@@ -17,7 +17,7 @@ from itertools import chain
 from tickloom.llm.common import worker_store
 
 # Most pieces that a worker remembers (some 200 bytes each); the cache starts anew beyond it.
-CACHED_PIECES = 600_000
+CACHED_PIECES = 800_000
 SPACE_BEFORE_SPACE = re.compile(r" (?=\s|\Z)")
 PIECE_START = re.compile(r"(?= \S)")
 FINER = re.compile(r"(?<=[A-Za-z])(?=[^A-Za-z'\x80-\U0010ffff])")
@@ -47,7 +47,8 @@ def _pieces(text: str) -> list[str]:
 
 def _learn(tokenizer, known: dict[str, bytes], new: list[str]) -> None:
     """Add pieces to the cache, made of finer ones where the text may be cut."""
-    parts = [FINER.split(p) for p in new]
+    # Letters alone have no place to cut.
+    parts = [(p,) if p[1:].isalpha() else FINER.split(p) for p in new]
     unseen = list({q for p in parts for q in p if q not in known})
     known.update(zip(unseen, _ids(tokenizer, unseen)))
     known.update((p, b"".join([known[q] for q in part])) for p, part in zip(new, parts) if len(part) > 1)
