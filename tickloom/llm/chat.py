@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import batches_of, lists_of_ints, shuffle_width, stage_table, worker_store
 from tickloom.llm.encode import encode_texts
+from tickloom.plans import attach
 
 # Fixed values of the template.
 ASSISTANT = "assistant"
@@ -142,11 +143,12 @@ def write_trees(conversations: DataFrame, path: str, tokenizer: str) -> None:
     placed = stage_table(
         turns.mapInArrow(_chain, "conv_id long, at int, before binary, key binary, role string, text string, last boolean"), "turns"
     )
-    children = placed.select("before", "key").distinct().groupBy("before").agg(F.count(F.lit(1)).alias("n"))
+    children = placed.filter("at > 0").select("before", "key").distinct().groupBy("before").agg(F.count(F.lit(1)).alias("n"))
     forks = children.filter("n > 1").select("before", F.lit(True).alias("fork"))
     opens = (F.col("at") == 0) | F.coalesce("fork", F.lit(False))
     node = F.struct("at", "key", opens.alias("opens"))
-    gathered = placed.select("conv_id", "at", "before", "key").join(forks, "before", "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    # Many conversations may share a fork: its one row goes to all of them, or to salted parts of them.
+    gathered = attach(placed.select("conv_id", "at", "before", "key"), forks, ["before"]).groupBy("conv_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
     runs = gathered.mapInArrow(_runs, "key binary, path binary, place int").groupBy("key").agg(F.first("path").alias("path"), F.first("place").alias("place"))
     texts = placed.groupBy("key").agg(F.first("role").alias("role"), F.first("text").alias("text"))
     different = stage_table(texts.join(runs, "key"), "different")
