@@ -95,6 +95,7 @@ def orders_sim(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The parameters of three products; others take the defaults.
 def params(spark: SparkSession) -> DataFrame:
     return spark.sql(
         """
