@@ -78,3 +78,24 @@ def test_odd_rows_and_empty_table(documents, odd_documents):
     assert {(r.doc_id, r.kept) for r in got} == {(1, True), (2, False), (3, False), (4, got[[g.doc_id for g in got].index(4)].kept), (5, True), (None, True), (7, False), (8, False)}
     assert quality.judge(odd_documents, odd_documents.columns, only_kept=True).columns == odd_documents.columns
     assert quality.judge(documents([]), ["doc_id"]).count() == 0
+
+
+def test_each_statistic_rejects_alone(corpus, documents):
+    """Ordinary in all but one statistic; short clean texts with a repeated line or passage stay."""
+    rng = np.random.default_rng(2)
+    small = prose(900, 30).split()
+    passage = prose(901, 40)
+    short = prose(902, 60).split()
+    lines = [" ".join(short[k : k + 12]) for k in range(0, 60, 12)]
+    rows = [
+        (900, " ".join(w * 3 for w in prose(903, 120).split()), "en", "s0"),
+        (901, prose(904, 120).replace(" ", " # "), "en", "s0"),
+        (902, "\n".join(small[i] for i in rng.integers(0, 30, 150)), "en", "s0"),
+        (903, " ".join([prose(905, 60), passage, prose(906, 40), passage]), "en", "s0"),
+        (910, "\n".join([*lines, lines[0]]), "en", "s0"),
+        (911, " ".join([*short, *short[:6]]), "en", "s0"),
+    ]
+    got = {r.doc_id: r for r in quality.judge(corpus.filter("doc_id < 240").unionByName(documents(rows)), ["doc_id"]).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert got[902].n_dup_lines > 100 and got[902].n_repeat_words < 40 and got[903].n_dup_lines == 0
+    assert {i for i, r in got.items() if not r.kept} == {900, 901, 902, 903}

@@ -36,8 +36,12 @@ STEPS = 4
 BEYOND_CUT = 1e-6
 # A group's estimate counts its parent's (language, then all) as so many documents, at any size.
 PARENT_DOCUMENTS = 50.0
-# Least spread of each statistic: many documents have none of it at all, and no scatter to invert.
-LEAST_SPREAD = (0.1, 0.25, 0.5, 0.5)
+# Least spread of each statistic, in place of a smaller one only: many documents have none of it at all, and no scatter
+# to invert. All are below 1/5.8 of what the statistic can reach, so each can pass the cut alone.
+LEAST_SPREAD = (0.05, 0.25, 0.25, 0.2)
+# Shares of repeated lines and words count so many clean ones more, so a few repeats in a short text say little.
+CLEAN_LINES = 10
+CLEAN_WORDS = 60
 STATISTICS = ("q_length", "q_symbols", "q_lines", "q_repeats")
 P = len(STATISTICS)
 UNIT = 1024
@@ -99,8 +103,8 @@ def _statistics() -> list[Column]:
     return [
         _quantised(F.log((F.col("word_chars") + 1) / n)).alias("q_length"),
         _quantised(F.log1p(100 * F.col("n_symbols") / n)).alias("q_symbols"),
-        _quantised(F.log1p(10 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))).alias("q_lines"),
-        _quantised(F.log1p(10 * F.col("n_repeat_words") / n)).alias("q_repeats"),
+        _quantised(F.log1p(10 * F.col("n_dup_lines") / (F.col("n_lines") + CLEAN_LINES))).alias("q_lines"),
+        _quantised(F.log1p(10 * F.col("n_repeat_words") / (F.col("n_words") + CLEAN_WORDS))).alias("q_repeats"),
     ]
 
 
@@ -142,7 +146,7 @@ def _sums() -> list[Column]:
 
 def _solve(rows: DataFrame, factor: float) -> DataFrame:
     """From sums of a group, its language and all to centre, inverse scatter and log determinant."""
-    least = np.diag(np.square(LEAST_SPREAD))
+    least = np.array(LEAST_SPREAD)
     upper = [(i, j) for i in range(P) for j in range(i, P)]
 
     def moments(n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +173,12 @@ def _solve(rows: DataFrame, factor: float) -> DataFrame:
                 scatter = w[..., None] * spread + (1 - w)[..., None] * scatter
                 scatter += (w * (1 - w))[..., None] * gap[:, :, None] * gap[:, None, :]
                 mean = mean + w * gap
-            scatter = factor * scatter + least
-            inverse = np.linalg.inv(scatter).reshape(len(mean), P * P)
-            _, logdet = np.linalg.slogdet(scatter)
+            # In units of the least spreads no direction has less than one; directions with more stay as they are.
+            values, axes = np.linalg.eigh(factor * scatter / np.outer(least, least))
+            values = np.maximum(values, 1.0)
+            inverse = (axes / values[:, None, :]) @ axes.transpose(0, 2, 1) / np.outer(least, least)
+            inverse = inverse.reshape(len(mean), P * P)
+            logdet = np.log(values).sum(axis=1) + 2 * np.log(least).sum()
             names = ["g_lang", "g_source", "start"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(list(mean), pa.list_(pa.float64())), pa.array(list(inverse), pa.list_(pa.float64())), pa.array(logdet)],
