@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+from html.entities import html5
 
 import pytest
 
@@ -72,3 +73,22 @@ def test_files_parse_as_warc(spark, tmp_path):
             found.append((fields["WARC-Record-ID"], rest[:n].decode()))
             data = rest[n + 4 :]
     assert sorted(found) == sorted((r.record_id, r.block) for r in records.collect())
+
+
+NAMES = sorted(n for n in html5 if n.endswith(";") and html5[n].isprintable() and not html5[n].isspace())
+
+
+def test_all_references_are_decoded_once_in_text_and_title(spark):
+    """The decoder here is the table of names and what is written out below."""
+    odd = "&#169; &#xA9; &#XA9; &copy &#39; &#8364; &#128; &amp;copy; &amp;#169; &amp;amp; &noname; & &; AT&T R&amp;D"
+    plain = "© © © © ' € € &copy; &#169; &amp; &noname; & &; AT&T R&D"
+    bodies = [(" ".join(f"x&{n}y" for n in NAMES), " ".join(f"x{html5[n]}y" for n in NAMES)), (odd, plain)]
+    assert len(NAMES) > 2000
+    rows = [(i, "u", f"<title>{b}</title><p>{b}</p>") for i, (b, _) in enumerate(bodies)]
+    got = {(r.page_id, r.record_type): r.block for r in warc.derive(warc.responses(pages(spark, rows), "d"), ["page_id"]).collect()}
+    for i, (_, want) in enumerate(bodies):
+        assert got[i, "conversion"] == f"{want}\n{want}"
+        assert f"\r\ntitle: {want}\r\n" in got[i, "metadata"]
+    spaced = [(9, "u", "<title>a&#13;&#10;links: 7&nbsp;b</title>c&#160;d&nbsp;e")]
+    got = {r.record_type: r.block for r in warc.derive(warc.responses(pages(spark, spaced), "d"), ["page_id"]).collect()}
+    assert "\r\ntitle: a links: 7 b\r\n" in got["metadata"] and got["conversion"].endswith("c d e")

@@ -1,21 +1,27 @@
 """WARC derivatives: from each response a metadata and a plain-text conversion record that refer to it.
 
-All in DataFrame expressions and without a shuffle, so pages of one host or of any size spread as the input does.
+All in DataFrame expressions and one Arrow function that decodes character references, and without a shuffle, so pages of one host or of any size spread as the input does.
 Ids are made from the source's id, so a rerun gives the same records.
 """
 
 from __future__ import annotations
 
+import html as html_
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What ends a line of text, what is no text, and the characters that stand behind names.
+# What ends a line of text, what is no text, and what may be a character reference.
 HIDDEN = r"(?is)<!--.*?-->|<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*>"
 BREAKING = (
     r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|"
     r"pre|section|table|title|tr|ul)\b[^>]*>"
 )
 TAG = r"<[^>]*>"
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+# Read by the SQL of the query only, which decodes no other names.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 SPACES = r"[\x09\x0B\x0C\x0D\x20]+"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
@@ -24,13 +30,28 @@ LINK = r"(?i)<a\b[^>]*\bhref="
 CRLF = "\r\n"
 
 
+def decode_references(text: str) -> str:
+    """All named and numeric references of HTML, in one pass; references to a no-break space give a space."""
+    if "&" not in text:
+        return text
+    return REFERENCE.sub(lambda m: html_.unescape(m.group()).replace("\xa0", " "), text)
+
+
+def decoded(text: Column) -> Column:
+    """The text without character references; null stays null."""
+
+    def decode(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else decode_references(t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(decode, "string")(text)
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: a line for each block, without comments, scripts, styles and tags; runs of space as one."""
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, BREAKING, "\n")
     text = F.regexp_replace(text, TAG, "")
-    for name, character in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(character))
+    text = decoded(text)
     text = F.regexp_replace(text, SPACES, " ")
     text = F.regexp_replace(text, " ?\n[ \n]*", "\n")
     return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
@@ -88,7 +109,7 @@ def derive(sources: DataFrame, keys: list[str]) -> DataFrame:
         "date",
         http_header(F.col("http_headers"), "content-type").alias("source_content_type"),
         F.coalesce("payload_digest", digest(payload)).alias("source_digest"),
-        F.regexp_replace(F.regexp_extract(payload, TITLE, 1), r"\s+", " ").alias("title"),
+        F.regexp_replace(decoded(F.regexp_extract(payload, TITLE, 1)), r"\s+", " ").alias("title"),
         F.regexp_extract(payload, LANGUAGE, 1).alias("language"),
         F.regexp_count(payload, F.lit(LINK)).alias("links"),
         plain_text(payload).alias("text"),
