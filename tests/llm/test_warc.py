@@ -92,3 +92,26 @@ def test_all_references_are_decoded_once_in_text_and_title(spark):
     spaced = [(9, "u", "<title>a&#13;&#10;links: 7&nbsp;b</title>c&#160;d&nbsp;e")]
     got = {r.record_type: r.block for r in warc.derive(warc.responses(pages(spark, spaced), "d"), ["page_id"]).collect()}
     assert "\r\ntitle: a links: 7 b\r\n" in got["metadata"] and got["conversion"].endswith("c d e")
+
+
+def fields_of(block, name):
+    assert block.endswith("\r\n")
+    return [v for n, _, v in (x.partition(": ") for x in block.split("\r\n")[:-1]) if n == name]
+
+
+def test_all_headers_and_links_are_read_back(spark):
+    given = ["HTTP/1.1 203 Other", "Content-Type: text/html", "Content-Length: 9", "Last-Modified: Mon", "X: y", "X: z:  a ", " folded", "Empty:"]
+    html = (
+        '<a href="/a?b=1&amp;c=2&copy=3&copy;">1</a><A class=x HREF=\'d e\' data-href="no">2</A><a\nhref = f>3</a><link href="no"><a name="no">'
+        '<a data-href="no" href="">4</a><a href="g&#13;&#10;links: 9\n h">5</a><a href=/a>6</a>'
+    )
+    rows = [(1, "\r\n".join(given) + "\r\n\r\n", html), (2, None, None), (3, "HTTP/1.0 200\nA: b\n", "<p>")]
+    full = [(f"<urn:{k}>", "u", "d", h, p, None, k) for k, h, p in rows]
+    schema = "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string, k long"
+    out = warc.derive(spark.createDataFrame(full, schema), ["k"]).collect()
+    got = {r.k: r.block for r in out if r.record_type == "metadata"}
+    assert fields_of(got[1], "source-http-line") == given
+    links = ["/a?b=1&c=2&copy=3\u00a9", "d e", "f", "", "glinks: 9 h", "/a"]
+    assert fields_of(got[1], "outlink") == links and fields_of(got[1], "links") == [str(len(links))]
+    assert fields_of(got[2], "source-http-line") == fields_of(got[2], "outlink") == [] and fields_of(got[2], "links") == ["0"]
+    assert fields_of(got[3], "source-http-line") == ["HTTP/1.0 200", "A: b"] and fields_of(got[3], "outlink") == []

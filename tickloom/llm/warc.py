@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html as html_
 import re
+from collections.abc import Callable
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,11 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 SPACES = r"[\x09\x0B\x0C\x0D\x20]+"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = r"(?i)<html[^>]*\blang=[\"']?([A-Za-z0-9-]+)"
+# Read by the SQL of the query only, which counts links.
 LINK = r"(?i)<a\b[^>]*\bhref="
+TARGET = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*)"
+# Stands between links while they are decoded; no reference gives it.
+BETWEEN = "\x01"
 CRLF = "\r\n"
 
 
@@ -37,11 +43,26 @@ def decode_references(text: str) -> str:
     return REFERENCE.sub(lambda m: html_.unescape(m.group()).replace("\xa0", " "), text)
 
 
-def decoded(text: Column) -> Column:
+def decode_attribute(value: str) -> str:
+    """As in text, but a name without ``;`` before ``=``, a letter or a digit is none (``?a=1&copy=2``)."""
+
+    def one(m: re.Match) -> str:
+        whole = m.group()
+        name = whole[1:]
+        if name[0] != "#" and name not in html5:
+            n = next((n for n in range(len(name) - 1, 1, -1) if name[:n] in html5), 0)
+            if n and re.match("[=A-Za-z0-9]", name[n:]):
+                return whole
+        return html_.unescape(whole)
+
+    return REFERENCE.sub(one, value) if "&" in value else value
+
+
+def decoded(text: Column, one: Callable[[str], str] = decode_references) -> Column:
     """The text without character references; null stays null."""
 
     def decode(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else decode_references(t) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(decode, "string")(text)
 
@@ -92,10 +113,28 @@ def http_header(headers: Column, name: str) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+def outgoing_links(html: Column) -> Column:
+    """The targets of a page's anchors in their order, decoded; control characters are left out as browsers do."""
+    raw = F.regexp_extract_all(html, F.lit(TARGET), 1)
+    bare = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, r"[\x00-\x1F]", ""), r"^([\"'])(.*)\1$", "$2"))
+    joined = decoded(F.concat_ws(BETWEEN, bare), decode_attribute)
+    clean = F.transform(F.split(joined, BETWEEN), lambda x: F.trim(F.regexp_replace(x, r"[\x00-\x1F]", "")))
+    return F.when(F.size(raw) > 0, clean).otherwise(F.array().cast("array<string>"))
+
+
+def header_lines(headers: Column) -> Column:
+    """All lines of a response's header as they are, the status line too, without the empty line that ends it."""
+    lines = F.split(F.coalesce(headers.cast("string"), F.lit("")), r"\r\n|\r|\n")
+    return F.filter(lines, lambda x: x != "")
+
+
 def derive(sources: DataFrame, keys: list[str]) -> DataFrame:
     """Two records for each response: ``keys``, record_type, record_id, refers_to, target_uri, date, content_type,
     source_content_type, source_digest, block, block_digest, content_length and headers (the WARC header text).
 
+    The metadata block has all lines of the source's HTTP header, each as a field source-http-line, and all outgoing
+    links, each as a field outlink, in their order; links is their count.
+
     ``sources`` has record_id, target_uri, date, http_headers, payload and payload_digest. A missing id or digest is made
     from the record, other missing values leave their header out; a null payload is an empty text. Equal rows give equal records; other
     columns are not read. An empty table gives an empty table.
@@ -111,18 +150,22 @@ def derive(sources: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce("payload_digest", digest(payload)).alias("source_digest"),
         F.regexp_replace(decoded(F.regexp_extract(payload, TITLE, 1)), r"\s+", " ").alias("title"),
         F.regexp_extract(payload, LANGUAGE, 1).alias("language"),
-        F.regexp_count(payload, F.lit(LINK)).alias("links"),
+        outgoing_links(payload).alias("outlinks"),
+        header_lines(F.col("http_headers")).alias("lines"),
         plain_text(payload).alias("text"),
     )
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))
+    each = lambda name, values: F.array_join(F.transform(values, lambda x: line(name, x)), "")
     fields = F.concat_ws(
         "",
         line("source-content-type", F.col("source_content_type")),
         line("source-payload-digest", F.col("source_digest")),
         line("title", F.nullif(F.trim("title"), F.lit(""))),
         line("language", F.nullif("language", F.lit(""))),
-        line("links", F.col("links")),
+        line("links", F.size("outlinks")),
         line("text-digest", digest(F.col("text"))),
+        each("source-http-line", F.col("lines")),
+        each("outlink", F.col("outlinks")),
     )
     made = lambda kind, content, block: F.struct(
         F.lit(kind).alias("record_type"), record_id(F.lit(kind), F.col("source")).alias("record_id"), F.lit(content).alias("content_type"), block.alias("block")
