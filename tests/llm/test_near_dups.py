@@ -1,3 +1,7 @@
+import math
+
+import numpy as np
+
 from tests.llm.conftest import prose
 from tickloom.llm import near_dups
 from tickloom.llm.common import stage_table
@@ -85,3 +89,19 @@ def test_odd_rows_and_empty_table(documents, odd_documents):
     ]
     assert near_dups.drop_near_duplicates(odd_documents).columns == odd_documents.columns
     assert near_dups.mark_near_duplicates(documents([])).count() == 0
+
+
+def test_a_band_takes_its_values_from_different_permutations():
+    n = 2 * near_dups.PERMUTATIONS
+    plain = np.zeros((n + 1, n), np.uint64)
+    plain[np.arange(n), np.arange(n)] = 1
+    keys = near_dups.band_keys(plain)
+    for band in range(near_dups.BANDS):
+        columns = np.flatnonzero(keys[:n, band] != keys[n, band])
+        assert len(set((columns % near_dups.PERMUTATIONS).tolist())) == len(columns) == near_dups.ROWS
+
+
+def test_looking_at_signatures_first_loses_less_than_the_bands():
+    n, s = 2 * near_dups.PERMUTATIONS, near_dups.LEAST_PERCENT / 100
+    lost = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(n + 1) if k / n < near_dups.LEAST_SHARE)
+    assert lost < (1 - s**near_dups.ROWS) ** near_dups.BANDS
