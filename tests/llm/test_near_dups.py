@@ -105,3 +105,13 @@ def test_looking_at_signatures_first_loses_less_than_the_bands():
     n, s = 2 * near_dups.PERMUTATIONS, near_dups.LEAST_PERCENT / 100
     lost = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(n + 1) if k / n < near_dups.LEAST_SHARE)
     assert lost < (1 - s**near_dups.ROWS) ** near_dups.BANDS
+
+
+def test_one_row_of_each_group_stays(documents):
+    """Repeated rows of the smallest id and copies without ids are one group; texts without words are in none."""
+    a, b, c = prose(1, 100), prose(2, 100), prose(3, 100)
+    rows = [(1, a), (1, a), (1, changed(a, 5, 1)), (9, a), (None, b), (None, b), (None, changed(b, 6, 1)), (None, c), (3, ""), (3, ""), (None, None)]
+    left = [(r.doc_id, (r.text or "")[-20:]) for r in near_dups.drop_near_duplicates(documents(rows).repartition(3)).collect()]
+    assert sorted(d for d, t in left if d is not None) == [1, 3, 3]
+    assert sorted(t == c[-20:] for d, t in left if d is None and t) == [False, True]
+    assert sum(d is None and not t for d, t in left) == 1

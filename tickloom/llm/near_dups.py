@@ -320,11 +320,11 @@ def _between(bands: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (from ``located``): ``__file``, ``__row``, n_shingles, component_id and kept.
+    """Per row of ``docs`` (from ``located``): ``__file``, ``__row``, n_shingles, component_id, kept and label.
 
     A document without words has no shingles and links with nothing. Rows with equal sets are one node, whatever
     their ids. The component of a row is the smallest document id it reaches; a null id is none, so a
-    component of null ids has a null id, and its rows are kept.
+    component of null ids has a null id, and its rows are kept. ``label`` tells components apart; it is null without words.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__file", "__row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketches = stage_table(rows.mapInArrow(_sketch, f"doc_id long, __file long, __row long, {SKETCH}"), "sketches")
@@ -346,11 +346,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     labels = components(first.unionByName(stage_table(more, "more")))
     owned = _label(nodes.select("node", "least_id"), labels)
     least = stage_table(owned.groupBy("label").agg(F.min("least_id").alias("component_id")), "components")
-    owner = stage_table(owned.select("node", "label").join(least, "label").select("node", "component_id"), "owners")
+    owner = stage_table(owned.select("node", "label").join(least, "label").select("node", "label", "component_id"), "owners")
     found = sketches.select("doc_id", "__file", "__row", "n_shingles", "node").join(owner, "node", "left")
     component: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
-        "doc_id", "__file", "__row", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+        "doc_id", "__file", "__row", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "label"
     )
 
 
@@ -362,11 +362,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mark_near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    return link_documents(located(docs)).drop("__file", "__row")
+    return link_documents(located(docs)).drop("__file", "__row", "label")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` without the near-duplicates of a smaller document."""
+    """The rows and columns of ``docs``, one row of each group of near-duplicates: one with the smallest id.
+
+    Of rows that repeat that id, or if all ids of a group are null, the first by file and row stays. Rows without words
+    are in no group and all stay.
+    """
     rows = located(docs)
-    kept = stage_table(link_documents(rows).filter("kept").select("__file", "__row"), "kept")
+    alone = [F.when(F.col("label").isNull(), F.col(c)).alias(f"_{c}") for c in ("__file", "__row")]
+    first = link_documents(rows).filter("kept").groupBy("label", *alone).agg(F.min(F.struct("__file", "__row")).alias("place"))
+    kept = stage_table(first.select("place.__file", "place.__row"), "kept")
     return rows.join(kept, ["__file", "__row"]).select(*docs.columns)
