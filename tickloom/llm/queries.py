@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, mixing, near_dups, packing, quality, search, substrings, token_files, toxicity, warc
-from tickloom.llm.common import stage_table
+from tickloom.llm import (
+    chat,
+    exact_dups,
+    merkle,
+    mixing,
+    near_dups,
+    packing,
+    periodic_runs,
+    quality,
+    search,
+    substrings,
+    token_files,
+    toxicity,
+    warc,
+)
+from tickloom.llm.common import located, stage_table
 from tickloom.plans.settings import scratch_path
 
 
@@ -89,6 +103,49 @@ def op10_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lowered = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in LEAF_COLUMNS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest(lowered))
+    proofs = merkle.proofs(merkle.manifest(docs, LEAF_COLUMNS, "source", "doc_id", tampered))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest("levels").alias("proof_sha256"),
+        merkle.folded("presented", "levels").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = periodic_runs.looped(F.col("text"), F.crc32(F.col("doc_id").cast("string")))
+    found = periodic_runs.find_runs(docs.select("doc_id", text.alias("text")), ["doc_id"])
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    thousandfold = 1000 * F.col("best.length")
+    return found.withColumn("best", periodic_runs.greatest_run("runs")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        # Without its remainder the division is exact.
+        ((thousandfold - thousandfold % F.col("best.period")) / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = exact_dups.mark_exact_duplicates(located(_table(spark, sf_dir, "documents")))
+    return marks.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -100,10 +157,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_trees": op8_chat_trees,
     "op9_packing": op9_packing,
     "op10_ball_tree_search": op10_ball_tree_search,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_duplicates": op13_exact_duplicates,
 }
 
 
-
 def _sql_text(html: str) -> str:
     """The expressions of ``warc.plain_text`` in SQL."""
     text = f"regexp_replace({html}, '{warc.HIDDEN}', ' ', 'g')"
@@ -158,6 +217,114 @@ SQL_WARC = f"""
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+# CRC-32 of the decimal digits of an id: the table of all bytes by its rule, then one step a digit.
+SQL_CRC_TABLE = """(SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps)"""
+
+
+def _sql_crc(value: str) -> str:
+    digits = f"list_transform(range(1, 1 + length({value})), lambda i: CAST(ascii(substr({value}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+    return f"xor(list_reduce({digits}, lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _sql_leaf(text: str) -> str:
+    parts = [f"CAST({c} AS VARCHAR)" for c in LEAF_COLUMNS[:-1]] + [text]
+    whole = ", ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts)
+    return f"sha256(concat({whole}))"
+
+
+def _sql_levels(name: str, leaves: str, part: str, levels: int) -> str:
+    """Tables ``{name}0`` .. of a tree's nodes (part, pos, node, n) and ``{name}_runs{k}`` of the runs that hash to the next level."""
+    made = [f"{name}0 AS (SELECT {part} AS part, pos, node, count(*) OVER (PARTITION BY {part}) AS n FROM {leaves})"]
+    for k in range(levels):
+        made.append(
+            f"""{name}_runs{k} AS (
+                SELECT part, pos // 16 AS pos, list(node ORDER BY pos) AS run, any_value(n) AS n,
+                       CASE WHEN any_value(n) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE any_value(node) END AS node
+                FROM {name}{k} GROUP BY part, pos // 16
+            ),
+            {name}{k + 1} AS (SELECT part, pos, node, (n + 15) // 16 AS n FROM {name}_runs{k})"""
+        )
+    return ", ".join(made)
+
+
+def _sql_side(table: str, first: str, last: str) -> str:
+    """Siblings of a run joined; none where the level is not hashed."""
+    return f"CASE WHEN {table}.n > 1 THEN array_to_string({table}.run[{first}:{last}], '') ELSE '' END"
+
+
+# Levels that the SQL unrolls: up to 16 ** 5 documents a source and 16 ** 3 sources.
+SQL_LEVELS, SQL_TOPS = 5, 3
+
+
+def _sql_merkle() -> str:
+    levels = [(f"r{k}", f"(l.pos // {16**k}) % 16") for k in range(SQL_LEVELS)] + [(f"t{k}", f"(s.pos // {16**k}) % 16") for k in range(SQL_TOPS)]
+    joins = [f"JOIN low_runs{k} AS r{k} ON r{k}.part = s.pos AND r{k}.pos = l.pos // {16 ** (k + 1)}" for k in range(SQL_LEVELS)]
+    joins += [f"JOIN top_runs{k} AS t{k} ON t{k}.pos = s.pos // {16 ** (k + 1)}" for k in range(SQL_TOPS)]
+    sides = [f"{_sql_side(t, '1', pos)} AS left_{t}, {_sql_side(t, f'{pos} + 2', '16')} AS right_{t}, {t}.n AS n_{t}" for t, pos in levels]
+    folds, table, node = [], "paths", "shown"
+    for t, _ in levels:
+        above = f"CASE WHEN n_{t} > 1 THEN sha256(left_{t} || {node} || right_{t}) ELSE {node} END AS node_{t}"
+        folds.append(f"fold_{t} AS (SELECT *, {above} FROM {table})")
+        table, node = f"fold_{t}", f"node_{t}"
+    proof = " || ".join(f"left_{t} || right_{t}" for t, _ in levels)
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    return f"""
+        WITH crc AS {SQL_CRC_TABLE},
+        hashed AS (
+            SELECT doc_id, source, {_sql_leaf('text')} AS leaf,
+                   CASE WHEN {_sql_crc('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {_sql_leaf(lowered)} END AS changed
+            FROM documents, crc
+        ),
+        sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM (SELECT DISTINCT source FROM documents)),
+        leaves AS (
+            SELECT doc_id, leaf AS node, coalesce(changed, leaf) AS shown, s.pos AS source_pos,
+                   row_number() OVER (PARTITION BY s.pos ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+            FROM hashed AS h JOIN sources AS s ON h.source IS NOT DISTINCT FROM s.source
+        ),
+        {_sql_levels("low", "leaves", "source_pos", SQL_LEVELS)},
+        subroots AS (SELECT part AS pos, node, 0 AS whole FROM low{SQL_LEVELS}),
+        {_sql_levels("top", "subroots", "whole", SQL_TOPS)},
+        paths AS (
+            SELECT l.doc_id, l.node AS leaf, l.shown, s.node AS subroot, whole.node AS root, {', '.join(sides)}
+            FROM leaves AS l JOIN subroots AS s ON l.source_pos = s.pos {' '.join(joins)}, top{SQL_TOPS} AS whole
+        ),
+        {', '.join(folds)}
+        SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, {node} AS folded_root, {node} = root AS verified
+        FROM {table}
+    """
+
+
+SQL_RUNS = rf"""
+    WITH crc AS {SQL_CRC_TABLE},
+    given AS (
+        SELECT row_number() OVER () AS r, doc_id, {_sql_crc('CAST(doc_id AS VARCHAR)')} AS h,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, CAST(len(ws) AS BIGINT) AS n
+        FROM documents, crc
+    ),
+    looped AS (SELECT *, h // 10 AS g, g % nullif(n, 0) AS a, 1 + (n - a) // (3 + g % 8) AS p FROM given),
+    words AS (
+        SELECT r, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+        FROM looped, LATERAL (SELECT unnest(range(n)) AS i)
+    ),
+    equal_words AS (
+        SELECT x.r, x.i, y.i - x.i AS q FROM words AS x JOIN words AS y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+    ),
+    islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal_words),
+    stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+    runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+    listed AS (
+        SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+        FROM runs GROUP BY r
+    ),
+    best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+    dropped AS (SELECT DISTINCT r, i FROM runs, LATERAL (SELECT unnest(range(start + period, start + length)) AS i)),
+    kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+           sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+    FROM given LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
 SQL: dict[str, str] = {
     "op5_repeated_passages": f"""
         WITH split AS (SELECT doc_id, {WORDS} AS ws FROM documents),
@@ -212,4 +379,12 @@ SQL: dict[str, str] = {
                vec_id, score
         FROM scored QUALIFY rank <= 10
     """,
+    "op11_merkle_manifest": _sql_merkle(),
+    "op12_periodic_runs": SQL_RUNS,
+    "op13_exact_duplicates": f"""
+        WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS words FROM documents)
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+               sha256(words) AS text_sha256
+        FROM texts WINDOW same AS (PARTITION BY words)
+    """,
 }
