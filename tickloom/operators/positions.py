@@ -2,28 +2,20 @@
 
 A clamped position is no window sum: a blocked step forgets what it clipped.
 But each step is a function ``x -> min(hi, max(lo, x + shift))``, and running
-one such function after another gives one of the same form. So a long series is
-folded block by block in parallel, the few block functions are chained to get
-each block's starting position, and the blocks are replayed in parallel.
+one such function after another gives one of the same form, so positions are a
+scan (``plans/scan.py``) over blocks. Orders that fill, and orders that are refused whole, are
+scans too, with other functions (``fills.py``).
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Sequence
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.functions.columns import ratio
 from tickloom.operators.stats import sharpe
 from tickloom.plans import Layout, Series, arrange, attach, run_over
-from tickloom.plans.settings import BROADCAST_SLICES, settle_table
+from tickloom.plans.scan import Clamps, scan
 
 # Position change per action, in lots of an agent and in halves of a limit.
 AGENT_LOTS = (-10, -5, 0, 5, 10)
@@ -56,106 +48,7 @@ def clamped_position(
 
 def hold(layout: Layout, delta: Column, limit: Column, start: DataFrame | None = None) -> Layout:
     """``clamped_position`` over a layout, which later steps can go on using."""
-    layout = layout.owned()
-    columns = layout.df.columns
-    rows = layout.df.withColumns({"_delta": delta.cast("long"), "_limit": limit.cast("long")})
-    key, parts, order = list(layout.series.key), layout.parts, layout.series.order_names
-    if layout.split:
-        # Read twice below: once narrow to fold the blocks, once whole to replay them.
-        rows = settle_table(rows, "steps")
-        folded = rows.select(*parts, *[c for c in order if c not in parts], "_delta", "_limit")
-        part_fields = [folded.schema[p] for p in parts]
-        steps = folded.groupBy(*parts).applyInArrow(
-            _fold_block(parts, order),
-            T.StructType(part_fields + [T.StructField(n, T.LongType()) for n in ("_shift", "_low", "_high")]),
-        )
-        if start is not None:
-            steps = attach(steps, start.withColumnRenamed("position", "_from"), key, null_safe=True)
-        else:
-            steps = steps.withColumn("_from", F.lit(0).cast("long"))
-        # One row per block: far fewer than the rows of the longest series.
-        starts = steps.groupBy(*key).applyInArrow(
-            _chain_blocks(parts), T.StructType([*part_fields, T.StructField("_start", T.LongType())])
-        )
-        # A block without a row here starts at 0.
-        moved = starts.filter(F.col("_start") != 0)
-        rows = attach(rows, moved, parts, null_safe=True, bound=BROADCAST_SLICES)
-    elif start is not None:
-        rows = attach(rows, start.withColumnRenamed("position", "_start"), key, null_safe=True)
-    else:
-        rows = rows.withColumn("_start", F.lit(0).cast("long"))
-    outputs = [T.StructField(n, T.LongType()) for n in ("position_before", "position", "change")]
-    schema = T.StructType([*layout.df.schema, *outputs])
-    replayed = rows.groupBy(*parts).applyInArrow(_replay_block(columns, order), schema)
-    return layout.with_df(replayed)
-
-
-# Task functions travel by value, so executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _step_functions(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's step ``x -> min(high, max(low, x + shift))``; a missing change is 0, a missing limit none."""
-    limits = pc.fill_null(table.column("_limit"), 1 << 61).to_numpy()
-    return pc.fill_null(table.column("_delta"), 0).to_numpy().copy(), -limits, limits.copy()
-
-
-def _compose(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-    """Make each step, in place, the function of all steps up to it: a prefix scan that doubles its reach."""
-    reach = 1
-    while reach < len(shift):
-        first, then = slice(None, -reach), slice(reach, None)
-        lows = np.clip(low[first] + shift[then], low[then], high[then])
-        highs = np.clip(high[first] + shift[then], low[then], high[then])
-        shifts = shift[first] + shift[then]
-        low[then], high[then], shift[then] = lows, highs, shifts
-        reach *= 2
-
-
-def _fold_block(parts: Sequence[str], order: Sequence[str]):
-    by = [(c, "ascending") for c in order]
-
-    def fold(table: pa.Table) -> pa.Table:
-        steps = _step_functions(table.sort_by(by))
-        _compose(*steps)
-        last = {p: table.column(p).slice(0, 1) for p in parts}
-        for name, step in zip(("_shift", "_low", "_high"), steps):
-            last[name] = pa.array(step[-1:], pa.int64())
-        return pa.table(last)
-
-    return fold
-
-
-def _chain_blocks(parts: Sequence[str]):
-    def chain(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_block", "ascending")])
-        steps = [table.column(n).to_pylist() for n in ("_shift", "_low", "_high")]
-        at = table.column("_from")[0].as_py() or 0
-        starts = []
-        for shift, low, high in zip(*steps):
-            starts.append(at)
-            at = min(high, max(low, at + shift))
-        return pa.table({**{p: table.column(p) for p in parts}, "_start": pa.array(starts, pa.int64())})
-
-    return chain
-
-
-def _replay_block(columns: Sequence[str], order: Sequence[str]):
-    by = [(c, "ascending") for c in order]
-
-    def replay(table: pa.Table) -> pa.Table:
-        table = table.sort_by(by)
-        start = table.column("_start")[0].as_py() or 0
-        shift, low, high = _step_functions(table)
-        _compose(shift, low, high)
-        after = np.clip(start + shift, low, high)
-        before = np.concatenate([[start], after[:-1]])
-        out = table.select(list(columns))
-        for name, values in (("position_before", before), ("position", after), ("change", after - before)):
-            out = out.append_column(name, pa.array(values, pa.int64()))
-        return out
-
-    return replay
+    return scan(layout, Clamps(), {"delta": delta, "limit": limit}, start)
 
 
 def trade_side(change: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, ratio, truncate
 from tickloom.operators.book import two_sided
+from tickloom.operators.fills import filled_positions
 from tickloom.operators.stats import by_product_parameters
 from tickloom.plans import Layout, Series, arrange
 
@@ -106,6 +107,14 @@ def fair_prices(
     return priced.withColumns(signal_columns()).withColumn("target_size", target_size())
 
 
+def _wants_to_buy() -> Column:
+    return truncate(F.col("ask_price_1")) < F.col("acceptable_price")
+
+
+def _wants_to_sell() -> Column:
+    return truncate(F.col("bid_price_1")) > F.col("acceptable_price")
+
+
 def quote_orders(priced: DataFrame, position: Column | None = None) -> DataFrame:
     """Orders at the best quotes that beat the acceptable price, one row each.
 
@@ -115,7 +124,7 @@ def quote_orders(priced: DataFrame, position: Column | None = None) -> DataFrame
     room_to_buy = F.least(F.col("position_limit") - held, F.col("target_size"))
     room_to_sell = F.least(F.col("position_limit") + held, F.col("target_size"))
     buy = F.when(
-        (room_to_buy > 0) & (truncate(F.col("ask_price_1")) < F.col("acceptable_price")),
+        (room_to_buy > 0) & _wants_to_buy(),
         F.struct(
             F.lit("BUY").alias("order_side"),
             F.col("ask_price_1").alias("order_price"),
@@ -123,7 +132,7 @@ def quote_orders(priced: DataFrame, position: Column | None = None) -> DataFrame
         ),
     )
     sell = F.when(
-        (room_to_sell > 0) & (truncate(F.col("bid_price_1")) > F.col("acceptable_price")),
+        (room_to_sell > 0) & _wants_to_sell(),
         F.struct(
             F.lit("SELL").alias("order_side"),
             F.col("bid_price_1").alias("order_price"),
@@ -132,3 +141,27 @@ def quote_orders(priced: DataFrame, position: Column | None = None) -> DataFrame
     )
     orders = priced.withColumn("_order", F.explode(F.filter(F.array(buy, sell), lambda o: o.isNotNull())))
     return orders.select(*priced.columns, "_order.*")
+
+
+def hold_filled(priced: Layout, start: DataFrame | None = None) -> Layout:
+    """The position before and after each row of ``fair_prices`` if its orders fill at the quotes they are placed at.
+
+    A buy takes at most the best ask's volume, a sell the best bid's, and both at most the target size.
+    """
+    most = lambda volume: F.least(F.col(volume), F.col("target_size")).cast("long")
+    return filled_positions(
+        priced,
+        F.when(_wants_to_buy(), most("ask_volume_1")),
+        F.when(_wants_to_sell(), most("bid_volume_1")),
+        F.col("position_limit"),
+        start,
+    )
+
+
+def filled_orders(priced: DataFrame, series: Series, start: DataFrame | None = None, measure: DataFrame | None = None) -> DataFrame:
+    """Orders of ``quote_orders`` where each fill moves the position that the next row's orders know.
+
+    ``position_before`` and ``position`` are those of the row; its buy and its sell see the same position before.
+    """
+    held = hold_filled(arrange(priced, series, measure=measure), start)
+    return quote_orders(held.rows(), F.col("position_before"))

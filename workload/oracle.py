@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 LEVELS = (1, 2, 3)
 PRICE_COLUMNS = (
     ["day", "timestamp", "product"]
@@ -414,6 +416,38 @@ UNION ALL
 SELECT product, t, 'SELL', bid_price_1, CAST(-least(bid_volume_1, to_sell) AS BIGINT)
 FROM room WHERE to_sell > 0 AND trunc(bid_price_1) > acceptable_price"""
 
+
+def walked(rows: str, inputs: str, order: str, step: str) -> str:
+    """Positions of each product, row by row: ``step`` gives the next one from ``at`` and the row's ``x``."""
+    step = re.sub(r"\bat\b", "acc[-1]", step)
+    return f"""folded AS (SELECT product, list(row ORDER BY {order}) AS rows,
+  list_reduce(list_prepend([0::BIGINT], list([{inputs}] ORDER BY {order})), lambda acc, x: list_append(acc, {step})) AS pos
+  FROM (SELECT *, row_number() OVER (ORDER BY product, {order}) AS row FROM {rows}) GROUP BY product),
+opened AS (SELECT unnest(rows) AS row, unnest(pos[2:]) AS position, unnest(pos[:-2]) AS position_before FROM folded),
+walked AS (SELECT s.*, position_before, position FROM
+  (SELECT *, row_number() OVER (ORDER BY product, {order}) AS row FROM {rows}) s JOIN opened USING (row))"""
+
+
+_WANTED = """wanted AS (SELECT *,
+  CASE WHEN trunc(ask_price_1) < acceptable_price THEN CAST(least(ask_volume_1, target_size) AS BIGINT) ELSE 0 END AS most_bought,
+  CASE WHEN trunc(bid_price_1) > acceptable_price THEN CAST(least(bid_volume_1, target_size) AS BIGINT) ELSE 0 END AS most_sold FROM fair)"""
+_FILLS = walked(
+    "wanted",
+    "most_bought, most_sold, CAST(pl AS BIGINT)",
+    "t",
+    "at + greatest(0, least(x[3] - at, x[1])) - greatest(0, least(x[3] + at, x[2]))",
+)
+SQL["quote_orders_filled"] = f"""WITH {BOOKS}, {FAIR}, {_WANTED}, {_FILLS}
+SELECT product, t, 'BUY' AS order_side, ask_price_1 AS order_price, least(pl - position_before, most_bought) AS quantity, position_before, position
+FROM walked WHERE least(pl - position_before, target_size) > 0 AND trunc(ask_price_1) < acceptable_price
+UNION ALL
+SELECT product, t, 'SELL', bid_price_1, -least(pl + position_before, most_sold), position_before, position
+FROM walked WHERE least(pl + position_before, target_size) > 0 AND trunc(bid_price_1) > acceptable_price"""
+_REFUSED = walked("limited", "CAST(quantity AS BIGINT), CAST(pl AS BIGINT)", "t, o_orderkey", "CASE WHEN abs(at + x[1]) <= x[2] THEN at + x[1] ELSE at END")
+SQL["limit_reject_held"] = f"""WITH {ORDERS}, {PARAMS},
+limited AS (SELECT o.*, coalesce(position_limit, 10) AS pl FROM orders_sim o LEFT JOIN params p ON o.product = p.product), {_REFUSED}
+SELECT o_orderkey, product, quantity, position_before, position, abs(position_before + quantity) <= pl AS accepted FROM walked"""
+
 # ---------------------------------------------------------------- positions
 
 

@@ -413,6 +413,15 @@ def limit_reject(spark: SparkSession, folder: str) -> DataFrame:
     return limited.filter(ok).select("o_orderkey", "product", "quantity")
 
 
+@query("limit_reject_held")
+def limit_reject_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in their sequence; one that would leave the limit, given what was accepted before, is refused whole."""
+    limited = stats.by_product_parameters(V.orders_sim(spark, folder), V.params(spark), {"position_limit": 10})
+    laid = arrange(limited, Series.of("product", ("t", "o_orderkey")), measure=V.orders_sim(spark, folder))
+    out = fills.accepted_orders(laid, F.col("quantity"), F.col("position_limit")).rows()
+    return out.select("o_orderkey", "product", "quantity", "position_before", "position", "accepted")
+
+
 @query("min_rows_guard")
 def min_rows_guard(spark: SparkSession, folder: str) -> DataFrame:
     return stats.min_rows_report(V.ticks(spark, folder), ["product"], ["price", "size", "mid_price", "action", "event_id"], 50)
@@ -738,6 +747,13 @@ def quote_orders_held(spark: SparkSession, folder: str) -> DataFrame:
     return signals.quote_orders(_fair(spark, folder), held).select("product", "t", "order_side", "order_price", "quantity")
 
 
+@query("quote_orders_filled")
+def quote_orders_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders whose fills move the position that later orders have to fit."""
+    out = signals.filled_orders(_fair(spark, folder), V.BOOK_SERIES, measure=V.quote_products(spark, folder))
+    return out.select("product", "t", "order_side", "order_price", "quantity", "position_before", "position")
+
+
 @query("train_test_split")
 def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.split_rows(V.ticks(spark, folder), V.TICK_SERIES).select("event_id", "row_index", "is_train")
