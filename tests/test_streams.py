@@ -55,3 +55,28 @@ def test_signals_and_late_rows(spark, tmp_path):
     assert expected.count() > 0
     assert _rows(spark.read.parquet(f"{path}/orders"), *columns) == _rows(expected, *columns)
     assert [r.t for r in spark.read.parquet(f"{path}/late").collect()] == [10]
+
+
+def _books(spark):
+    rows = [
+        ("a" if i % 3 else "b", i, 100 + 5 * math.sin(i) - 1, 9.0 + i % 4, 100 + 5 * math.sin(i) + 1, 12.0 + i % 5)
+        for i in range(150)
+    ]
+    return spark.createDataFrame(
+        rows, "product string, t long, bid_price_1 double, bid_volume_1 double, ask_price_1 double, ask_volume_1 double"
+    )
+
+
+@pytest.mark.parametrize("opening", [None, [("a", 40), ("z", 7)]])
+def test_positions_that_fills_move_go_on_from_batch_to_batch(spark, tmp_path, opening):
+    df, path = _books(spark), str(tmp_path)
+    start = None if opening is None else spark.createDataFrame(opening, "product string, position int")
+    # The second part has no book of "b".
+    parts = [df.filter("t < 40"), df.filter("t >= 40 AND t < 44 AND product = 'a'"), df.filter("t >= 44")]
+    _feed(spark, parts, path, lambda s: batches.stream_signals(s, SERIES, path, fills=True, opening=start))
+    given = df.filter("t < 40 OR t >= 44 OR product = 'a'")
+    expected = signals.filled_orders(signals.fair_prices(given, SERIES), SERIES, start)
+    columns = ["product", "t", "order_side", "order_price", "quantity", "position_before", "position"]
+    assert expected.filter("position_before <> 0").count() > 20
+    assert _rows(spark.read.parquet(f"{path}/orders"), *columns) == _rows(expected, *columns)
+    assert spark.read.parquet(f"{path}/books").count() == given.count()

@@ -20,20 +20,47 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.operators.book import two_sided
 from tickloom.operators.positions import hold, mark_to_market
 from tickloom.operators.sequences import last_row, latest_rows
-from tickloom.operators.signals import HISTORY, fair_prices, quote_orders
+from tickloom.operators.signals import HISTORY, fair_prices, hold_filled, quote_orders
 from tickloom.plans import Series, arrange, attach
 
 Batch = Callable[[DataFrame, int], None]
 
 
 def stream_signals(
-    books: DataFrame, series: Series, path: str, params: DataFrame | None = None, trigger: dict | None = None
+    books: DataFrame,
+    series: Series,
+    path: str,
+    params: DataFrame | None = None,
+    trigger: dict | None = None,
+    fills: bool = False,
+    opening: DataFrame | None = None,
 ) -> StreamingQuery:
     """Orders for every book of a stream, from its product's last 30 two-sided books.
 
-    Orders go to ``{path}/orders``, late books to ``{path}/late``.
+    Orders go to ``{path}/orders``, late books to ``{path}/late``. Without ``fills`` every book is quoted as if nothing
+    were held. With it, orders fill at their quotes, and each order fits the position that all fills before it have left,
+    those of earlier batches too; ``opening`` may hold a position per key (columns: key, ``position``) to start from. Books
+    with their positions then go to ``{path}/books``.
     """
 
+    def hold(priced: DataFrame, batch: int) -> DataFrame:
+        """Orders of this batch's books, from the positions that the batch before has left."""
+        spark = priced.sparkSession
+        state = _read_state(spark, path, batch, "held")
+        start = opening if state is None else state.select(*series.key, "position")
+        held = hold_filled(arrange(priced, series), start).rows()
+        _write(held, path, "books", batch)
+        done = spark.read.schema(held.schema).parquet(_batch_path(path, "books", batch))
+        newest = done.select(*series.key, *series.order_names, "position")
+        if state is None and opening is not None:
+            # Products that open with a position and have no book yet.
+            unseen = [F.lit(None).cast(priced.schema[c].dataType).alias(c) for c in series.order_names]
+            state = opening.select(*series.key, *unseen, F.col("position").cast("long").alias("position"))
+        if state is not None:
+            newest = newest.unionByName(state)
+        _write_state(last_row(newest, series), path, batch, "held")
+        return quote_orders(done, F.col("position_before"))
+
     def run(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         tail = _read_state(spark, path, batch)
@@ -43,8 +70,8 @@ def stream_signals(
         rows = fresh.withColumn("_new", F.lit(True))
         if tail is not None:
             rows = rows.unionByName(tail.withColumn("_new", F.lit(False)))
-        orders = quote_orders(fair_prices(rows, series, params).filter("_new"))
-        _write(orders.drop("_new"), path, "orders", batch)
+        priced = fair_prices(rows, series, params).filter("_new").drop("_new")
+        _write(hold(priced, batch) if fills else quote_orders(priced), path, "orders", batch)
         _write_state(latest_rows(rows.drop("_new"), series, HISTORY - 1), path, batch)
 
     return _start(books, run, path, trigger)
@@ -103,17 +130,17 @@ def _write(df: DataFrame, path: str, name: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(_batch_path(path, name, batch))
 
 
-def _write_state(state: DataFrame, path: str, batch: int) -> None:
-    _write(state, path, "state", batch)
+def _write_state(state: DataFrame, path: str, batch: int, name: str = "state") -> None:
+    _write(state, path, name, batch)
     # A rerun of this batch needs the state before it; nothing needs older ones.
     if batch >= 2:
         spark = state.sparkSession
-        old = spark._jvm.org.apache.hadoop.fs.Path(_batch_path(path, "state", batch - 2))
+        old = spark._jvm.org.apache.hadoop.fs.Path(_batch_path(path, name, batch - 2))
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
-def _read_state(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    return spark.read.parquet(_batch_path(path, "state", batch - 1)) if batch > 0 else None
+def _read_state(spark: SparkSession, path: str, batch: int, name: str = "state") -> DataFrame | None:
+    return spark.read.parquet(_batch_path(path, name, batch - 1)) if batch > 0 else None
 
 
 def _set_late_apart(df: DataFrame, state: DataFrame, series: Series, path: str, batch: int) -> DataFrame:

@@ -997,6 +997,19 @@ def stream_signals(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("product", "t", "order_side", "order_price", "quantity")
 
 
+@query("stream_signals_held")
+def stream_signals_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders from books that arrive in three batches, with fills that move the position from batch to batch."""
+    path = scratch_path(spark, "signals")
+    params = V.params(spark)
+    _replay(
+        V.book_wide(spark, folder), F.col("t"),
+        lambda books: batches.stream_signals(books, V.BOOK_SERIES, path, params, fills=True),
+    )
+    out = spark.read.parquet(f"{path}/orders")
+    return out.select("product", "t", "order_side", "order_price", "quantity", "position_before", "position")
+
+
 @query("stream_positions")
 def stream_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Positions and profit of ticks that arrive in three batches."""
