@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import time
 from html.entities import html5
 
 import pytest
@@ -22,12 +23,39 @@ def pages(spark, rows):
         ("<div>one<br>two</div>\n\n <span>th</span>ree&nbsp;four &lt;5&gt; &quot;q&#39;", "one\ntwo\nthree four <5> \"q'"),
         ("no tags\t at   all", "no tags at all"),
         ("<p>broken <a href='x'>link", "broken link"),
+        ("a < b and 3 <4, <5", "a < b and 3 <4, <5"),
+        ("seen<!-- to the end <p>", "seen"),
+        ("seen<script>to </p> the end", "seen"),
+        ("seen<p class='to the end", "seen"),
+        ("seen<a href='to the end", "seen"),
     ],
 )
-def test_plain_text(spark, html, text):
+def test_page_text(spark, html, text):
     from pyspark.sql import functions as F
 
-    assert spark.range(1).select(warc.plain_text(F.lit(html)).alias("t")).first().t == text
+    assert spark.range(1).select(warc.page_parts(F.lit(html))["text"].alias("t")).first().t == text
+
+
+def test_parts_that_never_close_reach_to_the_end():
+    page = warc.read_page("<html data-lang=x xml:lang='y' lang=en-GB><title>a &amp; b<p>c")
+    assert page["title"] == "a & b<p>c" and page["language"] == "en-GB"
+    links = warc.read_page("<a title='>' href='a>b'>1</a><a href=\"c d e>f</a><a href=g>")["outlinks"]
+    assert links == ["a>b", "c d e>f</a><a href=g>"]
+    assert warc.read_page("<a title=\"href='no'\" href=yes><a href><a href= ><a nohref=x>")["outlinks"] == ["yes", ""]
+
+
+OPENINGS = ["<a ", "<!--", "<title ", "<title>", "<html ", "<script>", '<a href="', "<p ", '<a "', "&#", "&x", "<a href='x' ", "<", "</", "\n ", '="']
+
+
+@pytest.mark.parametrize("opening", OPENINGS)
+def test_openings_that_never_close_take_time_in_proportion(opening):
+    def took(n):
+        start = time.perf_counter()
+        warc.read_page(opening * n)
+        return time.perf_counter() - start
+
+    took(1_000)
+    assert took(400_000 // len(opening)) < 8 * max(took(100_000 // len(opening)), 0.02)
 
 
 def test_records_refer_to_their_response(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,17 +164,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _sql_text(html: str) -> str:
-    """The expressions of ``warc.plain_text`` in SQL."""
-    text = f"regexp_replace({html}, '{warc.HIDDEN}', ' ', 'g')"
-    text = f"regexp_replace({text}, '{warc.BREAKING}', chr(10), 'g')"
-    text = f"regexp_replace({text}, '{warc.TAG}', '', 'g')"
-    for name, character in warc.ENTITIES:
-        quoted = character.replace("'", "''")
-        text = f"replace({text}, '{name}', '{quoted}')"
-    text = f"regexp_replace({text}, '{warc.SPACES}', ' ', 'g')"
-    text = f"regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g')"
-    return f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+# All HTML names with their characters, for the SQL's own decoder.
+SQL_NAMES = "map([{}], [{}])".format(*(", ".join("'" + x.replace("'", "''") + "'" for x in part) for part in zip(*sorted(html5.items()))))
+
+
+def _sql_pattern(pattern: str, flags: str = "is") -> str:
+    return f"(?{flags})" + pattern.replace("END", r"\z").replace("'", "''")
+
+
+def _sql_decoded(text: str, attribute: bool = False) -> str:
+    """Cut at the references, decode each (numbers, or the longest name it begins with), and join again."""
+    pattern = _sql_pattern(warc.REFERENCE, "s")
+    name, n = "substr(ref, 2)", "longest"
+    longest = f"coalesce(list_max(list_filter(range(2, 1 + length({name})), lambda k: chars[substr({name}, 1, k)] IS NOT NULL)), 0)"
+    number = f"chr(CAST(CASE WHEN lower({name}) LIKE '#x%' THEN '0x' || regexp_extract({name}, '[0-9a-fA-F]+') ELSE regexp_extract({name}, '[0-9]+') END AS INTEGER))"
+    named = f"chars[substr({name}, 1, {longest})] || substr({name}, {longest} + 1)"
+    kept = f"{longest} < length({name}) AND regexp_matches(substr({name}, {longest} + 1, 1), '[=A-Za-z0-9]')" if attribute else "false"
+    one = f"CASE WHEN {name} LIKE '#%' THEN {number} WHEN {longest} = 0 OR {kept} THEN ref ELSE {named} END"
+    refs = f"list_transform(regexp_extract_all({text}, '{pattern}'), lambda ref: {one if attribute else f'replace({one}, chr(160), chr(32))'})"
+    pieces = f"regexp_split_to_array({text}, '{pattern}')"
+    return f"array_to_string(list_transform(list_zip({pieces}, {refs}), lambda p: concat(p[1], p[2])), '')"
+
+
+def _sql_links(html: str) -> str:
+    """The href of each anchor that has one, without quotes and control characters, decoded."""
+    values = f"list_transform(regexp_extract_all({html}, '{_sql_pattern(warc.ANCHOR)}'), lambda a: regexp_extract(a, '(?is)\\shref\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>]+)', 1))"
+    bare = f"list_transform(list_filter({values}, lambda v: v <> ''), lambda v: regexp_replace(regexp_replace(v, '[\\x00-\\x1F]', '', 'g'), '^[\"'']|[\"'']$', '', 'g'))"
+    return f"list_transform({bare}, lambda v: trim(regexp_replace({_sql_decoded('v', attribute=True)}, '[\\x00-\\x1F]', '', 'g')))"
 
 
 def _sql_id(*parts: str) -> str:
@@ -183,24 +200,34 @@ def _sql_id(*parts: str) -> str:
     return f"('<urn:uuid:' || {cuts} || '>')"
 
 
-SQL_LANGUAGE = warc.LANGUAGE.replace("'", "''")
 CRLF = "chr(13) || chr(10)"
 SQL_WARC = f"""
-    WITH pages_ AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+    WITH names AS (SELECT {SQL_NAMES} AS chars),
+    pages_ AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+    raw AS (
+        SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '{_sql_pattern(warc.HIDDEN)}', ' ', 'g'), '{_sql_pattern(warc.BREAKING)}', chr(10), 'g'),
+                                 '{_sql_pattern(warc.TAG)}', '', 'g') AS bare,
+               regexp_extract(html, '{_sql_pattern(warc.TITLE)}', 1) AS raw_title
+        FROM pages_
+    ),
     facts AS (
         SELECT page_id, url, {_sql_id("'response'", "page_id", "url")} AS source, 'sha256:' || sha256(html) AS source_digest,
-               {_sql_text("html")} AS text,
-               trim(regexp_replace(regexp_extract(html, '{warc.TITLE}', 1), '\\s+', ' ', 'g')) AS title,
-               regexp_extract(html, '{SQL_LANGUAGE}', 1) AS language,
-               len(regexp_extract_all(html, '{warc.LINK}')) AS links
-        FROM pages_
+               regexp_replace(regexp_replace(regexp_replace({_sql_decoded("bare")}, '{warc.SPACES}', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'),
+                              '^[ \\n]+|[ \\n]+$', '', 'g') AS text,
+               trim(regexp_replace({_sql_decoded("raw_title")}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS title,
+               regexp_extract(regexp_extract(html, '{_sql_pattern(warc.ROOT)}'), '{_sql_pattern(warc.LANGUAGE)}', 1) AS language,
+               {_sql_links("html")} AS links, strlen(html) AS length
+        FROM raw, names
     ),
     blocks AS (
         SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
                'source-content-type: text/html; charset=utf-8' || {CRLF} || 'source-payload-digest: ' || source_digest || {CRLF}
                || CASE WHEN title <> '' THEN 'title: ' || title || {CRLF} ELSE '' END
                || CASE WHEN language <> '' THEN 'language: ' || language || {CRLF} ELSE '' END
-               || 'links: ' || links || {CRLF} || 'text-digest: sha256:' || sha256(text) || {CRLF} AS block
+               || 'links: ' || len(links) || {CRLF} || 'text-digest: sha256:' || sha256(text) || {CRLF}
+               || 'source-http-line: HTTP/1.1 200 OK' || {CRLF} || 'source-http-line: Content-Type: text/html; charset=utf-8' || {CRLF}
+               || 'source-http-line: Content-Length: ' || length || {CRLF}
+               || array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {CRLF}), '') AS block
         FROM facts
         UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM facts
     ),

@@ -1,46 +1,52 @@
 """WARC derivatives: from each response a metadata and a plain-text conversion record that refer to it.
 
-All in DataFrame expressions and one Arrow function that decodes character references, and without a shuffle, so pages of one host or of any size spread as the input does.
-Ids are made from the source's id, so a rerun gives the same records.
+A page is read once, in one Arrow function, by patterns whose openings end at their close or at the end of the page: each
+match takes all it has looked at, so time grows with the page and not with its unclosed tags. The rest is DataFrame expressions, without a
+shuffle, so pages of one host or of any size spread as the input does. Ids are made from the source's id, so a rerun gives the same records.
 """
 
 from __future__ import annotations
 
 import html as html_
 import re
-from collections.abc import Callable
 from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What ends a line of text, what is no text, and what may be a character reference.
-HIDDEN = r"(?is)<!--.*?-->|<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*>"
+# What is no text, what ends a line of text, what else is a tag, and what may be a character reference. An
+# opening without a close reaches to the end of the page, as in browsers; < before anything but a letter, / ! or ? is text.
+# END stands for that end, which regular expression libraries write differently.
+END = r"\Z"
+HIDDEN = r"<!--.*?(?:-->|END)|<(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|END)"
 BREAKING = (
-    r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|"
-    r"pre|section|table|title|tr|ul)\b[^>]*>"
+    r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|"
+    r"pre|section|table|title|tr|ul)\b[^>]*(?:>|END)"
 )
-TAG = r"<[^>]*>"
-REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
-# Read by the SQL of the query only, which decodes no other names.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+TAG = r"<[A-Za-z/!?][^>]*(?:>|END)"
+TITLE = r"<title\b[^>]*(?:>|END)(.*?)(?:</title|END)"
+ROOT = r"<html\b[^>]*"
+LANGUAGE = r"\slang\s*=\s*[\"']?([A-Za-z0-9-]+)"
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 SPACES = r"[\x09\x0B\x0C\x0D\x20]+"
-TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LANGUAGE = r"(?i)<html[^>]*\blang=[\"']?([A-Za-z0-9-]+)"
-# Read by the SQL of the query only, which counts links.
-LINK = r"(?i)<a\b[^>]*\bhref="
-TARGET = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*)"
-# Stands between links while they are decoded; no reference gives it.
-BETWEEN = "\x01"
+# An anchor's attributes: quoted values may hold >. Then one attribute: its name and its value.
+ANCHOR = r"<a(\s(?:[^>\"']|\"[^\"]*(?:\"|END)|'[^']*(?:'|END))*)"
+ATTRIBUTE = r"([^\s=\"'/]+)\s*(?:=\s*(\"[^\"]*\"?|'[^']*'?|[^\s]*))?|[\s=\"'/]+"
 CRLF = "\r\n"
+PAGE = "struct<title: string, language: string, outlinks: array<string>, text: string>"
+PAGE_TYPE = pa.struct([("title", pa.string()), ("language", pa.string()), ("outlinks", pa.list_(pa.string())), ("text", pa.string())])
+
+
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace("END", END), re.ASCII | re.IGNORECASE | re.DOTALL)
 
 
 def decode_references(text: str) -> str:
     """All named and numeric references of HTML, in one pass; references to a no-break space give a space."""
     if "&" not in text:
         return text
-    return REFERENCE.sub(lambda m: html_.unescape(m.group()).replace("\xa0", " "), text)
+    return _compiled(REFERENCE).sub(lambda m: html_.unescape(m.group()).replace("\xa0", " "), text)
 
 
 def decode_attribute(value: str) -> str:
@@ -55,27 +61,51 @@ def decode_attribute(value: str) -> str:
                 return whole
         return html_.unescape(whole)
 
-    return REFERENCE.sub(one, value) if "&" in value else value
+    return _compiled(REFERENCE).sub(one, value) if "&" in value else value
+
 
+def page_text(html: str) -> str:
+    """The text of a page: a line for each block, without comments, scripts, styles and tags; runs of space as one."""
+    text = _compiled(HIDDEN).sub(" ", html)
+    text = _compiled(BREAKING).sub("\n", text)
+    text = decode_references(_compiled(TAG).sub("", text))
+    text = re.sub(SPACES, " ", text)
+    return re.sub(" ?\n[ \n]*", "\n", text).strip(" \n")
 
-def decoded(text: Column, one: Callable[[str], str] = decode_references) -> Column:
-    """The text without character references; null stays null."""
 
-    def decode(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
+def page_links(html: str) -> list[str]:
+    """The targets of a page's anchors in their order, decoded; control characters are left out as browsers do."""
+    links = []
+    for anchor in _compiled(ANCHOR).finditer(html):
+        for attribute in _compiled(ATTRIBUTE).finditer(anchor.group(1)):
+            if (attribute.group(1) or "").lower() == "href" and attribute.group(2) is not None:
+                value = re.sub(r"[\x00-\x1F]", "", attribute.group(2))
+                if value[:1] in ("'", '"'):
+                    value = value[1:].removesuffix(value[0])
+                links.append(re.sub(r"[\x00-\x1F]", "", decode_attribute(value)).strip(" "))
+                break
+    return links
 
-    return F.arrow_udf(decode, "string")(text)
 
+def read_page(html: str) -> dict:
+    """A page's title, language, outgoing links and text."""
+    title, root = _compiled(TITLE).search(html), _compiled(ROOT).search(html)
+    language = _compiled(LANGUAGE).search(root.group()) if root else None
+    return {
+        "title": re.sub(r"[ \t\n\v\f\r]+", " ", decode_references(title.group(1))) if title else "",
+        "language": language.group(1) if language else "",
+        "outlinks": page_links(html),
+        "text": page_text(html),
+    }
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: a line for each block, without comments, scripts, styles and tags; runs of space as one."""
-    text = F.regexp_replace(html, HIDDEN, " ")
-    text = F.regexp_replace(text, BREAKING, "\n")
-    text = F.regexp_replace(text, TAG, "")
-    text = decoded(text)
-    text = F.regexp_replace(text, SPACES, " ")
-    text = F.regexp_replace(text, " ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
+
+def page_parts(html: Column) -> Column:
+    """``read_page`` of a column as a struct; a null page is an empty one."""
+
+    def read(pages: pa.Array) -> pa.Array:
+        return pa.array([read_page(p or "") for p in pages.to_pylist()], PAGE_TYPE)
+
+    return F.arrow_udf(read, PAGE)(html)
 
 
 def record_id(*parts: Column) -> Column:
@@ -113,15 +143,6 @@ def http_header(headers: Column, name: str) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def outgoing_links(html: Column) -> Column:
-    """The targets of a page's anchors in their order, decoded; control characters are left out as browsers do."""
-    raw = F.regexp_extract_all(html, F.lit(TARGET), 1)
-    bare = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, r"[\x00-\x1F]", ""), r"^([\"'])(.*)\1$", "$2"))
-    joined = decoded(F.concat_ws(BETWEEN, bare), decode_attribute)
-    clean = F.transform(F.split(joined, BETWEEN), lambda x: F.trim(F.regexp_replace(x, r"[\x00-\x1F]", "")))
-    return F.when(F.size(raw) > 0, clean).otherwise(F.array().cast("array<string>"))
-
-
 def header_lines(headers: Column) -> Column:
     """All lines of a response's header as they are, the status line too, without the empty line that ends it."""
     lines = F.split(F.coalesce(headers.cast("string"), F.lit("")), r"\r\n|\r|\n")
@@ -137,7 +158,7 @@ def derive(sources: DataFrame, keys: list[str]) -> DataFrame:
 
     ``sources`` has record_id, target_uri, date, http_headers, payload and payload_digest. A missing id or digest is made
     from the record, other missing values leave their header out; a null payload is an empty text. Equal rows give equal records; other
-    columns are not read. An empty table gives an empty table.
+    columns are not read. Very long and unclosed pages take time in proportion. An empty table gives an empty table.
     """
     internal = [f"_k{i}" for i in range(len(keys))]
     payload = F.coalesce(F.col("payload"), F.lit(""))
@@ -148,12 +169,10 @@ def derive(sources: DataFrame, keys: list[str]) -> DataFrame:
         "date",
         http_header(F.col("http_headers"), "content-type").alias("source_content_type"),
         F.coalesce("payload_digest", digest(payload)).alias("source_digest"),
-        F.regexp_replace(decoded(F.regexp_extract(payload, TITLE, 1)), r"\s+", " ").alias("title"),
-        F.regexp_extract(payload, LANGUAGE, 1).alias("language"),
-        outgoing_links(payload).alias("outlinks"),
         header_lines(F.col("http_headers")).alias("lines"),
-        plain_text(payload).alias("text"),
+        page_parts(payload).alias("page"),
     )
+    rows = rows.select("*", "page.*").drop("page")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))
     each = lambda name, values: F.array_join(F.transform(values, lambda x: line(name, x)), "")
     fields = F.concat_ws(
