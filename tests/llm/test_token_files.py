@@ -36,6 +36,16 @@ def test_pieces_hold_for_any_text(text):
         assert np.frombuffer(encode_texts([text], PATHS[name])[0], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_words_of_latin_letters_hold(name):
+    """They go to the merge model alone: each letter in, before and after others, in both cases, with and without signs."""
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] + ["\u0130", "\u0301", "\u1e9e", "\u017f"]
+    texts = [f"{c} {c}a x{c} {c}{c} the{c}n, {c.upper()}{c.lower()}. O{c}!{c}'s" for c in letters]
+    texts += [" ".join(f"{a}{b}ing{a}" for b in letters[::7]) for a in letters[::5]]
+    want = [e.ids for e in TOKENIZERS[name].encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode_texts(texts, PATHS[name])] == want
+
+
 def _expected(rows):
     start, out = 0, []
     for doc, text in rows:

@@ -2,16 +2,22 @@
 
 Byte-pair encoders cut a text before they merge. A space before a character that is no white
 space always starts a new cut in the tokenizers used here, and so does an ASCII character other
-than a letter or an apostrophe after an ASCII letter. So a text is encoded as its space-separated pieces, each looked up in a
+than a letter or an apostrophe after a Latin letter. So a text is encoded as its space-separated pieces, each looked up in a
 cache; what was not seen yet goes through the tokenizer in one batch. Texts that contain a special
 token's opening ``<|`` are encoded whole. Tests hold the ids to those of whole texts.
+
+A piece of Latin letters is one word to these tokenizers, so it goes to the library's merge model at once; splitting and
+normalising it there costs several times the merges. Other pieces, and other tokenizers, take the library's whole way.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from array import array
+from collections.abc import Callable
 from itertools import chain
 
 from tickloom.llm.common import worker_store
@@ -20,7 +26,42 @@ from tickloom.llm.common import worker_store
 CACHED_PIECES = 800_000
 SPACE_BEFORE_SPACE = re.compile(r" (?=\s|\Z)")
 PIECE_START = re.compile(r"(?= \S)")
-FINER = re.compile(r"(?<=[A-Za-z])(?=[^A-Za-z'\x80-\U0010ffff])")
+# Latin letters, without the one whose small form is a letter and a mark.
+LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+FINER = re.compile(rf"(?<=[{LETTERS}])(?=[^A-Za-z'\x80-\U0010ffff])")
+SIGNS = frozenset(".,;:!?")
+WORD_PIECE = re.compile(rf" ?[{LETTERS}]+")
+# Fixed value: the pattern of one tokenizer that lowers and drops white space; the other kind is the library's own default.
+LOWERED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LOWERING = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that byte-level models have for each byte: printable bytes stand for themselves, others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _word_form(settings: dict) -> Callable[[str], str] | None:
+    """How a tokenizer hands a piece of letters to its model, if it is of a kind known here."""
+    names = _byte_names()
+    as_bytes = lambda text: text.encode().decode("latin-1").translate(names)
+    normalizer, splitter = settings.get("normalizer"), settings.get("pre_tokenizer") or {}
+    if settings["model"].get("type") != "BPE":
+        return None
+    if normalizer is None and splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]:
+        return as_bytes
+    parts = splitter.get("pretokenizers") or [{}]
+    lowers = normalizer is not None and normalizer.get("normalizers") == LOWERING
+    by_words = parts[0].get("pattern") == {"Regex": LOWERED_WORDS} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    if lowers and by_words and [p["type"] for p in parts[1:]] == ["ByteLevel"] and not (parts[1]["use_regex"] or parts[1]["add_prefix_space"]):
+        return lambda text: as_bytes(unicodedata.normalize("NFC", text.strip(" ")).lower())
+    return None
 
 
 def _loaded(path: str):
@@ -29,7 +70,8 @@ def _loaded(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        held[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        held[path] = (tokenizer, {}, _word_form(json.loads(tokenizer.to_str())), tokenizer.model)
     return held[path]
 
 
@@ -45,18 +87,32 @@ def _pieces(text: str) -> list[str]:
     return [first, *rest] if first else rest
 
 
-def _learn(tokenizer, known: dict[str, bytes], new: list[str]) -> None:
+def _finer(piece: str) -> list[str] | tuple[str, ...]:
+    """A piece as parts that are encoded alike alone."""
+    # Letters alone have no place to cut, and most others end in one sign.
+    if piece[1:].isalpha():
+        return (piece,)
+    if piece[-1] in SIGNS and WORD_PIECE.fullmatch(piece, 0, len(piece) - 1):
+        return (piece[:-1], piece[-1])
+    return FINER.split(piece)
+
+
+def _learn(path: str, new: list[str]) -> None:
     """Add pieces to the cache, made of finer ones where the text may be cut."""
-    # Letters alone have no place to cut.
-    parts = [(p,) if p[1:].isalpha() else FINER.split(p) for p in new]
-    unseen = list({q for p in parts for q in p if q not in known})
-    known.update(zip(unseen, _ids(tokenizer, unseen)))
+    tokenizer, known, form, model = _loaded(path)
+    parts = [_finer(p) for p in new]
+    unseen = {q for p in parts for q in p if q not in known}
+    words = {q for q in unseen if form and WORD_PIECE.fullmatch(q)}
+    for word in words:
+        known[word] = array("I", [t.id for t in model.tokenize(form(word))]).tobytes()
+    others = list(unseen - words)
+    known.update(zip(others, _ids(tokenizer, others)))
     known.update((p, b"".join([known[q] for q in part])) for p, part in zip(new, parts) if len(part) > 1)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    tokenizer, known = _loaded(path)
+    tokenizer, known, *_ = _loaded(path)
     if len(known) > CACHED_PIECES:
         known.clear()
     cut = [_pieces(t) if "<|" not in t else [] for t in texts]
@@ -64,7 +120,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     coded = list(map(known.get, flat))
     if None in coded:
         missing = [i for i, c in enumerate(coded) if c is None]
-        _learn(tokenizer, known, list({flat[i] for i in missing}))
+        _learn(path, list({flat[i] for i in missing}))
         for i in missing:
             coded[i] = known[flat[i]]
     out, at = [], 0

@@ -59,7 +59,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
 
     ordered = (
         docs.select("doc_id", as_text("text").alias("text"))
-        .repartitionByRange(parts, "doc_id")
+        # The beginning of the text parts rows of one id, in the order that they are sorted in.
+        .repartitionByRange(parts, "doc_id", F.substring("text", 1, 64))
         .sortWithinPartitions("doc_id", "text")
     )
     with shuffles_removed(spark):
