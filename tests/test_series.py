@@ -122,3 +122,45 @@ def test_time_axes(spark, small_blocks):
         out = row_index(base, Series.of("product", axis))
         assert out.filter("row_index <> id").count() == 0
         assert out.count() == 150
+
+
+def test_only_keys_with_a_burst_are_sorted_and_written(spark, small_blocks, monkeypatch):
+    """A row far away costs its key nothing, and a burst costs no other key its slices."""
+    from tickloom.plans import series as module
+
+    written = []
+    settle_table = module.settle_table
+    monkeypatch.setattr(module, "settle_table", lambda df, name: written.append((name, df.count())) or settle_table(df, name))
+    rows = [("far", 0 if i == 0 else 10**12 + i, i, 1.0) for i in range(400)]
+    rows += [("log", int(1.1**i), i, 1.0) for i in range(200)] + [("short", i, i, 1.0) for i in range(30)]
+    small_blocks(rowsPerBlock=40)
+    frame = lambda r: spark.createDataFrame(r, "product string, t long, id long, v double").repartition(5)
+    far = arrange(frame(rows), SERIES, back=8, ahead=4)
+    assert far.split and not written and "_index" not in far.helpers
+    burst = [("burst", 7 if i % 2 else i, i, 1.0) for i in range(300)]
+    df = frame(rows + burst)
+    laid = arrange(df, SERIES, back=8, ahead=4)
+    assert written == [("ordered", 300)]
+    sliced = laid.df.filter("_index IS NULL").select("product").distinct().collect()
+    assert sorted(r.product for r in sliced) == ["far", "log", "short"]
+    sizes = laid.df.filter("_own").groupBy("product", "_block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 80
+    got = _collect(_windows(laid))
+    spark.conf.set("spark.tickloom.rowsPerBlock", "1000000")
+    assert got == _collect(_windows(arrange(df, SERIES, back=8, ahead=4)))
+
+
+def test_nan_and_missing_places(spark, small_blocks):
+    rows = [("a", None if i % 10 == 0 else float("nan") if i % 10 == 1 else float(i * i), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "product string, t double, id long")
+    for order in (("t", "id"), ("-t", "id")):
+        series = Series.of("product", order)
+        w = Window.partitionBy("product").orderBy(*series.sort)
+        expected = _collect(df.select("id", (F.row_number().over(w) - 1).alias("i")))
+        assert _collect(row_index(df, series, "i").select("id", "i")) == expected
+
+
+def test_keys_without_any_place(spark, small_blocks):
+    df = spark.createDataFrame([("a" if i % 2 else None, None, i) for i in range(200)], "product string, t long, id long")
+    out = row_index(df, Series.of("product", ("t", "id")))
+    assert {r.id: r.row_index for r in out.collect()} == {i: i // 2 for i in range(200)}
