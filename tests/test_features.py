@@ -141,3 +141,24 @@ def test_scores_ties_and_masks(spark):
     out = df.select("position", scores.alias("s"), policy.mask_scores(scores, F.col("position"), F.lit(50)).alias("m"))
     rows = out.select("position", policy.best_action(F.col("s")).alias("a"), policy.best_action(F.col("m")).alias("b")).collect()
     assert [tuple(r) for r in rows] == [(50, 3, 1), (-50, 3, 3), (0, 3, 3)]
+
+
+@pytest.mark.parametrize("block", [30, 100_000])
+@pytest.mark.parametrize("length, stride", [(7, 1), (20, 3), (20, 1)])
+def test_sequences_do_not_depend_on_blocks_or_batches(spark, small_blocks, block, length, stride):
+    small_blocks(rowsPerBlock=block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
+    try:
+        rows = [(p, i, None if i % 11 == 0 else float(i), float(-i)) for p, n in (("a", 100), (None, 60), ("short", 12), ("gone", 9)) for i in range(n)]
+        df = spark.createDataFrame(rows, "product string, t long, x double, y double").repartition(5)
+        out = sequences.sequences(df, SERIES, ["x", "y"], length, stride).collect()
+        want = []
+        for p in ("a", None, "short", "gone"):
+            mine = [r for r in rows if r[0] == p]
+            if len(mine) < min(length, 10):
+                continue
+            n = length if len(mine) >= length else max(5, len(mine) // 2)
+            want += [(p, i, n, [list(r[2:]) for r in mine[i : i + n]]) for i in range(0, len(mine) - n + 1, stride)]
+        assert sorted(((r.product, r.t, r.sequence_length, r.sequence) for r in out), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

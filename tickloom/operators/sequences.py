@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.columns import feature_vector, plus_minutes
+from tickloom.functions.columns import plus_minutes
 from tickloom.plans import Series, arrange, attach, row_index
+from tickloom.plans.scan import sorted_groups
+
+# Task functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The shortest series that gives sequences, and the shortest sequence.
 MIN_ROWS = 10
 MIN_LENGTH = 5
+# Most values that one Arrow batch of sequences holds, if a sequence is not longer.
+VALUES_AT_ONCE = 1 << 20
 
 
 def sequence_length(rows: Column, wanted: int) -> Column:
@@ -23,10 +33,12 @@ def sequence_length(rows: Column, wanted: int) -> Column:
     )
 
 
-def sequences(df: DataFrame, series: Series, features: Sequence[str], length: int) -> DataFrame:
+def sequences(df: DataFrame, series: Series, features: Sequence[str], length: int, stride: int = 1) -> DataFrame:
     """One sequence per starting row: the next ``length`` rows as float vectors.
 
-    Series shorter than ``length`` use half their rows instead.
+    Series shorter than ``length`` use half their rows instead. With a ``stride``, sequences start at every so many rows of
+    their series. A task keeps the last rows of one block and the batch it reads, and writes sequences as slices of
+    them; no frame holds ``length`` copies of a row. Missing features stay missing.
     """
     counts = df.groupBy(*series.key).agg(F.count(F.lit(1)).alias("n_rows"))
     lengths = counts.select(
@@ -34,10 +46,52 @@ def sequences(df: DataFrame, series: Series, features: Sequence[str], length: in
     ).filter(F.col("sequence_length").isNotNull())
     rows = attach(df, lengths, series.key, "inner", null_safe=True)
     layout = arrange(rows, series, ahead=length - 1, measure=df)
-    ahead = F.collect_list(feature_vector(features, "float")).over(layout.next(length))
-    out = layout.df.withColumn("sequence", F.slice(ahead, F.lit(1), F.col("sequence_length")))
-    out = out.filter(F.size("sequence") == F.col("sequence_length"))
-    return layout.finish(out)
+    columns = rows.columns
+    held = {f"_f{i}": F.col(f).cast("float") for i, f in enumerate(features)}
+    starts = F.lit(True)
+    if "_own" in layout.helpers:
+        starts = starts & F.col("_own")
+    if stride > 1:
+        starts = starts & (layout.index % stride == 0)
+    laid = layout.df.withColumn("_starts", starts).withColumns(held)
+    laid = laid.select(*dict.fromkeys([*layout.parts, *columns]), "_starts", *held)
+    laid = laid.repartition(*layout.parts).sortWithinPartitions(*layout.parts, *series.sort)
+    schema = T.StructType([*rows.schema, T.StructField("sequence", T.ArrayType(T.ArrayType(T.FloatType())))])
+    return laid.mapInArrow(_slices(layout.parts, columns, list(held)), schema)
+
+
+def _slices(parts: Sequence[str], columns: Sequence[str], features: Sequence[str]) -> Callable:
+    width = len(features)
+
+    def nested(flat: pa.Array, at: np.ndarray, length: int) -> pa.Array:
+        """The sequences of ``length`` vectors that start at rows ``at``."""
+        places = ((at[:, None] + np.arange(length))[:, :, None] * width + np.arange(width)).reshape(-1)
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(at) * length + 1, dtype=np.int32) * width), flat.take(pa.array(places)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * length), vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for table, edges, goes_on in sorted_groups(batches, parts):
+            for first, end in zip(edges, edges[1:]):
+                rows = table.slice(first, end - first)
+                if first == 0 and goes_on and waiting is not None:
+                    rows = pa.concat_tables([waiting, rows])
+                length = rows.column("sequence_length")[0].as_py()
+                # The last rows wait for those that follow them.
+                whole = max(0, rows.num_rows - length + 1)
+                waiting = rows.slice(whole)
+                at = np.flatnonzero(rows.column("_starts").to_numpy()[:whole])
+                kinds = [rows.column(f).combine_chunks() for f in features]
+                values = np.stack([k.fill_null(0.0).to_numpy() for k in kinds], axis=1).reshape(-1)
+                missing = np.stack([k.is_null().to_numpy(zero_copy_only=False) for k in kinds], axis=1).reshape(-1)
+                flat = pa.array(values, pa.float32(), mask=missing)
+                kept = rows.select(list(columns)).combine_chunks()
+                step = max(1, VALUES_AT_ONCE // (length * width))
+                for i in range(0, len(at), step):
+                    pick = at[i : i + step]
+                    yield from kept.take(pa.array(pick)).append_column("sequence", nested(flat, pick, length)).to_batches()
+
+    return run
 
 
 def split_rows(df: DataFrame, series: Series, train_share: float = 0.8) -> DataFrame:

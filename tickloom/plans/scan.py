@@ -175,7 +175,7 @@ def _inputs(table: pa.Table, names: Mapping[str, str], defaults: Mapping[str, in
     return {name: pc.fill_null(table.column(held), defaults[name]).to_numpy() for name, held in names.items()}
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], parts: Sequence[str]) -> Iterator[tuple[pa.Table, list[int], bool]]:
+def sorted_groups(batches: Iterator[pa.RecordBatch], parts: Sequence[str]) -> Iterator[tuple[pa.Table, list[int], bool]]:
     """Each batch with its group edges and whether its first group goes on from the batch before."""
     last = None
     for batch in batches:
@@ -193,7 +193,7 @@ def _fold(family, names: Mapping[str, str], parts: Sequence[str]) -> Callable:
         def done() -> Iterator[pa.RecordBatch]:
             yield from open_.append_column("_function", pa.array([function.astype("<i8").tobytes()], pa.binary())).to_batches()
 
-        for table, edges, goes_on in _sorted_groups(batches, parts):
+        for table, edges, goes_on in sorted_groups(batches, parts):
             rows = _inputs(table, names, family.defaults)
             for first, end in zip(edges, edges[1:]):
                 made = family.fold({n: a[first:end] for n, a in rows.items()})
@@ -225,7 +225,7 @@ def _chain(family, parts: Sequence[str]) -> Callable:
 def _replay(family, names: Mapping[str, str], parts: Sequence[str], columns: Sequence[str], outputs: Sequence[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = 0
-        for table, edges, goes_on in _sorted_groups(batches, parts):
+        for table, edges, goes_on in sorted_groups(batches, parts):
             rows = _inputs(table, names, family.defaults)
             before, after = np.empty(table.num_rows, np.int64), np.empty(table.num_rows, np.int64)
             for first, end in zip(edges, edges[1:]):

@@ -124,6 +124,13 @@ SQL["feature_table"] = price_sql(
         "rsi", "rolling_volatility")
     + ", " + r(4, "macd_line", "macd_signal", "cci")
 )
+_FOLDED = STAGE1.replace("PARTITION BY product", "PARTITION BY base_product").replace("ORDER BY round_timestamp", "ORDER BY round_timestamp, product")
+SQL["feature_table_folded"] = f"""WITH {PRICED.replace("filled AS (SELECT product,", "filled_ AS (SELECT product,")},
+filled AS (SELECT * REPLACE (CASE WHEN product IN ('P0', 'P1') THEN 'LEFT_' ELSE 'RIGHT_' END || product AS product),
+  CASE WHEN product IN ('P0', 'P1') THEN 'LEFT' ELSE 'RIGHT' END AS base_product FROM filled_), {_FOLDED}
+SELECT product, round_timestamp, base_product, trade_volume_best, trade_volume_total, bid_ask_spread,
+  {r(6, "order_book_imbalance", "log_return", "rolling_zscore", "volume_weighted_return", "depth_volatility", "rsi", "rolling_volatility")},
+  {r(4, "macd_line", "macd_signal", "cci")} FROM s4"""
 SQL["book_features"] = f"""WITH {PRICED}, {STAGE1}
 SELECT product, day * 365 + timestamp // 100 AS t, mid_price, bid_ask_spread,
   {r(6, "order_book_imbalance", "log_return", "rolling_mean", "rolling_zscore")}, {r(4, "rolling_stddev")} FROM s4"""
@@ -194,7 +201,10 @@ SQL["order_depth"] = f"""WITH {BOOKS}, sides AS (
 merged AS (SELECT product, t, side, price, arg_max(quantity, level) AS quantity FROM sides GROUP BY ALL)
 SELECT product, t, count(*) FILTER (WHERE side = 'BID') AS n_buy, count(*) FILTER (WHERE side = 'ASK') AS n_sell,
   coalesce(sum(quantity) FILTER (WHERE side = 'BID'), 0) AS buy_volume,
-  coalesce(sum(quantity) FILTER (WHERE side = 'ASK'), 0) AS sell_volume FROM merged GROUP BY product, t"""
+  coalesce(sum(quantity) FILTER (WHERE side = 'ASK'), 0) AS sell_volume,
+  coalesce(string_agg(CAST(price AS BIGINT) || ':' || CAST(quantity AS BIGINT), ',' ORDER BY price) FILTER (WHERE side = 'BID'), '') AS buy_levels,
+  coalesce(string_agg(CAST(price AS BIGINT) || ':' || CAST(quantity AS BIGINT), ',' ORDER BY price) FILTER (WHERE side = 'ASK'), '') AS sell_levels
+FROM merged GROUP BY product, t"""
 SQL["best_level"] = f"""WITH {QUOTES} SELECT product, t, max(price) FILTER (WHERE side = 'BID') AS best_bid,
   min(price) FILTER (WHERE side = 'ASK') AS best_ask FROM quotes GROUP BY product, t"""
 SQL["level_rank"] = f"WITH {QUOTES}, {RANKED} SELECT product, t, side, price, quantity, level FROM ranked"
@@ -364,13 +374,15 @@ SQL["minmax_scale"] = f"""WITH {TICKS}, g AS ({_RANGES}), x AS (SELECT event_id,
   greatest(-1.0, least(1.0, 2 * (size - s0) / (s1 - s0 + 1e-8) - 1)) AS size FROM ticks JOIN g USING (product))
 SELECT event_id, {r(6, "price", "size")} FROM x"""
 SQL["minmax_inverse"] = f"WITH {TICKS} SELECT event_id, round(price, 4) + 0.0 AS price, CAST(size AS DOUBLE) AS size FROM ticks"
-SQL["sequences"] = f"""WITH {TICKS}, c AS (SELECT product, count(*) AS n FROM ticks GROUP BY product),
+_SEQUENCES = f"""WITH {TICKS}, c AS (SELECT product, count(*) AS n FROM ticks GROUP BY product),
 l AS (SELECT product, CASE WHEN n >= 50 THEN 50 ELSE greatest(5, n // 2) END AS len FROM c WHERE n >= 10),
 o AS (SELECT *, row_number() OVER {win(TICK_ORDER)} AS i FROM ticks JOIN l USING (product)),
-s AS (SELECT event_id, product, len, i, list(price) OVER w AS prices, list(size) OVER w AS sizes FROM o
+s AS (SELECT event_id, product, len, i, list(CAST(round(price * 100) AS BIGINT)) OVER w AS prices, list(CAST(size AS BIGINT)) OVER w AS sizes FROM o
   WINDOW w AS (PARTITION BY product ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING))
-SELECT event_id, CAST(len AS BIGINT) AS length, CAST(list_sum(sizes[1:len]) AS BIGINT) AS size_sum,
-  round(prices[1], 2) + 0.0 AS first_price, round(prices[len], 2) + 0.0 AS last_price FROM s WHERE len(prices) >= len"""
+SELECT event_id, CAST(len AS BIGINT) AS length, array_to_string(prices[1:len], ',') AS prices, array_to_string(sizes[1:len], ',') AS sizes
+FROM s WHERE len(prices) >= len"""
+SQL["sequences"] = _SEQUENCES
+SQL["sequences_strided"] = f"{_SEQUENCES} AND (i - 1) % 25 = 0"
 
 # ---------------------------------------------------------------- signals
 

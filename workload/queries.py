@@ -335,9 +335,12 @@ def q_mask(spark: SparkSession, folder: str) -> DataFrame:
 def order_depth(spark: SparkSession, folder: str) -> DataFrame:
     out = V.book_wide(spark, folder).withColumns({"buy": book.depth_map("bid"), "sell": book.depth_map("ask")})
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v)
+    entry = lambda x: F.concat(x["key"].cast("long").cast("string"), F.lit(":"), x["value"].cast("long").cast("string"))
+    listed = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), entry), ",")
     return out.select(
         "product", "t", F.size("buy").cast("long").alias("n_buy"), F.size("sell").cast("long").alias("n_sell"),
         total(F.col("buy")).alias("buy_volume"), total(F.col("sell")).alias("sell_volume"),
+        listed("buy").alias("buy_levels"), listed("sell").alias("sell_levels"),
     )
 
 
@@ -626,6 +629,20 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("feature_table_folded")
+def feature_table_folded(spark: SparkSession, folder: str) -> DataFrame:
+    """All features with windows over folded products: what shares a prefix is one series, in order of time and product."""
+    basket = F.when(F.col("product").isin("P0", "P1"), "LEFT_").otherwise("RIGHT_")
+    prices = V.prices17(spark, folder).withColumn("product", F.concat(basket, F.col("product")))
+    out = features.price_file_features(prices, key="base_product", ties=["product"], fold_prefixes=["LEFT", "RIGHT"])
+    return out.select(
+        "product", "round_timestamp", "base_product", "trade_volume_best", "trade_volume_total", "bid_ask_spread",
+        *rounded(6, "order_book_imbalance", "log_return", "rolling_zscore", "volume_weighted_return", "depth_volatility",
+                 "rsi", "rolling_volatility"),
+        *rounded(4, "macd_line", "macd_signal", "cci"),
+    )
+
+
 def _quote_features(spark: SparkSession, folder: str, *columns: Column | str) -> DataFrame:
     out = features.quote_book_features(V.book_sizes(spark, folder), "product", "t", measure=V.quote_products(spark, folder))
     return out.select("product", "t", *columns)
@@ -665,16 +682,22 @@ def level_rank(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("product", "t", "side", "price", "quantity", "level")
 
 
+def _flat_sequences(out: DataFrame) -> DataFrame:
+    """Whole sequences as text: prices in hundredths, and sizes."""
+    rows = F.col("sequence")
+    listed = lambda i, scale: F.array_join(F.transform(rows, lambda r: F.round(r[i].cast("double") * scale).cast("long").cast("string")), ",")
+    return out.select("event_id", F.size(rows).cast("long").alias("length"), listed(0, 100).alias("prices"), listed(1, 1).alias("sizes"))
+
+
 @query("sequences")
 def sequence_rows(spark: SparkSession, folder: str) -> DataFrame:
-    out = sequences.sequences(V.ticks(spark, folder), V.TICK_SERIES, V.FEATURES, 50)
-    rows = F.col("sequence")
-    total = F.aggregate(rows, F.lit(0.0), lambda s, r: s + r[1])
-    return out.select(
-        "event_id", F.size(rows).cast("long").alias("length"), total.cast("long").alias("size_sum"),
-        F.round(rows[0][0].cast("double"), 2).alias("first_price"),
-        F.round(F.element_at(rows, -1)[0].cast("double"), 2).alias("last_price"),
-    )
+    return _flat_sequences(sequences.sequences(V.ticks(spark, folder), V.TICK_SERIES, V.FEATURES, 50))
+
+
+@query("sequences_strided")
+def sequence_rows_strided(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 25th sequence of each product."""
+    return _flat_sequences(sequences.sequences(V.ticks(spark, folder), V.TICK_SERIES, V.FEATURES, 50, stride=25))
 
 
 @query("direction_label")
