@@ -53,6 +53,26 @@ def test_texts_and_columns(documents):
         assert r.text == given_[r.doc_id] if not removed else r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 500])
+def test_the_number_of_buckets_does_not_matter(documents, monkeypatch, buckets):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(substrings, "bucket_count", lambda docs: buckets)
+    rows = corpus()
+    docs = stage_table(documents(rows).repartition(5), "docs")
+    got = {r.doc_id: [(r.n_words, r.n_removed, r.kept_sha256)] for r in substrings.digest_kept(docs).collect()}
+    assert got == brute(sorted(rows), substrings.WINDOW)
+
+
+def test_buckets_grow_with_the_text(documents, monkeypatch):
+    docs = documents(corpus())
+    least = substrings.bucket_count(docs)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 100)
+    size = sum(len((text or "").encode()) for _, text in corpus())
+    assert substrings.bucket_count(docs) == -(-size // 100) > least
+    assert substrings.bucket_count(docs.limit(0)) == least
+
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab é\n\t", max_size=40), st.data())
 def test_cut_words(text, data):

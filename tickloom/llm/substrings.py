@@ -40,7 +40,9 @@ from tickloom.llm.common import (
 WINDOW = 20
 # Text that a task hashes at once; it sets the memory of a chunk, some 20 bytes a byte.
 CHUNK_BYTES = 2 << 20
-# Buckets for each shuffle partition: some, so that their sizes even out.
+# Text whose windows go to one bucket, on average: 8 MB of text have some 1.3 million windows, 14 MB as packed entries.
+BUCKET_BYTES = 8 << 20
+# Buckets for each shuffle partition at least: some, so that their sizes even out.
 BUCKETS_PER_PARTITION = 2
 BASE, OTHER_BASE = 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93
 ENTRIES = "bucket int, chunk long, hashes binary, docs binary, counts binary, places binary, kind int"
@@ -165,14 +167,19 @@ def _spans(width: int) -> Callable:
     return merge
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """As many buckets as keep each of them at ``BUCKET_BYTES`` of text, whatever the number of tasks."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return max(BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def repeated_spans(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """Per document with repeated windows: ``__file``, ``__row`` and ``spans``, its intervals of words to remove.
 
     ``docs`` comes from ``located``. A window is repeated if its words also start in a smaller document (null ids
     are the smallest; rows of equal id count in the order of the table) or earlier in the same one.
     """
-    spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * shuffle_width(spark)
+    buckets = bucket_count(docs)
     narrow = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "__file", "__row", F.coalesce("text", F.lit("")).alias("text")
     )
