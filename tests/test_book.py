@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import columns as C
@@ -45,6 +46,31 @@ def test_ranks_of_any_depth(spark, small_blocks):
     assert [(-r.price, r.id) for r in bids] == sorted((-r.price, r.id) for r in bids)
 
 
+def test_pages_of_one_crowded_instant(spark, small_blocks):
+    small_blocks(rowsPerBlock=50_000)
+    n = 1_000_000
+    crowded = spark.range(n).select(
+        F.lit(1).cast("long").alias("timestamp"), F.lit("a").alias("product"), F.lit("BID").alias("side"),
+        F.floor((F.col("id") * 7919 % n) / 3).cast("double").alias("price"), F.lit(2.0).alias("quantity"), "id",
+    )
+    small = spark.createDataFrame([(1, "a", "ASK", 5.0, 1.0, 1), (2, "b", "BID", None, 3.0, 2), (2, "b", "BID", 4.0, 1.0, 3)], QUOTES)
+    pages = book.book_pages(crowded.unionByName(small), ties=["id"]).cache()
+    deep = pages.filter("side = 'BID' AND product = 'a'")
+    assert deep.agg(F.count("page"), F.min(F.size("levels")), F.max(F.size("levels")), F.max("page")).first()[:] == (1000, 1000, 1000, 999)
+    assert deep.filter("first_level <> page * 1000 + 1 OR levels[999].level <> first_level + 999").count() == 0
+    edges = sorted((r.page, r.levels[0].price, r.levels[-1].price) for r in deep.collect())
+    assert all(a[1] >= a[2] >= b[1] for a, b in zip(edges, edges[1:])) and edges[0][1] == n // 3 and edges[-1][2] == 0
+    rest = {(r.product, r.side): [tuple(x) for x in r.levels] for r in pages.filter("product = 'b' OR side = 'ASK'").collect()}
+    assert rest == {("a", "ASK"): [(1, 5.0, 1.0)], ("b", "BID"): [(1, 4.0, 1.0), (2, None, 3.0)]}
+    pages.unpersist()
+
+
+def test_very_wide_books_are_refused(spark):
+    with pytest.raises(ValueError, match="book_pages"):
+        book.l2_pivot(_quotes(spark), 501)
+    assert book.book_pages(_quotes(spark).limit(0), ties=["id"]).count() == 0
+
+
 def _book(spark, **values):
     names = [f"{s}_{k}_{i}" for s in ("bid", "ask") for k in ("price", "volume") for i in (1, 2, 3)]
     schema = ", ".join(f"{n} double" for n in names)

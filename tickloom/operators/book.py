@@ -13,6 +13,12 @@ from tickloom.plans import Series, arrange
 from tickloom.schema import LEVELS, PRICE_NUMBERS
 
 
+# Levels that a table of one row per book may have as columns, four each.
+MOST_WIDE_LEVELS = 500
+# Quotes on a page of a book.
+PAGE_LEVELS = 1_000
+
+
 def level_rank(quotes: DataFrame, time: str = "timestamp", ties: Sequence[str] = ()) -> DataFrame:
     """Number each quote within its side: bids from the highest price, asks from the lowest.
 
@@ -61,10 +67,13 @@ def l2_pivot(
     """Long quotes to one row per (product, time) with price and size columns per level.
 
     Every quote is a level: there are as many as the deepest book has, unless ``levels`` asks for the
-    best few only. ``extra_key`` (say a source file) keeps books of several files apart.
+    best few only. A table of more than ``MOST_WIDE_LEVELS`` levels is refused; deeper books fit ``full_books`` or
+    ``book_pages``. ``extra_key`` (say a source file) keeps books of several files apart.
     """
     if levels is None:
         levels = book_depth(quotes, time, extra_key)
+    if levels > MOST_WIDE_LEVELS:
+        raise ValueError(f"{levels} levels are too many columns: use full_books or book_pages, or ask for the best levels only")
     ranked = top_levels(quotes, levels, time, ties, extra_key)
     # An instant with quotes of an unknown side only still gives a (bare) row.
     cells = []
@@ -93,6 +102,22 @@ def full_books(
     return quotes.groupBy(time, "product", *extra_key).agg(side("BID").alias("bids"), side("ASK").alias("asks"))
 
 
+def book_pages(
+    quotes: DataFrame, time: str = "timestamp", ties: Sequence[str] = (), page_levels: int = PAGE_LEVELS
+) -> DataFrame:
+    """Books of any depth: a row for each page of a side, with ``page`` (from 0), ``first_level`` and ``levels``.
+
+    ``levels`` are the page's (level, price, quantity), best first; every page but a side's last is full. Ranks come from blocks of
+    prices and pages are put together by their own key, so no task holds a book, however crowded its instant is.
+    Quotes without a price are a side's last levels.
+    """
+    ranked = level_rank(quotes.select("product", time, "side", *dict.fromkeys(["price", "quantity", *ties])), time, ties)
+    page = F.floor((F.col("level") - 1) / page_levels)
+    entry = F.struct(F.col("level").cast("long").alias("level"), "price", "quantity")
+    pages = ranked.groupBy(time, "product", "side", page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("levels"))
+    return pages.select("product", time, "side", "page", F.col("levels")[0]["level"].alias("first_level"), "levels")
+
+
 def book_mid() -> Column:
     """Mean of the best prices, or the one that exists."""
     return F.coalesce(

@@ -173,6 +173,8 @@ _LISTED = ", ".join(
 )
 SQL["l2_pivot"] = f"""WITH {QUOTES}, {RANKED} SELECT product, t, count(*) FILTER (WHERE side = 'BID') AS n_bids,
   count(*) FILTER (WHERE side = 'ASK') AS n_asks, {_LISTED} FROM ranked GROUP BY product, t"""
+SQL["book_pages"] = f"""WITH {QUOTES}, {RANKED} SELECT product, t, side, (level - 1) // 2 AS page, min(level) AS first_level,
+  string_agg(CAST(price AS BIGINT) || ':' || CAST(quantity AS BIGINT), ',' ORDER BY level) AS levels FROM ranked GROUP BY product, t, side, page"""
 SQL["name_columns"] = f"WITH {PRICED} SELECT * FROM prices"
 SQL["cast_fill"] = f"WITH {PRICED} SELECT {', '.join(PRICE_COLUMNS)} FROM filled"
 SQL["round_timestamp"] = f"WITH {PRICED} SELECT product, day, timestamp, round_timestamp FROM filled"

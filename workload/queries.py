@@ -498,6 +498,15 @@ def l2_pivot(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("book_pages")
+def book_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each side in pages of two levels, as text."""
+    pages = book.book_pages(V.quotes_long(spark, folder), "t", V.QUOTE_TIES, page_levels=2)
+    entry = lambda e: F.concat(e["price"].cast("long").cast("string"), F.lit(":"), e["quantity"].cast("long").cast("string"))
+    listed = F.array_join(F.transform("levels", entry), ",")
+    return pages.select("product", "t", "side", "page", "first_level", listed.alias("levels"))
+
+
 @query("l2_top")
 def l2_top(spark: SparkSession, folder: str) -> DataFrame:
     """The best three levels of each side as columns."""
