@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import positions, signals
 from tickloom.plans import Series, arrange
-from tickloom.streaming import batches
+from tickloom.streaming import batches, stored
 
 SERIES = Series.of("product", "t")
 
@@ -80,3 +80,55 @@ def test_positions_that_fills_move_go_on_from_batch_to_batch(spark, tmp_path, op
     assert expected.filter("position_before <> 0").count() > 20
     assert _rows(spark.read.parquet(f"{path}/orders"), *columns) == _rows(expected, *columns)
     assert spark.read.parquet(f"{path}/books").count() == given.count()
+
+
+ORDERS = ["product", "t", "order_side", "order_price", "quantity"]
+
+
+def _stored(path, **options):
+    return lambda s: stored.stored_signals(s, SERIES, path, F.timestamp_seconds(F.col("t") + 1), **options)
+
+
+@pytest.mark.parametrize("opening", [None, [("a", 40), ("z", 7)]])
+def test_stored_state_gives_the_orders_of_the_batch_form(spark, tmp_path, opening):
+    df, path = _books(spark), str(tmp_path)
+    start = None if opening is None else spark.createDataFrame(opening, "product string, position int")
+    # Each part stops the query and starts it again; the second part has no book of "b".
+    parts = [df.filter("t < 40"), df.filter("t >= 40 AND t < 44 AND product = 'a'"), df.filter("t >= 44")]
+    _feed(spark, parts, path, _stored(path, fills=True, opening=start))
+    given = df.filter("t < 40 OR t >= 44 OR product = 'a'")
+    expected = signals.filled_orders(signals.fair_prices(given, SERIES), SERIES, start)
+    columns = [*ORDERS, "position_before", "position"]
+    assert expected.filter("position_before <> 0").count() > 20
+    assert _rows(spark.read.parquet(f"{path}/orders"), *columns) == _rows(expected, *columns)
+
+
+def test_stored_books_wait_for_the_watermark_and_come_out_in_order(spark, tmp_path):
+    df, path = _books(spark), str(tmp_path)
+    # Every part holds books that belong between those of the part before; t = 5 comes far too late.
+    parts = [df.filter("t < 60 AND t % 7 <> 0"), df.filter("t < 60 AND t % 7 = 0 AND t >= 35"), df.filter("t >= 60 AND t <> 5"), df.filter("t = 5").withColumn("bid_volume_1", F.lit(1.0))]
+    _feed(spark, parts, path, _stored(path, patience="30 seconds"))
+    given = df.filter("t >= 35 OR t % 7 <> 0")
+    # Books of the last 30 seconds still wait.
+    expected = signals.quote_orders(signals.fair_prices(given, SERIES)).filter("t <= 119")
+    assert expected.count() > 0
+    assert _rows(spark.read.parquet(f"{path}/orders"), *ORDERS) == _rows(expected, *ORDERS)
+
+
+def test_stored_history_is_forgotten_after_silence(spark, tmp_path):
+    df, path = _books(spark).filter("product = 'a'"), str(tmp_path)
+    gap = df.filter("t < 60 OR t >= 90")
+    _feed(spark, [gap.filter("t < 60"), gap.filter("t >= 90")], path, _stored(path, forget_ms=20_000))
+    halves = [signals.quote_orders(signals.fair_prices(df.filter(f), SERIES)) for f in ("t < 60", "t >= 90")]
+    expected = halves[0].unionByName(halves[1])
+    assert _rows(spark.read.parquet(f"{path}/orders"), *ORDERS) == _rows(expected, *ORDERS)
+
+
+def test_history_columns_of_arrays_equal_those_of_windows(spark):
+    df = _books(spark).withColumn("bid_price_1", F.when(F.col("t") < 70, F.lit(99.1)).otherwise(F.col("bid_price_1")))
+    df = df.withColumn("ask_price_1", F.when(F.col("t") < 70, F.lit(99.3)).otherwise(F.col("ask_price_1")))
+    plain = signals.fair_prices(df, SERIES)
+    at = arrange(df.withColumn("mid_price", signals.book_mid()), SERIES, back=signals.HISTORY - 1)
+    listed = at.finish(at.df.withColumn("mids", F.collect_list("mid_price").over(at.last(signals.HISTORY))))
+    columns = ["product", "t", "history_rows", "history_mean", "history_std", "short_ma", "long_ma", "short_volatility", "target_size"]
+    assert _rows(signals.priced_by_history(listed, F.col("mids")), *columns) == _rows(plain, *columns)

@@ -41,6 +41,38 @@ def history_columns(at: Layout, price: str = "mid_price") -> dict[str, Column]:
     }
 
 
+def history_of(prices: Column) -> dict[str, Column]:
+    """``history_columns`` for rows that carry their last prices as an array, their own last."""
+    n = F.size(prices).cast("long")
+    short, long = F.slice(prices, -SHORT, SHORT), F.slice(prices, -LONG, LONG)
+    spread = _deviation(prices)
+    return {
+        "history_rows": n,
+        "history_mean": _mean(prices),
+        "history_std": F.when((n > 1) & (spread > 0), spread).otherwise(F.lit(1.0)),
+        "short_ma": F.when(n >= LONG, _mean(short)),
+        "long_ma": F.when(n >= LONG, _mean(long)),
+        "short_volatility": F.when(n >= SHORT, _deviation(short)),
+    }
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
+
+
+def _deviation(values: Column) -> Column:
+    """Population deviation by running moments, so equal values give exactly 0."""
+    moments = lambda n, mean, squares: F.struct(n.alias("n"), mean.alias("mean"), squares.alias("squares"))
+
+    def add(m: Column, v: Column) -> Column:
+        n = m["n"] + 1
+        mean = m["mean"] + (v - m["mean"]) / n
+        return moments(n, mean, m["squares"] + (v - m["mean"]) * (v - mean))
+
+    zero = F.lit(0.0)
+    return F.aggregate(values, moments(zero, zero, zero), add, lambda m: F.sqrt(m["squares"] / m["n"]))
+
+
 def price_history(
     df: DataFrame, series: Series, price: str = "mid_price", measure: DataFrame | None = None
 ) -> DataFrame:
@@ -92,14 +124,24 @@ def target_size() -> Column:
     return F.when(F.col("history_rows") < SHORT, F.col("min_position")).otherwise(sized).cast("long")
 
 
+def book_mid() -> Column:
+    return (F.col("bid_price_1") + F.col("ask_price_1")) / 2
+
+
 def fair_prices(
     books: DataFrame, series: Series, params: DataFrame | None = None, measure: DataFrame | None = None
 ) -> DataFrame:
     """Signals and target sizes for every two-sided book; one-sided books are no part of the history."""
-    rows = books.filter(two_sided()).withColumn(
-        "mid_price", (F.col("bid_price_1") + F.col("ask_price_1")) / 2
-    )
-    priced = price_history(rows, series, measure=measure)
+    rows = books.filter(two_sided()).withColumn("mid_price", book_mid())
+    return _with_signals(price_history(rows, series, measure=measure), params)
+
+
+def priced_by_history(books: DataFrame, mids: Column, params: DataFrame | None = None) -> DataFrame:
+    """``fair_prices`` of two-sided books with ``mid_price`` that carry the last mids of their product as an array."""
+    return _with_signals(books.withColumns(history_of(mids)), params)
+
+
+def _with_signals(priced: DataFrame, params: DataFrame | None) -> DataFrame:
     if params is None:
         priced = priced.withColumns({n: F.lit(v) for n, v in DEFAULTS.items()})
     else:
@@ -143,21 +185,24 @@ def quote_orders(priced: DataFrame, position: Column | None = None) -> DataFrame
     return orders.select(*priced.columns, "_order.*")
 
 
-def hold_filled(priced: Layout, start: DataFrame | None = None) -> Layout:
-    """The position before and after each row of ``fair_prices`` if its orders fill at the quotes they are placed at.
+def fill_room() -> tuple[Column, Column, Column]:
+    """The most that each row of ``fair_prices`` may buy and sell, and its limit; NULL where it does not want to.
 
     A buy takes at most the best ask's volume, a sell the best bid's, and both at most the target size.
     """
     most = lambda volume: F.least(F.col(volume), F.col("target_size")).cast("long")
-    return filled_positions(
-        priced,
+    return (
         F.when(_wants_to_buy(), most("ask_volume_1")),
         F.when(_wants_to_sell(), most("bid_volume_1")),
         F.col("position_limit"),
-        start,
     )
 
 
+def hold_filled(priced: Layout, start: DataFrame | None = None) -> Layout:
+    """The position before and after each row of ``fair_prices`` if its orders fill at the quotes they are placed at (see ``fill_room``)."""
+    return filled_positions(priced, *fill_room(), start)
+
+
 def filled_orders(priced: DataFrame, series: Series, start: DataFrame | None = None, measure: DataFrame | None = None) -> DataFrame:
     """Orders of ``quote_orders`` where each fill moves the position that the next row's orders know.
 

@@ -560,6 +560,7 @@ SELECT event_id, CAST(13 AS BIGINT) AS n, {_vector()} FROM held JOIN g USING (pr
 
 SQL["stream_signals"] = SQL["quote_orders"]
 SQL["stream_signals_held"] = SQL["quote_orders_filled"]
+SQL["stream_signals_stored"] = SQL["quote_orders_filled"]
 SQL["stream_positions"] = SQL["mark_to_market"]
 
 # ---------------------------------------------------------------- files: what was written is read back

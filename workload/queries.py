@@ -14,7 +14,7 @@ from tickloom.plans import Layout, Series, arrange, row_index, running
 from tickloom.plans.settings import scratch_path
 from tickloom.schema import PRICE_COLUMNS
 from tickloom.sources import readers, writers
-from tickloom.streaming import batches
+from tickloom.streaming import batches, stored
 from workload import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1042,6 +1042,19 @@ def stream_signals_held(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("product", "t", "order_side", "order_price", "quantity", "position_before", "position")
 
 
+@query("stream_signals_stored")
+def stream_signals_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same orders with the last mids and the position as typed state in Spark's store."""
+    path = scratch_path(spark, "signals")
+    params = V.params(spark)
+    _replay(
+        V.book_wide(spark, folder), F.col("t"),
+        lambda books: stored.stored_signals(books, V.BOOK_SERIES, path, F.timestamp_seconds("t"), params, fills=True),
+    )
+    out = spark.read.parquet(f"{path}/orders")
+    return out.select("product", "t", "order_side", "order_price", "quantity", "position_before", "position")
+
+
 @query("stream_positions")
 def stream_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Positions and profit of ticks that arrive in three batches."""
