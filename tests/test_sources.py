@@ -130,3 +130,41 @@ def test_feature_files_by_name(spark, tmp_path):
     assert rows == {(1, 50.5, None, "A"), (2, 60.5, 0.5, "B")}
     unused = readers.unused_feature_files(spark, str(tmp_path), schema).collect()
     assert [(os.path.basename(r.source_file), r.reason) for r in unused] == [("C_features.csv", "no known column")]
+
+
+def _bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_headers_need_the_beginning_of_a_file_only(spark, tmp_path):
+    line = "2024-01-01 00:00:00,BID,10,0.5," + "x" * 1000
+    for i in range(2):
+        _write(tmp_path / f"{i} a.csv", ("timestamp,side,price,quantity,symbol", "\ufeff\"symbol\",timestamp\r")[i], *[line] * 20_000)
+    (tmp_path / "empty.csv").write_text("")
+    size = sum(f.stat().st_size for f in tmp_path.iterdir())
+    before = _bytes_read(spark)
+    headers = {os.path.basename(r.source_file): r.names for r in readers.file_headers(spark, f"{tmp_path}/*.csv").collect()}
+    assert headers == {"0%20a.csv": ["timestamp", "side", "price", "quantity", "symbol"], "1%20a.csv": ["symbol", "timestamp"]}
+    assert readers.scan_quotes(spark, str(tmp_path)).agg(F.count("source_file")).first()[0] == 40_000
+    # One scan of the files, and the checkpoints of the few headers.
+    assert _bytes_read(spark) - before < 1.25 * size
+
+
+def test_headers_by_scan_where_files_cannot_be_opened(spark, tmp_path, monkeypatch):
+    _write(tmp_path / "a.csv", "product,price,side", "X,3,BID")
+    expected = [tuple(r) for r in readers.file_headers(spark, f"{tmp_path}/*.csv").collect()]
+    monkeypatch.setattr(readers, "_first_line", lambda uri: None)
+    assert [tuple(r) for r in readers.file_headers(spark, f"{tmp_path}/*.csv").collect()] == expected == [(expected[0][0], ["product", "price", "side"])]
+
+
+def test_header_lines_of_any_length(tmp_path):
+    path = tmp_path / "a.csv"
+    for text, line in (("", ""), ("a,b", "a,b"), ("a" * 100_000 + "\r\nb", "a" * 100_000)):
+        path.write_bytes(text.encode())
+        assert readers._first_line(path.as_uri()) == line
+    assert readers._first_line("unknown://x/a.csv") is None
+
+
+def test_an_empty_name_keeps_its_place(spark, tmp_path):
+    _write(tmp_path / "a.csv", 'product,,"pri""ce", price ,side', "X,1,2,3,BID")
+    assert [(r["product"], r.price, r.side) for r in readers.scan_quotes(spark, str(tmp_path)).collect()] == [("X", 3.0, "BID")]

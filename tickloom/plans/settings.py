@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,22 @@ def size_setting(spark: SparkSession, setting: tuple[str, int]) -> int:
     return int(spark.conf.get(name, str(default)))
 
 
+@contextmanager
+def session_settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the plans that are made inside the block; the session's own come back after it."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a scratch one only for local runs."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

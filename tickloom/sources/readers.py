@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +18,11 @@ from tickloom.plans import attach
 from tickloom.plans.settings import settle
 from tickloom.schema import PRICE_NUMBERS, PRICE_TEXT, QUOTE_TEXT_FIELDS
 
+# Task functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Bytes of a file that are read at once in search of its header line's end.
+HEADER_STEP = 1 << 14
 FEATURE_SUFFIX = "_features.csv"
 
 
@@ -60,30 +70,63 @@ def alias_symbol(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("symbol", "product") if "symbol" in df.columns else df
 
 
-def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
-    """(source_file, names): the column names of each CSV file by its first line, quotes and byte order mark removed.
+def _column_names(line: str) -> list[str]:
+    """Names in a CSV header line; an empty name keeps its place."""
+    csv.field_size_limit(max(csv.field_size_limit(), len(line) + 1))
+    return [name.strip(" ") for name in next(csv.reader([line.removeprefix("\ufeff").rstrip(" ")], escapechar="\\"), [])]
 
-    Spark's own reader finds the lines, of any length and on any file system; nothing is listed on the driver.
-    """
+
+def _first_line(uri: str) -> str | None:
+    """The first line of a file, read in small steps; None where the file system needs Spark's reader."""
+    try:
+        system, path = FileSystem.from_uri(uri)
+        with system.open_input_stream(path) as source:
+            line = b""
+            while b"\n" not in line and (more := source.read(HEADER_STEP)):
+                line += more
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return None
+    return line.split(b"\n", 1)[0].removesuffix(b"\r").decode("utf-8", "replace")
+
+
+def _first_lines_by_scan(spark: SparkSession, pattern: str) -> DataFrame:
+    """(source_file, header) by a scan of all lines, on any file system that Spark knows."""
     lines = spark.read.text(pattern).select(
         "value",
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    first = lines.filter("_start = 0").groupBy("source_file").agg(F.min_by("value", "_line").alias("header"))
-    header = F.regexp_replace(F.rtrim(F.col("header")), "^\uFEFF", "")
-    first = settle(first.select("source_file", header.alias("header")))
-    width = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
-    fields = ", ".join(f"c{i} string" for i in range(width))
-    parsed = first.withColumn("_h", F.from_csv("header", fields))
-    names = F.transform(F.array(*[F.col("_h")[f"c{i}"] for i in range(width)]), F.trim)
-    return parsed.select("source_file", F.filter(names, lambda n: n.isNotNull()).alias("names"))
+    return lines.filter("_start = 0").groupBy("source_file").agg(F.min_by("value", "_line").alias("header"))
+
+
+def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """(source_file, names): the column names of each CSV file by its first line, quotes and byte order mark removed.
+
+    Tasks get files, not lines, and read ``HEADER_STEP`` bytes at a time until the line ends. Only if some file lies on a file
+    system that pyarrow cannot open are all lines scanned with Spark's reader instead. Files of no bytes are left out.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_first_line(uri) for uri in batch.column("source_file").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("source_file"), pa.array(found, pa.string())], ["source_file", "header"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([_column_names(line) for line in batch.column("header").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("source_file"), names], ["source_file", "names"])
+
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("source_file"))
+    lines = settle(files.mapInArrow(read, "source_file string, header string"))
+    if lines.filter("header IS NULL").limit(1).count():
+        lines = _first_lines_by_scan(spark, pattern)
+    return settle(lines.mapInArrow(parse, "source_file string, names array<string>"))
 
 
 def _by_name(spark: SparkSession, pattern: str, wanted: Sequence[str]) -> DataFrame:
     """One scan of CSV files with different headers: the wanted columns as text by name (absent ones NULL), source_file, names."""
-    headers = settle(file_headers(spark, pattern))
+    headers = file_headers(spark, pattern)
     width = headers.agg(F.max(F.size("names"))).first()[0] or 1
     layout = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.schema(layout).option("header", True).option("ignoreCorruptFiles", True).csv(pattern)

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from tickloom.operators.book import two_sided
 from tickloom.operators.signals import HISTORY, book_mid, fill_room, priced_by_history, quote_orders
 from tickloom.plans import Series
+from tickloom.plans.settings import session_settings
 
 # Task functions travel by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -166,13 +167,6 @@ def stored_signals(
 
 def _start(spark: SparkSession, rows: DataFrame, path: str, trigger: dict | None) -> StreamingQuery:
     """A query takes the session's settings when it starts; typed state needs the RocksDB store."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
+    with session_settings(spark, {PROVIDER: ROCKS}):
         writer = rows.writeStream.format("parquet").option("path", f"{path}/orders").option("checkpointLocation", f"{path}/checkpoint")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
