@@ -168,3 +168,10 @@ def test_header_lines_of_any_length(tmp_path):
 def test_an_empty_name_keeps_its_place(spark, tmp_path):
     _write(tmp_path / "a.csv", 'product,,"pri""ce", price ,side', "X,1,2,3,BID")
     assert [(r["product"], r.price, r.side) for r in readers.scan_quotes(spark, str(tmp_path)).collect()] == [("X", 3.0, "BID")]
+
+
+def test_trading_states_have_their_keys_in_order(spark):
+    rows = spark.createDataFrame([(1, "b", 2, [3]), (1, "a", 1, None), (1, None, 9, [9]), (2, "c", None, None)], "t long, product string, position long, trades array<long>")
+    out = {r.t: r.state for r in writers.trading_states(rows, "t", "product", ["position", "trades"]).collect()}
+    assert out == {1: '{"position":{"a":1,"b":2},"t":1,"trades":{"b":[3]}}', 2: '{"position":{},"t":2,"trades":{}}'}
+    assert writers.trading_states(rows.limit(0), "t", "product", ["position"]).collect() == []

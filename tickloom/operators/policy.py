@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import dot, feature_vector, log_ratio, ratio
+from tickloom.operators.sequences import last_row
 from tickloom.operators.stats import normalise
-from tickloom.plans import Series, arrange
+from tickloom.plans import Series, arrange, attach
 
 
 def q_scores(features: Column, weights: Sequence[Sequence[float]]) -> Column:
@@ -80,3 +81,16 @@ def observation(features: Sequence[str], position: Column, limit: Column, pnl: C
     return F.concat(
         feature_vector(features), F.array(ratio(position, limit).cast("double"), pnl.cast("double"))
     ).cast("array<float>")
+
+
+def last_observations(
+    stepped: DataFrame, df: DataFrame, series: Series, features: Sequence[str], limit: Column
+) -> DataFrame:
+    """The observation after the last step of each key: its last row of ``df`` with the position and ``pnl`` its steps have left.
+
+    Keys without a step have none.
+    """
+    order = F.struct(*series.order_names)
+    ended = stepped.groupBy(*series.key).agg(*[F.max_by(c, order).alias(f"_{c}") for c in ("position", "pnl")])
+    last = attach(last_row(df, series), ended, series.key, how="inner", null_safe=True)
+    return last.withColumn("observation", observation(features, F.col("_position"), limit, F.col("_pnl"))).drop("_position", "_pnl")

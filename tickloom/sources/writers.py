@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,26 @@ def state_to_json(*columns: str) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
 
 
+def sorted_map(entries: Column) -> Column:
+    """A map of (``key``, ``value``) entries, keys unique, in the order of its keys, so equal maps give equal JSON."""
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(entries, by_key))
+
+
+def trading_states(rows: DataFrame, time: str, key: str, fields: Sequence[str]) -> DataFrame:
+    """One row per instant: ``time`` and ``state``, JSON text of the instant and of a map from key to value for each field.
+
+    ``rows`` has at most one row per instant and key. A key whose field is NULL is left out of that field's map, rows
+    without a key of all maps. Names and keys are in order. One state is one text, so it must fit a task.
+    """
+
+    def mapped(field: str) -> Column:
+        given = F.col(key).isNotNull() & F.col(field).isNotNull()
+        return sorted_map(F.collect_list(F.when(given, F.struct(F.col(key).alias("key"), F.col(field).alias("value"))))).alias(field)
+
+    return rows.groupBy(time).agg(*[mapped(f) for f in fields]).select(time, state_to_json(time, *fields).alias("state"))
+
+
 def state_from_json(text: Column, schema: T.StructType | str) -> Column:
     """JSON text back to nested state; NULL where it cannot be read."""
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})

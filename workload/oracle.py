@@ -222,6 +222,13 @@ SQL["row_counts"] = f"WITH {QUOTES} SELECT product, count(DISTINCT t) AS n_rows
 SQL["distinct_products"] = f"WITH {QUOTES} SELECT DISTINCT product FROM quotes"
 SQL["distinct_times"] = f"WITH {QUOTES} SELECT DISTINCT t FROM quotes"
 SQL["state_json"] = f"""WITH {BOOKS} SELECT product, t, bid_price_1, ask_price_1, product AS state_product, t AS state_t FROM book"""
+SQL["trading_states"] = f"""WITH {BOOKS}, {ORDERS}, sides AS (SELECT product, t, side, price, quantity, level FROM ranked WHERE level <= 3),
+merged AS (SELECT product, t, side, price, arg_max(quantity, level) AS quantity FROM sides GROUP BY ALL),
+present AS (SELECT product, t FROM merged UNION SELECT product, t FROM orders_sim),
+traded AS (SELECT product, t, sum(quantity) AS traded FROM orders_sim GROUP BY product, t)
+SELECT t, product, CASE side WHEN 'BID' THEN 'BUY' ELSE 'SELL' END AS part, price, CAST(quantity AS DOUBLE) AS quantity FROM merged
+UNION ALL SELECT t, product, 'TRADE', price, CAST(quantity AS DOUBLE) FROM orders_sim
+UNION ALL SELECT t, product, 'TRADED', NULL, CAST(coalesce(traded, 0) AS DOUBLE) FROM present LEFT JOIN traded USING (product, t)"""
 
 # ---------------------------------------------------------------- ticks: projections, filters, unions
 
@@ -515,6 +522,10 @@ SQL["trade_log"] = f"""WITH {ENV} SELECT event_id, action, change, strftime(next
   next_price AS trade_price, {r(6, "pnl")} FROM summed WHERE change <> 0"""
 SQL["observation"] = f"""WITH {ENV} SELECT event_id, CAST(4 AS BIGINT) AS n, round(price, 2) + 0.0 AS price, CAST(size AS DOUBLE) AS size,
   round(position_before / 50.0, 2) + 0.0 AS share, round(CAST(CAST(pnl - reward AS FLOAT) AS DOUBLE), 2) + 0.0 AS pnl FROM summed"""
+SQL["last_observation"] = f"""WITH {ENV}, ended AS (SELECT product, arg_max(position, ({TICK_ORDER})) AS position, arg_max(pnl, ({TICK_ORDER})) AS pnl
+FROM summed GROUP BY product), seen AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY time DESC, event_id DESC) AS back FROM ticks)
+SELECT product, event_id, round(price, 2) + 0.0 AS price, CAST(size AS DOUBLE) AS size, round(position / 50.0, 2) + 0.0 AS share,
+  round(CAST(CAST(pnl AS FLOAT) AS DOUBLE), 2) + 0.0 AS pnl FROM seen JOIN ended USING (product) WHERE back = 1"""
 SQL["position_changes"] = f"""WITH {ENV} SELECT product, CAST(count(*) FILTER (WHERE position <> before) AS BIGINT) AS n_changes
 FROM summed GROUP BY product"""
 SQL["backtest_summary"] = f"""WITH {ENV}, g AS (SELECT product, max(abs(position)) AS max_position,

@@ -173,6 +173,38 @@ def state_json(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("trading_states")
+def trading_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Each instant's depths, trades and traded totals by product, written as JSON and read back."""
+    levels = lambda side: F.transform_keys(book.depth_map(side), lambda p, _: p.cast("long").cast("string"))
+    depths = V.book_wide(spark, folder).select(
+        "product", "t", F.struct(levels("bid").alias("buy_orders"), levels("ask").alias("sell_orders")).alias("order_depths")
+    )
+    trade = F.struct("o_orderkey", F.col("price"), F.col("quantity").cast("double").alias("quantity"))
+    trades = V.orders_sim(spark, folder).groupBy("product", "t").agg(
+        F.array_sort(F.collect_list(trade)).alias("own_trades"), F.sum("quantity").cast("long").alias("traded")
+    )
+    rows = depths.join(trades, ["product", "t"], "full")
+    text = writers.trading_states(rows, "t", "product", ["order_depths", "own_trades", "traded"])
+    schema = (
+        "t bigint, order_depths map<string, struct<buy_orders: map<string, double>, sell_orders: map<string, double>>>, "
+        "own_trades map<string, array<struct<o_orderkey: bigint, price: double, quantity: double>>>, traded map<string, bigint>"
+    )
+    back = text.select("t", writers.state_from_json(F.col("state"), schema).alias("s"))
+    products = F.array_union(F.map_keys("s.order_depths"), F.map_keys("s.own_trades"))
+    back = back.select("t", "s", F.explode(products).alias("product"))
+    entry = lambda part, price, quantity: F.struct(F.lit(part).alias("part"), price.cast("double").alias("price"), quantity.cast("double").alias("quantity"))
+    depth, own, traded = (F.try_element_at(F.col(f"s.{f}"), F.col("product")) for f in ("order_depths", "own_trades", "traded"))
+    levels_of = lambda part, side: F.coalesce(F.transform(F.map_entries(depth[side]), lambda e: entry(part, e["key"], e["value"])), F.array())
+    found = F.concat(
+        levels_of("BUY", "buy_orders"),
+        levels_of("SELL", "sell_orders"),
+        F.coalesce(F.transform(own, lambda o: entry("TRADE", o["price"], o["quantity"])), F.array()),
+        F.array(entry("TRADED", F.lit(None), F.coalesce(traded, F.lit(0)))),
+    )
+    return back.select("t", "product", F.inline(found))
+
+
 # ---------------------------------------------------------------- projections
 
 
@@ -894,6 +926,17 @@ def observation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("last_observation")
+def last_observation(spark: SparkSession, folder: str) -> DataFrame:
+    """What an agent sees after its last step."""
+    stepped = positions.cumulative_pnl(env_steps(spark, folder)).rows()
+    out = policy.last_observations(stepped, V.ticks(spark, folder), V.TICK_SERIES, ["price", "size"], F.lit(50))
+    return out.select(
+        "product", "event_id",
+        *[F.round(F.col("observation")[i].cast("double"), 2).alias(n) for i, n in enumerate(["price", "size", "share", "pnl"])],
+    )
+
+
 @query("direction_reward")
 def direction_reward(spark: SparkSession, folder: str) -> DataFrame:
     labelled = policy.direction_labels(V.ticks(spark, folder), V.TICK_SERIES)
@@ -1045,11 +1088,12 @@ def stream_signals_held(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_signals_stored")
 def stream_signals_stored(spark: SparkSession, folder: str) -> DataFrame:
     """The same orders with the last mids and the position as typed state in Spark's store."""
+    day = F.date_add(F.lit("1995-01-01").cast("date"), F.col("t").cast("int")).cast("timestamp")
     path = scratch_path(spark, "signals")
     params = V.params(spark)
     _replay(
         V.book_wide(spark, folder), F.col("t"),
-        lambda books: stored.stored_signals(books, V.BOOK_SERIES, path, F.timestamp_seconds("t"), params, fills=True),
+        lambda books: stored.stored_signals(books, V.BOOK_SERIES, path, day, params, fills=True),
     )
     out = spark.read.parquet(f"{path}/orders")
     return out.select("product", "t", "order_side", "order_price", "quantity", "position_before", "position")
