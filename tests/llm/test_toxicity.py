@@ -57,3 +57,48 @@ def test_odd_rows(spark, odd_documents):
     table = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.score(odd_documents, toxicity.fit(odd_documents, table))
     assert got.count() == odd_documents.count() and got.filter(F.col("score").isNull()).count() == 0
+
+
+def test_labels_that_contradict_and_repeated_documents(spark, documents):
+    rows, labels = corpus()
+    schema = "doc_id long, quality int, toxic int"
+    both = [(i, 1, 1 - t) for i, _, t in labels if t]
+    plain = toxicity.fit(documents(rows), spark.createDataFrame(labels, schema))
+    # Labels of both kinds count as toxic, and a repeated document is learnt once.
+    twice = [r for r in rows if r[0] < 50] * 3
+    again = toxicity.fit(documents([*rows, *twice]), spark.createDataFrame([*both, *labels, *both], schema))
+    assert np.array_equal(plain.ids, again.ids) and np.allclose(plain.weights, again.weights)
+
+
+def test_slices_of_rows_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 9, 60)
+    column, values, labels = rng.integers(0, 20, lengths.sum()).astype(np.int32), rng.normal(size=20), (rng.random(60) < 0.4).astype(float)
+    whole = toxicity._logistic(lengths, column, values, labels, 20)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(toxicity, "ENTRIES_AT_ONCE", size)
+        parts = toxicity._logistic(lengths, column, values, labels, 20)
+        assert np.allclose(parts[0], whole[0]) and np.isclose(parts[1], whole[1])
+
+
+def test_against_plain_naive_bayes_and_logistic_regression(spark, documents):
+    texts = [f"{'grub' if i % 3 == 0 else 'fine'} {'worm' if i % 4 == 0 else 'day'} {'abcdefgh'[i % 8]}" for i in range(48)]
+    toxic = [int(i % 3 == 0 or i % 4 == 0) for i in range(48)]
+    docs = documents([(i, t) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    learnt = [i for i in range(48) if zlib.crc32(str(i).encode()) % 4 != 2]
+    grams = [{f" {t} "[a:a + n] for n in (3, 4, 5, 6) for a in range(len(t) + 3 - n)} for t in texts]
+    names = sorted(set().union(*(grams[i] for i in learnt)))
+    present = np.array([[float(g in grams[i]) for g in names] for i in range(48)])
+    y = np.array([toxic[i] for i in learnt], float)
+    counts = lambda label: present[learnt][y == label].sum(axis=0)
+    ratio = np.log((counts(1) + 1) / ((y == 1).sum() + 2)) - np.log((counts(0) + 1) / ((y == 0).sum() + 2))
+    x = present * ratio
+    # Plain gradient descent on the same penalised loss, far past the steps of the fit.
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(40_000):
+        error = (1 / (1 + np.exp(-(x[learnt] @ w + b))) - y) / len(y)
+        w, b = w - 0.05 * (x[learnt].T @ error + toxicity.PENALTY * w), b - 0.05 * error.sum()
+    expected = 1 / (1 + np.exp(-(x @ w + b)))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert max(abs(got[i] - expected[i]) for i in range(48)) < 0.02

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ FEATURES = 6_000
 SMOOTHING = 1.0
 PENALTY = 1e-4
 STEPS = 600
+# Features of the sample's rows that a step of the fit works on at once.
+ENTRIES_AT_ONCE = 1 << 21
 PREDICT_FROM = 0.3
 BASE = 0x9E3779B97F4A7C15
 TEXT_BYTES_AT_ONCE = 1 << 19
@@ -68,9 +71,14 @@ class Model:
     weights: np.ndarray
     intercept: float
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def table(self) -> np.ndarray:
+        """The weight of every feature, 0 for those without one."""
         table = np.zeros(1 << FEATURE_BITS, np.float64)
         table[self.ids] = self.weights
+        return table
+
+    def scores(self, texts: list[str], table: np.ndarray | None = None) -> np.ndarray:
+        table = self.table() if table is None else table
         total = np.full(len(texts), self.intercept)
         where, found = features(texts)
         some = table[found] != 0
@@ -116,19 +124,33 @@ def _chosen(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
     return counts.select("feature", ratio.alias("ratio"), gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(FEATURES)
 
 
-def _logistic(where: np.ndarray, column: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient steps; rows are sparse (where, column)."""
+def _logistic(lengths: np.ndarray, column: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated gradient steps; the rows' features follow each other in ``column``, ``lengths`` to a row.
+
+    Rows are taken in slices of about ``ENTRIES_AT_ONCE`` features, so what a step holds besides ``column`` is bounded.
+    """
     n = len(labels)
-    x = values[column]
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(ENTRIES_AT_ONCE, int(ends[-1]), ENTRIES_AT_ONCE)), [n]]))
+    parts = [(slice(a, b), slice(int(ends[a] - lengths[a]), int(ends[b - 1]))) for a, b in zip(cuts, cuts[1:])]
+
+    def rows(part: tuple[slice, slice]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = lengths[part[0]]
+        return np.repeat(np.arange(len(own)), own), column[part[1]], values[column[part[1]]]
+
     weights, bias = np.zeros(width), 0.0
     ahead, ahead_bias = weights.copy(), bias
     # A bound of the curvature from the squared length of the rows.
-    step = 4.0 / (np.bincount(where, x * x, minlength=n).mean() + 1.0)
+    step = 4.0 / (sum(float(x @ x) for _, _, x in map(rows, parts)) / n + 1.0)
     for k in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(where, x * ahead[column], minlength=n) + ahead_bias, -500, 500)))
-        error = (p - labels) / n
-        new = ahead - step * (np.bincount(column, x * error[where], minlength=width) + PENALTY * ahead)
-        new_bias = ahead_bias - step * error.sum()
+        slope, bias_slope = PENALTY * ahead, 0.0
+        for part in parts:
+            where, at, x = rows(part)
+            total = np.bincount(where, x * ahead[at], minlength=len(lengths[part[0]])) + ahead_bias
+            error = (1 / (1 + np.exp(-np.clip(total, -500, 500))) - labels[part[0]]) / n
+            slope += np.bincount(at, x * error[where], minlength=width)
+            bias_slope += error.sum()
+        new, new_bias = ahead - step * slope, ahead_bias - step * bias_slope
         speed = k / (k + 3)
         ahead, ahead_bias = new + speed * (new - weights), new_bias + speed * (new_bias - bias)
         weights, bias = new, new_bias
@@ -138,17 +160,19 @@ def _logistic(where: np.ndarray, column: np.ndarray, values: np.ndarray, labels:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most some ``SAMPLE_ROWS`` labelled documents that are not held out.
 
-    ``labels`` has doc_id and toxic (0 or 1; null labels and ids are not learnt from). Without labels of both classes every text
-    gets the same score, the share of toxic labels.
+    ``labels`` has doc_id and toxic (0 or 1; null labels and ids are not learnt from). An id with labels of both kinds counts as
+    toxic; of repeated documents of an id the text that sorts first is learnt, so repeats do not widen the sample. Without
+    labels of both classes every text gets the same score, the share of toxic labels.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    usable = stage_table(usable, "usable")
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = stage_table(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "usable")
     share = SAMPLE_ROWS / max(1, usable.count())
     # The sample has SAMPLE_ROWS rows but for chance, and so a bound to broadcast.
     picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = stage_table(sample.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").repartition(SAMPLE_PARTS, "doc_id"), "sample")
+    sample = sample.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = stage_table(sample.select("doc_id", "text", "toxic").repartition(SAMPLE_PARTS, "doc_id"), "sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
@@ -173,19 +197,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     # The sample's bound and FEATURES bound what comes here.
     got = sample.mapInArrow(rows, "doc_id long, toxic int, columns binary").toArrow().sort_by("doc_id")
-    columns = [np.frombuffer(b, np.int32) for b in got.column("columns").to_pylist()]
-    where = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    labels_ = got.column("toxic").to_numpy().astype(float)
-    weights, bias = _logistic(where, np.concatenate(columns).astype(np.int64), ratios, labels_, len(ids))
+    lengths = pc.binary_length(got.column("columns")).to_numpy() // 4
+    column = np.concatenate([np.frombuffer(b.as_buffer(), np.int32) for b in got.column("columns")])
+    weights, bias = _logistic(lengths, column, ratios, got.column("toxic").to_numpy().astype(float), len(ids))
     return Model(ids, weights * ratios, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; a null text counts as empty."""
+    """doc_id, held_out, score and predicted of every row, whole texts of any length; a null text counts as empty.
+
+    Rows with a null id are scored and are not held out; repeated rows are scored each.
+    """
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.table()
         for table in batches_of(batches, "text", TEXT_BYTES_AT_ONCE):
-            scores = model.scores(texts_of(table.column("text")))
+            scores = model.scores(texts_of(table.column("text")), weights)
             yield pa.RecordBatch.from_arrays(
                 [table.column("doc_id").combine_chunks(), pa.array(scores)], ["doc_id", "score"]
             )
