@@ -38,13 +38,10 @@ def test_bounds_skip_leaves():
     centres = rng.normal(size=(20, 8)) * 1000
     rows = (np.repeat(centres, 100, axis=0) + rng.normal(size=(2000, 8))).astype(np.int64)
     tree, looked = search.BallTree(rows), []
-    plain = search.exact_products
-    try:
-        search.exact_products = lambda a, q: looked.append(len(a)) or plain(a, q)
-        search.search_tree(tree, np.arange(2000), rows[:1], np.array([0]), [None], 10, None)
-    finally:
-        search.exact_products = plain
-    assert sum(looked) < 600
+    plain = tree.leaf_products
+    tree.leaf_products = lambda first, last, *rest: looked.append(last - first) or plain(first, last, *rest)
+    search.search_tree(tree, np.arange(2000), rows[:1], np.array([0]), [None], 10, None)
+    assert 0 < sum(looked) < 600
 
 
 def test_vectors_that_take_no_part(spark):
@@ -62,3 +59,21 @@ def test_repeated_rows_few_rows_and_empty_table(spark):
     assert ask(table, table.filter("vec_id = 100")) == {100: [(1, 2, 6), (2, 2, 6), (3, 1, 2)]}
     empty = table.filter("vec_id > 1000")
     assert ask(empty, empty) == {} and ask(table, empty) == {} and ask(empty, table) == {}
+
+
+def test_products_in_doubles_and_beyond():
+    rng = np.random.default_rng(3)
+    for scale in (1000, 1 << 28, 1 << 45):
+        rows, queries = rng.integers(-scale, scale, (300, 8)), rng.integers(-scale, scale, (5, 8))
+        tree = search.BallTree(rows)
+        assert tree.exact_in_doubles(queries.astype(float)).all() == (scale == 1000)
+        found = search.search_tree(tree, np.arange(300), queries, np.full(5, -1), [None] * 5, 10, None)
+        for query, best in zip(queries, found):
+            scores = [min(max(sum(int(a) * int(b) for a, b in zip(row, query)), -(1 << 63)), (1 << 63) - 1) for row in rows]
+            assert best == sorted(((s, -i) for i, s in enumerate(scores)), reverse=True)[:10]
+
+
+def test_a_repeated_query_asks_the_vector_that_sorts_first(spark):
+    rows = spark.createDataFrame([(1, [1, 0]), (2, [0, 1]), (3, [2, 2])], "vec_id long, v array<long>")
+    asked = spark.createDataFrame([(9, [0, 5]), (9, [5, 0]), (9, [0, 5])], "vec_id long, v array<long>")
+    assert [(r.vec_id, r.score) for r in search.search(rows, asked, k=2).orderBy("rank").collect()] == [(3, 10), (2, 5)]

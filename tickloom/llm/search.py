@@ -26,6 +26,8 @@ ROWS_PER_SHARD = 20_000
 QUERIES_PER_BLOCK = 1_000
 # Integers up to here make exact products in 64 bits with up to 2^20 components.
 SAFE = 1 << 21
+# Below this doubles hold every integer; the bound on |q| |v| leaves room for its own rounding.
+EXACT = 2.0**52
 LIMITS = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -52,14 +54,22 @@ def exact_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class BallTree:
-    """Balls over integer vectors: order, and for each node its range, centre, radius and children."""
+    """Balls over integer vectors: for each node its range of rows, centre, radius and children.
+
+    ``rows`` and their copy in doubles, ``real``, lie in the tree's ``order``, so a leaf is a slice of both.
+    """
 
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
         self.real = rows.astype(float)
         self.order = np.arange(len(rows))
         self.nodes: list[tuple[int, int, np.ndarray, float, int, int]] = []
         self._grow(0, len(rows))
+        self.rows, self.real = rows[self.order], self.real[self.order]
+        self.longest = float(np.linalg.norm(self.real, axis=1).max(initial=0))
+
+    def exact_in_doubles(self, queries: np.ndarray) -> np.ndarray:
+        """Queries whose products with every row, partial sums included, are integers that doubles hold."""
+        return np.linalg.norm(queries, axis=1) * self.longest < EXACT
 
     def _grow(self, first: int, last: int) -> int:
         at = self.order[first:last]
@@ -80,6 +90,12 @@ class BallTree:
             self.nodes[me] = (first, last, centre, float(apart.max()), left, right)
         return me
 
+    def leaf_products(self, first: int, last: int, query: np.ndarray, in_doubles: bool) -> np.ndarray:
+        """Integer inner products of a leaf's rows."""
+        if in_doubles:
+            return (self.real[first:last] @ query.astype(float)).astype(np.int64)
+        return exact_products(self.rows[first:last], query)
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array([n[2] for n in self.nodes]), np.array([n[3] for n in self.nodes])
 
@@ -91,6 +107,8 @@ def search_tree(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.nd
     # Rounding of the bound is far below this slack; scores are exact.
     slack = 1e-9 * (1 + np.linalg.norm(real, axis=1)[:, None] * (np.linalg.norm(centres, axis=1) + radii))
     bounds = real @ centres.T + np.linalg.norm(real, axis=1)[:, None] * radii + slack
+    fits = tree.exact_in_doubles(real)
+    ids = ids[tree.order]
     found = []
     for i, query in enumerate(queries):
         best: list[tuple[int, int]] = []
@@ -109,10 +127,10 @@ def search_tree(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.nd
                 heapq.heappush(ahead, (-bounds[i, right], right))
                 continue
             looked += 1
-            at = tree.order[first:last]
-            for score, vec in zip(exact_products(tree.rows[at], query).tolist(), ids[at].tolist()):
-                if vec == own[i] or (least is not None and score < least):
-                    continue
+            scores = tree.leaf_products(first, last, query, bool(fits[i]))
+            others = ids[first:last] != own[i]
+            some = np.flatnonzero(others if least is None else others & (scores >= least))
+            for score, vec in zip(scores[some].tolist(), ids[first:last][some].tolist()):
                 if len(best) < k:
                     heapq.heappush(best, (score, -vec))
                 elif (score, -vec) > best[0]:
@@ -142,11 +160,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, per_shard: int =
 
     Both tables have vec_id and ``v`` (see ``integer_vectors``). A query meets every row but those of its own id, of vectors
     with as many components as its own. Null ids take no part. Repeated ids stay separate candidates of equal id; a repeated
-    query is asked once.
+    query is asked once for each number of components, with the vector that sorts first.
     """
     vectors = stage_table(vectors.filter("vec_id IS NOT NULL").withColumn("dim", F.size("v")), "vectors")
-    queries = queries.filter("vec_id IS NOT NULL").withColumn("dim", F.size("v"))
-    queries = stage_table(queries.dropDuplicates(["vec_id", "dim"]), "queries")
+    queries = queries.filter("vec_id IS NOT NULL").groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
+    queries = stage_table(queries, "queries")
     shards = max(1, -(-vectors.count() // per_shard))
     blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
     dealt = lambda df, n, c: df.withColumn(c, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
