@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import prose
-from tickloom.llm import token_files
+from tickloom.llm import encode, token_files
 from tickloom.llm.encode import encode_texts
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -46,6 +46,25 @@ def test_words_of_latin_letters_hold(name):
     assert [np.frombuffer(b, "<u4").tolist() for b in encode_texts(texts, PATHS[name])] == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \n\r\t\x1c\x85\u2028'.,!$`~3aZ\u00e9\u0301\u4e2ds"), max_size=30))
+def test_pieces_hold_beside_any_white_space(text):
+    for name in FILES:
+        want = TOKENIZERS[name].encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode_texts([text], PATHS[name])[0], "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_signs_and_line_breaks_make_no_further_pieces(name):
+    """A word is remembered once, whatever follows it, and once more for where no space is before it."""
+    words = sorted({w.rstrip("0123456789") + c for w in prose(3, 200).split() for c in "xyz"})
+    text = " ".join(f"{w} {w}, {w}. {w}; {w}$$$ {w}\n{w}" for w in words)
+    known = encode._loaded(PATHS[name])[1]
+    known.clear()
+    assert np.frombuffer(encode_texts([text], PATHS[name])[0], "<u4").tolist() == TOKENIZERS[name].encode(text, add_special_tokens=False).ids
+    assert len(known) <= 2 * len(words) + 6
+
+
 def _expected(rows):
     start, out = 0, []
     for doc, text in rows:

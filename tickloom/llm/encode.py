@@ -1,10 +1,13 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of what recurs.
 
 Byte-pair encoders cut a text before they merge. A space before a character that is no white
-space always starts a new cut in the tokenizers used here, and so does an ASCII character other
-than a letter or an apostrophe after a Latin letter. So a text is encoded as its space-separated pieces, each looked up in a
-cache; what was not seen yet goes through the tokenizer in one batch. Texts that contain a special
-token's opening ``<|`` are encoded whole. Tests hold the ids to those of whole texts.
+space always starts a new cut in the tokenizers used here, a line break with no white space beside it is a cut of its own,
+and an ASCII character other than a letter or an apostrophe starts one after a Latin letter. So a text is encoded as the
+pieces between these places, each looked up in a cache; what was not seen yet goes through the tokenizer in one
+batch. Texts that contain a special token's opening ``<|`` are encoded whole. Tests hold the ids to those of whole texts.
+
+A piece is known by the text after its space, which is what ``str.split`` gives; one without a space by its text
+after a carriage return, which is not encoded. No piece has white space after its space, so the two cannot be mistaken.
 
 A piece of Latin letters is one word to these tokenizers, so it goes to the library's merge model at once; splitting and
 normalising it there costs several times the merges. Other pieces, and other tokenizers, take the library's whole way.
@@ -18,19 +21,21 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress, pairwise
 
 from tickloom.llm.common import worker_store
 
 # Most pieces that a worker remembers (some 200 bytes each); the cache starts anew beyond it.
 CACHED_PIECES = 800_000
 SPACE_BEFORE_SPACE = re.compile(r" (?=\s|\Z)")
-PIECE_START = re.compile(r"(?= \S)")
+BREAK_BESIDE_SPACE = re.compile(r"\n(?:(?=\s)|(?<=\s\n))")
 # Latin letters, without the one whose small form is a letter and a mark.
 LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-FINER = re.compile(rf"(?<=[{LETTERS}])(?=[^A-Za-z'\x80-\U0010ffff])")
-SIGNS = frozenset(".,;:!?")
 WORD_PIECE = re.compile(rf" ?[{LETTERS}]+")
+PIECE_START = re.compile(rf"(?= \S)|(?<=[{LETTERS}])(?=[^A-Za-z'\x80-\U0010ffff])")
+# The visible ones of these ASCII characters; white space is looked for apart.
+SIGN_AFTER_LETTER = re.compile(rf"([!-&(-@\[-`{{-~])(?<=[{LETTERS}].)")
+NO_SPACE = "\r"
 # Fixed value: the pattern of one tokenizer that lowers and drops white space; the other kind is the library's own default.
 LOWERED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LOWERING = [
@@ -50,7 +55,12 @@ def _byte_names() -> dict[int, str]:
 def _word_form(settings: dict) -> Callable[[str], str] | None:
     """How a tokenizer hands a piece of letters to its model, if it is of a kind known here."""
     names = _byte_names()
-    as_bytes = lambda text: text.encode().decode("latin-1").translate(names)
+    space = names[32]
+
+    def as_bytes(word: str) -> str:
+        # ASCII letters stand for themselves.
+        return word.replace(" ", space) if word.isascii() else word.encode().decode("latin-1").translate(names)
+
     normalizer, splitter = settings.get("normalizer"), settings.get("pre_tokenizer") or {}
     if settings["model"].get("type") != "BPE":
         return None
@@ -79,35 +89,26 @@ def _ids(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _pieces(text: str) -> list[str]:
-    if SPACE_BEFORE_SPACE.search(text):
-        return [p for p in PIECE_START.split(text) if p]
-    first, *rest = text.split(" ")
-    rest = [" " + p for p in rest]
-    return [first, *rest] if first else rest
-
-
-def _finer(piece: str) -> list[str] | tuple[str, ...]:
-    """A piece as parts that are encoded alike alone."""
-    # Letters alone have no place to cut, and most others end in one sign.
-    if piece[1:].isalpha():
-        return (piece,)
-    if piece[-1] in SIGNS and WORD_PIECE.fullmatch(piece, 0, len(piece) - 1):
-        return (piece[:-1], piece[-1])
-    return FINER.split(piece)
+def _coded(path: str, texts: list[str]) -> list[bytes]:
+    """The ids of each text, by the merge model if it is a word."""
+    tokenizer, _, form, model = _loaded(path)
+    is_word = [form is not None and WORD_PIECE.fullmatch(t) is not None for t in texts]
+    ids, ends, tokenize = [], [0], model.tokenize
+    for word in compress(texts, is_word):
+        ids += [t.id for t in tokenize(form(word))]
+        ends.append(len(ids))
+    flat = array("I", ids).tobytes()
+    words = (flat[4 * a : 4 * b] for a, b in pairwise(ends))
+    others = iter(_ids(tokenizer, [t for t, w in zip(texts, is_word) if not w]))
+    return [next(words if w else others) for w in is_word]
 
 
-def _learn(path: str, new: list[str]) -> None:
-    """Add pieces to the cache, made of finer ones where the text may be cut."""
-    tokenizer, known, form, model = _loaded(path)
-    parts = [_finer(p) for p in new]
-    unseen = {q for p in parts for q in p if q not in known}
-    words = {q for q in unseen if form and WORD_PIECE.fullmatch(q)}
-    for word in words:
-        known[word] = array("I", [t.id for t in model.tokenize(form(word))]).tobytes()
-    others = list(unseen - words)
-    known.update(zip(others, _ids(tokenizer, others)))
-    known.update((p, b"".join([known[q] for q in part])) for p, part in zip(new, parts) if len(part) > 1)
+def _keys(text: str) -> list[str]:
+    """What the pieces of a text are known by."""
+    if SPACE_BEFORE_SPACE.search(text) or BREAK_BESIDE_SPACE.search(text):
+        return [p[1:] if p[:1] == " " and not p[1:2].isspace() else NO_SPACE + p for p in PIECE_START.split(text)]
+    marked = SIGN_AFTER_LETTER.sub(rf" {NO_SPACE}\1", text).replace("\n", f" {NO_SPACE}\n {NO_SPACE}")
+    return (NO_SPACE + marked).split(" ")
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
@@ -115,19 +116,17 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     tokenizer, known, *_ = _loaded(path)
     if len(known) > CACHED_PIECES:
         known.clear()
-    cut = [_pieces(t) if "<|" not in t else [] for t in texts]
+    cut = [_keys(t) if "<|" not in t else [] for t in texts]
     flat = list(chain.from_iterable(cut))
     coded = list(map(known.get, flat))
     if None in coded:
         missing = [i for i, c in enumerate(coded) if c is None]
-        _learn(path, list({flat[i] for i in missing}))
+        new = list({flat[i] for i in missing})
+        known.update(zip(new, _coded(path, [k[1:] if k[:1] == NO_SPACE else " " + k for k in new])))
         for i in missing:
             coded[i] = known[flat[i]]
     out, at = [], 0
-    for text, pieces in zip(texts, cut):
-        if pieces or not text:
-            out.append(b"".join(coded[at : at + len(pieces)]))
-            at += len(pieces)
-        else:
-            out.append(_ids(tokenizer, [text])[0])
+    for text, keys in zip(texts, cut):
+        out.append(b"".join(coded[at : at + len(keys)]) if keys else _ids(tokenizer, [text])[0])
+        at += len(keys)
     return out
