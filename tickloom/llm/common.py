@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -79,8 +80,25 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+def give_back_freed_memory() -> None:
+    """Return to the system what this process has freed.
+
+    A Python worker goes on with the tasks of later steps. What its allocators hold of large arrays that are gone would
+    count on top of what those tasks need.
+    """
+    pa.default_memory_pool().release_unused()
+    # glibc only; other C libraries have no such function.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches_of(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.Table]:
-    """Join Arrow batches until their text column holds ``most_bytes``; one row may exceed that alone."""
+    """Join Arrow batches until their text column holds ``most_bytes``; one row may exceed that alone.
+
+    Memory that earlier tasks of the worker have freed is given back first.
+    """
+    give_back_freed_memory()
     held, size = [], 0
     for batch in batches:
         if batch.num_rows == 0:
