@@ -65,6 +65,59 @@ def test_signs_and_line_breaks_make_no_further_pieces(name):
     assert len(known) <= 2 * len(words) + 6
 
 
+class _Counted(dict):
+    asked = 0
+
+    def get(self, *args):
+        self.asked += 1
+        return super().get(*args)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_batch_looks_each_different_piece_up_once(name, monkeypatch):
+    texts = [prose(s % 3, 300) for s in range(60)]
+    loaded, known = list(encode._loaded(PATHS[name])), _Counted()
+    loaded[1] = known
+    monkeypatch.setitem(encode.worker_store("tokenizers"), PATHS[name], tuple(loaded))
+    want = [e.ids for e in TOKENIZERS[name].encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode_texts(texts, PATHS[name])] == want
+    assert 0 < known.asked <= len(known) + 1
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_doubled_white_space_makes_no_further_pieces(name):
+    words = sorted({w.rstrip("0123456789") + c for w in prose(3, 200).split() for c in "xyz"})
+    text = "  ".join(f"{w} \n{w}\n\n{w}.\n\n{w}\t{w}" for w in words)
+    known = encode._loaded(PATHS[name])[1]
+    known.clear()
+    assert np.frombuffer(encode_texts([text], PATHS[name])[0], "<u4").tolist() == TOKENIZERS[name].encode(text, add_special_tokens=False).ids
+    assert len(known) <= 3 * len(words) + 6
+
+
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(
+        st.text(alphabet=st.one_of(st.sampled_from([*SPACES, *" \n<|'.,aZ1\u00e9\u00d7\u0130\u024f\u0250\u0301\u2014\u3002"]), st.characters(exclude_categories=["Cs"])), max_size=12),
+        max_size=8,
+    )
+)
+def test_texts_of_a_batch_do_not_touch(texts):
+    for name in FILES:
+        want = [e.ids + [2] for e in TOKENIZERS[name].encode_batch(texts, add_special_tokens=False)]
+        flat, ends = encode.encode_joined(texts, PATHS[name], (2,))
+        assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want and ends[0] == 0 and ends[-1] == len(flat)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_white_space_beside_line_breaks_and_spaces(name):
+    texts = [f"{a}{s}{b}" for s in SPACES for a in ("", "x", ". ", "\n", " ", "é\n") for b in ("", "x", " y", "\ny", "'s")]
+    want = [e.ids for e in TOKENIZERS[name].encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode_texts(texts, PATHS[name])] == want
+
+
 def _expected(rows):
     start, out = 0, []
     for doc, text in rows:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import shuffles_removed, as_text, batches_of, shuffle_width, texts_of
-from tickloom.llm.encode import encode_texts
+from tickloom.llm.encode import encode_joined
 
 STRIPE_BYTES = 64 << 20
 ROWS_PER_INDEX_ENTRY = 1_000
@@ -39,19 +39,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, before = TaskContext.get().partitionId(), 0
         for table in batches_of(batches, "text", TEXT_BYTES_AT_ONCE):
-            coded = [c + end for c in encode_texts(texts_of(table.column("text")), tokenizer)]
-            lengths = np.array([len(c) // 4 for c in coded], np.int32)
-            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
+            ids, ends = encode_joined(texts_of(table.column("text")), tokenizer, (end_id,))
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("doc_id").combine_chunks().cast(pa.int64()),
-                    pa.array(np.full(len(coded), part, np.int32)),
+                    pa.array(np.full(table.num_rows, part, np.int32)),
                     pa.array(before + ends[:-1]),
-                    pa.array(lengths),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat),
+                    pa.array(np.diff(ends).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4"))),
                 ],
                 ["doc_id", "part", "before", "n_ids", "ids"],
             )
